@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text_at: int, limit: int = CHUNK_B
             if batch.num_rows:
                 yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         for at, length in enumerate(lengths):
             if size and size + length > limit:
                 yield batch.slice(start, at - start)
