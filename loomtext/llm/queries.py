@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import sentencepiece_codec
+from loomtext.llm import decontamination, sentencepiece_codec, unigram_count
 from loomtext.llm.common import read_table
 
 
@@ -14,6 +14,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = unigram_count.piece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return unigram_count.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(
         read_table(spark, sf_dir, "documents"),
@@ -23,6 +32,38 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_sentencepiece": op8_sentencepiece}
+QUERIES = {
+    "op3_token_count": op3_token_count,
+    "op5_decontamination": op5_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
+}
+
+#: Lower-cases A-Z alone, as SQL's lower() would change other letters too.
+SQL_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = f"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), gram AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT doc_id, regexp_extract_all({SQL_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), place AS (
+  SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM doc, (SELECT DISTINCT n FROM gram) WHERE len(w) >= n)
+), hit AS (
+  SELECT doc_id, n, k, item_id FROM place JOIN gram USING (n, g)
+), word AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id
+), item_list AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN item_list USING (doc_id)
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_decontamination": OP5_SQL}
