@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import decontamination, sentencepiece_codec, unigram_count
+from loomtext.llm import decontamination, license_scan, sentencepiece_codec, sharding, unigram_count
 from loomtext.llm.common import read_table
 
 
@@ -23,6 +24,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = sharding.assign_shards(read_table(spark, sf_dir, "documents"))
+    return assigned.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(
         read_table(spark, sf_dir, "documents"),
@@ -32,10 +40,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op3_token_count": op3_token_count,
     "op5_decontamination": op5_decontamination,
+    "op7_sharding": op7_sharding,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_license_scan": op9_license_scan,
 }
 
 #: Lower-cases A-Z alone, as SQL's lower() would change other letters too.
