@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontamination, license_scan, sentencepiece_codec, sharding, unigram_count
+from loomtext.llm import decontamination, license_scan, sentencepiece_codec, sharding, simhash, unigram_count
 from loomtext.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = sharding.assign_shards(read_table(spark, sf_dir, "documents"))
     return assigned.select(
@@ -47,6 +51,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_count": op3_token_count,
     "op5_decontamination": op5_decontamination,
+    "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_license_scan": op9_license_scan,
