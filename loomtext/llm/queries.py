@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import decontamination, license_scan, sentencepiece_codec, sharding, simhash, unigram_count
+from loomtext.llm import (
+    decontamination,
+    license_scan,
+    sentencepiece_codec,
+    sharding,
+    simhash,
+    substring_dedup,
+    unigram_count,
+)
 from loomtext.llm.common import read_table
 
 
@@ -15,6 +23,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(
+        read_table(spark, sf_dir, "documents"),
+        schema="n_words long, n_removed long, kept_sha256 string",
+        project=substring_dedup.Removal.digest,
+    )
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = unigram_count.piece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     return unigram_count.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary)
@@ -49,6 +65,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_token_count": op3_token_count,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
@@ -85,4 +102,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN item_list USING (doc_id)
 """
 
-ORACLES = {"op5_decontamination": OP5_SQL}
+OP1_SQL = """
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), place AS (
+  SELECT doc_id, k, row_number() OVER (PARTITION BY array_to_string(w[k : k + 19], ' ') ORDER BY doc_id, k) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM doc WHERE len(w) >= 20)
+), hit AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS p FROM place WHERE n > 1
+), word AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM doc
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL}
