@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import (
     decontamination,
     license_scan,
+    secret_scan,
     sentencepiece_codec,
     sharding,
     simhash,
@@ -31,6 +32,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = unigram_count.piece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     return unigram_count.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary)
@@ -66,6 +71,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_count": op3_token_count,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
@@ -120,4 +126,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM doc LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL}
+def _op2_sql() -> str:
+    def one(order: int, rule: secret_scan.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        return f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, string_split_regex(t, '{pattern}') AS gaps,
+            regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {rule.group}) AS gs, {rule.least} AS least
+          FROM doc WHERE regexp_matches(t, '{pattern}')"""
+
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hit AS ({" UNION ALL ".join(one(k, r) for k, r in enumerate(secret_scan.RULES))}),
+span AS (
+  SELECT doc_id, o, kind, least, length(gs[i]) AS size, length(ms[i]) AS n,
+    list_sum([length(x) FOR x IN gaps[1 : i]]) + coalesce(list_sum([length(x) FOR x IN ms[1 : i - 1]]), 0) AS b
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM hit)
+), kept AS (
+  SELECT doc_id, o, kind, b, concat(kind, ':', CAST(b AS BIGINT), ':', CAST(b + n AS BIGINT)) AS s FROM span WHERE size >= least
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh,
+    string_agg(s, ',' ORDER BY b, o) FILTER (kind IN ({base})) AS base, string_agg(s, ',' ORDER BY b, o) AS every
+  FROM kept GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(na, 0) AS BIGINT) AS n_assign, CAST(coalesce(nc, 0) AS BIGINT) AS n_access, CAST(coalesce(nh, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM doc LEFT JOIN by_doc USING (doc_id)
+"""
+
+
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_secret_scan": _op2_sql(), "op5_decontamination": OP5_SQL}
