@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from loomtext.llm import (
     decontamination,
     license_scan,
+    quality_rules,
     secret_scan,
     sentencepiece_codec,
     sharding,
     simhash,
     substring_dedup,
+    toxicity,
     unigram_count,
 )
 from loomtext.llm.common import read_table
@@ -41,6 +43,12 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_count.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    field = quality_rules.fit_field(quality_rules.training_sample(docs, read_table(spark, sf_dir, "labels")))
+    return quality_rules.judge_documents(docs, field)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -69,15 +77,23 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    chain = toxicity.fit_chain(toxicity.training_sample(docs, read_table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs, chain)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_token_count": op3_token_count,
+    "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_license_scan": op9_license_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Lower-cases A-Z alone, as SQL's lower() would change other letters too.
