@@ -41,7 +41,8 @@ def test_later_links_see_earlier_probabilities(sample):
 def test_query_and_rows(spark):
     got = op10_toxicity(spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 1000 and 0 < sum(r.toxic for r in got) < 200
-    chain = t.fit_chain([("you idiot", 1), ("fine day", 0)] * 40)
+    words = [f"w{k}" for k in range(1000)]
+    chain = t.fit_chain([(" ".join(words[9 * k : 9 * k + 9]) + (" idiot" if k % 2 else ""), k % 2) for k in range(100)])
     rows = [(1, "Idiot! " * 9000, 1), (1, "fine", 2), (None, None, 3), (2, "", 4), (2, "", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     found = t.score_documents(df, chain).collect()
