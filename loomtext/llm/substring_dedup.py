@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import chunks, id_type, space_words
-from loomtext.session import durable
 
 WINDOW = 20
 #: Cells of a sketch row: for each expected window so many, but no more than 2 to this power (32 MB as bits).
@@ -187,42 +186,55 @@ def _by_document(o: np.ndarray, th: np.ndarray, at: np.ndarray) -> Iterator[tupl
         yield int(o[a]), int(th[a]), packed(np.unique(at[a:b]))
 
 
-_PLACES = "bucket int, o long, th long, data binary"
+_REPEATS = pa.schema([("o", pa.int64()), ("th", pa.int64()), ("data", pa.binary())])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "o", "th", "data"])
+def pack_places(o: np.ndarray, th: np.ndarray, row: np.ndarray, at: np.ndarray) -> bytes:
+    """Places in documents, sorted by row and place: a table of the documents, their counts and the gaps between places."""
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(row))).astype("<u4")
+    light = zlib.compress(counts.tobytes() + np.diff(at, prepend=0).astype("<i4").tobytes(), 1)
+    head = np.array([len(row), len(first), len(light)], "<u4").tobytes()
+    return head + o[first].astype("<i8").tobytes() + th[first].astype("<i8").tobytes() + light
+
+
+def unpack_places(data: bytes, start: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """((o, th, at), where it ends) of what ``pack_places`` made."""
+    n, docs, light = np.frombuffer(data, "<u4", 3, start).tolist()
+    start += 12
+    o, th = np.frombuffer(data, "<i8", docs, start), np.frombuffer(data, "<i8", docs, start + 8 * docs)
+    start += 16 * docs
+    plain = zlib.decompress(data[start : start + light])
+    counts = np.frombuffer(plain, "<u4", docs)
+    return (np.repeat(o, counts), np.repeat(th, counts), np.cumsum(np.frombuffer(plain, "<i4", n, 4 * docs))), start + light
 
 
 def candidate_places(docs: DataFrame, bitmaps, bits: int, buckets: int, size: int) -> DataFrame:
-    """Rows with a bucket hold a block's first places of windows estimated repeated; rows without one hold
-    places of a document (o, th) that are settled as repeated within the block."""
+    """(bucket, data): of the windows of a block that are estimated repeated and fall in a bucket, the places settled
+    as repeated within the block, then the first places with their hashes. Both travel together, so that a
+    task that is run again can't leave one half from each attempt."""
     width = buckets.bit_length() - 1
+    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, g, o, th, row, at = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((at, row, o, g, h))
         h, g, o, th, row, at = (c[order] for c in (h, g, o, th, row, at))
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-        group = np.cumsum(new) - 1
         same_row = np.concatenate([[False], (row[1:] == row[:-1]) & ~new[1:]])
-        again = (o > o[new][group]) | same_row
-        rows: list[tuple] = [(None, *found) for found in _by_document(o[again], th[again], at[again])] if again.any() else []
-        h, g, o, th, row, at = (c[~again] for c in (h, g, o, th, row, at))
+        again = (o > o[new][np.cumsum(new) - 1]) | same_row
         to = (h >> np.uint64(64 - width)).astype(np.int64) if width else np.zeros(len(h), np.int64)
-        order = np.lexsort((at, row, to))
-        h, g, o, th, row, at, to = (c[order] for c in (h, g, o, th, row, at, to))
+        order = np.lexsort((at, row, again, to))
+        h, g, o, th, row, at, to, again = (c[order] for c in (h, g, o, th, row, at, to, again))
         edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+        rows = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            first = np.flatnonzero(np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]]))
-            counts = np.diff(np.append(first, b - a)).astype("<u4")
-            light = zlib.compress(counts.tobytes() + np.diff(at[a:b], prepend=0).astype("<i4").tobytes(), 1)
-            head = np.array([b - a, len(first), len(light)], "<u4").tobytes()
-            ids = o[a:b][first].astype("<i8").tobytes() + th[a:b][first].astype("<i8").tobytes()
-            rows.append((int(to[a]), None, None, head + ids + light + h[a:b].astype("<u8").tobytes() + g[a:b].astype("<u4").tobytes()))
-        for k in range(0, len(rows), 1000):
-            yield _batch(rows[k : k + 1000])
+            m = a + int(np.searchsorted(again[a:b], True))
+            settled = pack_places(o[m:b], th[m:b], row[m:b], at[m:b])
+            first = pack_places(o[a:m], th[a:m], row[a:m], at[a:m])
+            rows.append((int(to[a]), settled + first + h[a:m].astype("<u8").tobytes() + g[a:m].astype("<u4").tobytes()))
+        for k in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 256], strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said, parts, held, seen = bitmaps.value, [], 0, 0
@@ -243,37 +255,30 @@ def candidate_places(docs: DataFrame, bitmaps, bits: int, buckets: int, size: in
         if held:
             yield from settle(parts)
 
-    return docs.select("text", "o", "th").mapInArrow(run, _PLACES)
+    return docs.select("text", "o", "th").mapInArrow(run, "bucket int, data binary")
 
 
 def exact_repeats(places: DataFrame) -> DataFrame:
-    """(o, th, data): places of a document whose window starts in a document before it, grouped by 96 bits."""
+    """(o, th, data): the settled places, and those whose window, by 96 bits, starts in a document before theirs."""
 
     def settle(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        settled: list[tuple] = []
+        columns: list[tuple] = []
         for data in parts:
-            n, docs, light = np.frombuffer(data, "<u4", 3).tolist()
-            at = 12 + 16 * docs
-            o, th = np.frombuffer(data, "<i8", docs, 12), np.frombuffer(data, "<i8", docs, 12 + 8 * docs)
-            plain = zlib.decompress(data[at : at + light])
-            counts = np.frombuffer(plain, "<u4", docs)
-            found = (
-                np.frombuffer(data, "<u8", n, at + light),
-                np.frombuffer(data, "<u4", n, at + light + 8 * n),
-                np.repeat(o, counts),
-                np.repeat(th, counts),
-                np.cumsum(np.frombuffer(plain, "<i4", n, 4 * docs)),
-            )
-            for column, one in zip(columns, found, strict=True):
-                column.append(one)
-        h, g, o, th, at = (np.concatenate(c) for c in columns)
+            own, start = unpack_places(data, 0)
+            settled.append(own)
+            own, start = unpack_places(data, start)
+            n = len(own[0])
+            columns.append((np.frombuffer(data, "<u8", n, start), np.frombuffer(data, "<u4", n, start + 8 * n), *own))
+        h, g, o, th, at = (np.concatenate(c) for c in zip(*columns, strict=True))
         order = np.lexsort((o, g, h))
         h, g, o, th, at = (c[order] for c in (h, g, o, th, at))
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-        again = o > o[new][np.cumsum(new) - 1]
-        rows = [(None, *found) for found in _by_document(o[again], th[again], at[again])] if again.any() else []
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])[: len(h)]
+        again = o > o[new][np.cumsum(new) - 1] if len(h) else np.zeros(0, bool)
+        o, th, at = (np.concatenate([c[again], *more]) for c, more in zip((o, th, at), zip(*settled, strict=True), strict=True))
+        rows = list(_by_document(o, th, at)) if len(o) else []
         for k in range(0, len(rows), 10_000):
-            yield _batch(rows[k : k + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 10_000], strict=True), _REPEATS, strict=True)], schema=_REPEATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -287,8 +292,7 @@ def exact_repeats(places: DataFrame) -> DataFrame:
         if parts:
             yield from settle(parts)
 
-    dealt = places.filter("bucket is not null").select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, _PLACES).select("o", "th", "data")
+    return places.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "o long, th long, data binary")
 
 
 class Removal:
@@ -339,8 +343,7 @@ def remove_repeats(
     bits = min(most_cells, max(16, (CELLS_A_WINDOW * expected - 1).bit_length()))
     bitmaps = spark.sparkContext.broadcast(merge_sketches(sketch_fragments(docs, bits, window), bits))
     buckets = 1 << max(0, (expected // BUCKET).bit_length())
-    places = durable(candidate_places(docs, bitmaps, bits, buckets, window))
-    repeats = places.filter("bucket is null").select("o", "th", "data").unionByName(exact_repeats(places))
+    repeats = exact_repeats(candidate_places(docs, bitmaps, bits, buckets, window))
     by_document = repeats.groupBy("o", "th").agg(F.collect_list("data").alias("starts"))
     met = docs.join(by_document, ["o", "th"], "left").select("id", "text", "starts")
 
