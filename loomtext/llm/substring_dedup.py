@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import chunks, id_type, space_words
 
 WINDOW = 20
-#: Cells of a sketch row: for each expected window so many, but no more than 2 to this power (32 MB as bits).
-CELLS_A_WINDOW, MOST_CELLS = 2, 28
+#: Cells of a sketch row: for each expected window so many, in whole ranges, but no more than so many ranges (32 MB as bits).
+CELLS_A_WINDOW, MOST_RANGES = 1.9, 64
 #: Bytes of text for each expected window.
 BYTES_A_WINDOW = 6
 #: 2 to this power: cells of a range that is merged by one task at a time.
@@ -81,14 +81,12 @@ class Windows:
         else:
             self.h, self.g = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
-    def cells(self, bits: int) -> list[np.ndarray]:
-        """The cell of each window in both hash rows."""
-        return cells_of(self.h, bits)
 
 
-def cells_of(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    mask = np.uint64((1 << bits) - 1)
-    return [(h & mask).astype(np.uint32), ((h >> np.uint64(64 - bits)) & mask).astype(np.uint32)]
+def cells_of(h: np.ndarray, cells: int) -> list[np.ndarray]:
+    """The cell of each window in both hash rows: halves of the hash, scaled to the number of cells."""
+    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+    return [((half * np.uint64(cells)) >> np.uint64(32)).astype(np.uint32) for half in (low, high)]
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -110,19 +108,19 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-def sketch_fragments(docs: DataFrame, bits: int, size: int) -> DataFrame:
+def sketch_fragments(docs: DataFrame, ranges: int, size: int) -> DataFrame:
     """(row, range, once, again): cells that a fragment's windows hit, and those that they hit more than once."""
     schema = pa.schema([("r", pa.int32()), ("s", pa.int32()), ("once", pa.binary()), ("again", pa.binary())])
 
     def emit(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         h = np.concatenate(kept)
-        for r, cells in enumerate(cells_of(h, bits)):
+        for r, cells in enumerate(cells_of(h, ranges << RANGE)):
             cells.sort()
             new = np.concatenate([[True], cells[1:] != cells[:-1]])
             once = cells[new]
             again = np.unique(cells[~new])
-            edges = np.arange(0, (1 << bits) + 1, 1 << min(bits, RANGE), dtype=np.int64)
+            edges = np.arange(ranges + 1, dtype=np.int64) << RANGE
             cut_once, cut_again = np.searchsorted(once, edges), np.searchsorted(again, edges)
             for s in range(len(edges) - 1):
                 if cut_once[s] < cut_once[s + 1]:
@@ -145,9 +143,9 @@ def sketch_fragments(docs: DataFrame, bits: int, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "r int, s int, once binary, again binary")
 
 
-def merge_sketches(fragments: DataFrame, bits: int) -> list[np.ndarray]:
-    """For each hash row the bits of the cells hit twice or more; at most 2 to the MOST_CELLS of them."""
-    width = 1 << min(bits, RANGE)
+def merge_sketches(fragments: DataFrame, ranges: int) -> list[np.ndarray]:
+    """For each hash row the bits of the cells hit twice or more; at most MOST_RANGES ranges of them."""
+    width = 1 << RANGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, counts = None, np.zeros(width, np.uint8)
@@ -171,7 +169,7 @@ def merge_sketches(fragments: DataFrame, bits: int) -> list[np.ndarray]:
             yield out()
 
     merged = fragments.repartition("r", "s").sortWithinPartitions("r", "s").mapInArrow(run, "r int, s int, bitmap binary")
-    rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
+    rows = [np.zeros((ranges << RANGE) // 8, np.uint8) for _ in range(2)]
     for r, s, bitmap in merged.collect():
         rows[r][s * width // 8 : (s + 1) * width // 8] = np.frombuffer(bitmap, np.uint8)
     return rows
@@ -209,7 +207,7 @@ def unpack_places(data: bytes, start: int) -> tuple[tuple[np.ndarray, np.ndarray
     return (np.repeat(o, counts), np.repeat(th, counts), np.cumsum(np.frombuffer(plain, "<i4", n, 4 * docs))), start + light
 
 
-def candidate_places(docs: DataFrame, bitmaps, bits: int, buckets: int, size: int) -> DataFrame:
+def candidate_places(docs: DataFrame, bitmaps, ranges: int, buckets: int, size: int) -> DataFrame:
     """(bucket, data): of the windows of a block that are estimated repeated and fall in a bucket, the places settled
     as repeated within the block, then the first places with their hashes. Both travel together, so that a
     task that is run again can't leave one half from each attempt."""
@@ -242,7 +240,7 @@ def candidate_places(docs: DataFrame, bitmaps, bits: int, buckets: int, size: in
             own = Windows(part.column(0).to_pylist(), size)
             o, th = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             keep = np.ones(len(own.h), bool)
-            for bitmap, cells in zip(said, own.cells(bits), strict=True):
+            for bitmap, cells in zip(said, cells_of(own.h, ranges << RANGE), strict=True):
                 keep &= (bitmap[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
             if keep.any():
                 row = own.row[keep]
@@ -258,8 +256,24 @@ def candidate_places(docs: DataFrame, bitmaps, bits: int, buckets: int, size: in
     return docs.select("text", "o", "th").mapInArrow(run, "bucket int, data binary")
 
 
-def exact_repeats(places: DataFrame) -> DataFrame:
-    """(o, th, data): the settled places, and those whose window, by 96 bits, starts in a document before theirs."""
+def _by_bucket(batches: Iterator[pa.RecordBatch], settle: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``settle`` gets all data of a bucket; batches come sorted by bucket."""
+    key, parts = None, []
+    for batch in batches:
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != key and parts:
+                yield from settle(parts)
+                parts = []
+            key = bucket
+            parts.append(data)
+    if parts:
+        yield from settle(parts)
+
+
+def exact_repeats(places: DataFrame, buckets: int) -> DataFrame:
+    """(o, th, data), a row for each document with repeats: the settled places, and those whose window, by 96 bits,
+    starts in a document before theirs. They travel back packed, by buckets of documents."""
+    packs = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
     def settle(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         settled: list[tuple] = []
@@ -276,23 +290,23 @@ def exact_repeats(places: DataFrame) -> DataFrame:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])[: len(h)]
         again = o > o[new][np.cumsum(new) - 1] if len(h) else np.zeros(0, bool)
         o, th, at = (np.concatenate([c[again], *more]) for c, more in zip((o, th, at), zip(*settled, strict=True), strict=True))
-        rows = list(_by_document(o, th, at)) if len(o) else []
+        to = (_mixed(o.view(np.uint64) ^ _mixed(th.view(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((at, th, o, to))
+        o, th, at, to = (c[order] for c in (o, th, at, to))
+        row = np.cumsum(np.concatenate([[0], (o[1:] != o[:-1]) | (th[1:] != th[:-1])])) if len(o) else o
+        edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(o) else np.zeros(1, np.int64)
+        rows = [(int(to[a]), pack_places(o[a:b], th[a:b], row[a:b], at[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        for k in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 1000], strict=True), packs, strict=True)], schema=packs)
+
+    def merge(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        o, th, at = (np.concatenate(c) for c in zip(*[unpack_places(data, 0)[0] for data in parts], strict=True))
+        rows = list(_by_document(o, th, at))
         for k in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 10_000], strict=True), _REPEATS, strict=True)], schema=_REPEATS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
-        for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != key and parts:
-                    yield from settle(parts)
-                    parts = []
-                key = bucket
-                parts.append(data)
-        if parts:
-            yield from settle(parts)
-
-    return places.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "o long, th long, data binary")
+    found = places.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _by_bucket(b, settle), "bucket int, data binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _by_bucket(b, merge), "o long, th long, data binary")
 
 
 class Removal:
@@ -318,7 +332,7 @@ def remove_repeats(
     df: DataFrame,
     *,
     window: int = WINDOW,
-    most_cells: int = MOST_CELLS,
+    most_ranges: int = MOST_RANGES,
     id_col: str = "doc_id",
     text_col: str = "text",
     schema: str = "kept string, n_words long, n_removed long",
@@ -340,12 +354,11 @@ def remove_repeats(
         F.col(id_col).alias("id"),
     )
     expected = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_WINDOW)
-    bits = min(most_cells, max(16, (CELLS_A_WINDOW * expected - 1).bit_length()))
-    bitmaps = spark.sparkContext.broadcast(merge_sketches(sketch_fragments(docs, bits, window), bits))
+    ranges = min(most_ranges, max(1, -(-int(CELLS_A_WINDOW * expected) >> RANGE)))
+    bitmaps = spark.sparkContext.broadcast(merge_sketches(sketch_fragments(docs, ranges, window), ranges))
     buckets = 1 << max(0, (expected // BUCKET).bit_length())
-    repeats = exact_repeats(candidate_places(docs, bitmaps, bits, buckets, window))
-    by_document = repeats.groupBy("o", "th").agg(F.collect_list("data").alias("starts"))
-    met = docs.join(by_document, ["o", "th"], "left").select("id", "text", "starts")
+    repeats = exact_repeats(candidate_places(docs, bitmaps, ranges, buckets, window), buckets)
+    met = docs.join(repeats, ["o", "th"], "left").select("id", "text", F.col("data").alias("starts"))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -357,7 +370,7 @@ def remove_repeats(
         for part in chunks(batches, 1):
             rows = []
             for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                found = np.unique(np.concatenate([unpacked(s) for s in starts])) if starts else np.zeros(0, np.int64)
+                found = unpacked(starts) if starts else np.zeros(0, np.int64)
                 rows.append(project(Removal(text, found, window)))
             columns = [part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(target)[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=target)

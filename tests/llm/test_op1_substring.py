@@ -26,11 +26,12 @@ def run(df, **options):
     return remove_repeats(df, schema="n_words long, n_removed long, kept_sha256 string", project=substring_dedup.Removal.digest, **options)
 
 
-@pytest.mark.parametrize("most_cells", [28, 16])
-def test_same_as_brute_force(spark, most_cells, monkeypatch):
+@pytest.mark.parametrize("size", [22, 8])
+def test_same_as_brute_force(spark, size, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "RANGE", size)
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
-    got = {r.doc_id: tuple(r)[1:] for r in run(df, most_cells=most_cells).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in run(df, most_ranges=3).collect()}
     assert got == brute_force(texts)
 
 
