@@ -83,7 +83,7 @@ def tsv_folder(spark: SparkSession, root: str) -> DataFrame:
 
     One distributed read of the folder; files are small, one subject each.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.tsv").text(root)
+    files = spark.read.option("pathGlobFilter", "*.tsv").text(root, wholetext=True)
     uid = F.regexp_replace(F.url_decode(_path_part(F.col("_metadata.file_path"), 1)), r"\.tsv$", "")
     lines = files.select(uid.alias("uid"), F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n").alias("lines"))
     rows = lines.select("uid", F.split(F.element_at("lines", 1), "\t").alias("head"), F.posexplode("lines").alias("seq", "line"))
@@ -106,7 +106,7 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str | None =
 
 def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The same with ``_line_at``, the line's number in its file, where the order of lines matters; small files."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.posexplode(F.split("value", r"\r?\n")).alias("_line_at", "line")).filter(F.trim("line") != "")
     return lines.select(F.from_json("line", schema).alias("r"), F.col("_line_at").cast("long").alias("_line_at")).select("r.*", "_line_at")
 
