@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import sentencepiece
 from pyspark.sql import DataFrame
 
 from loomtext.llm.common import id_type, map_texts
@@ -143,7 +142,6 @@ class PieceCodec:
         self.names = list(map(str, range(len(self.pieces))))
         self.surfaces = [p.replace(SPACE, " ") if k == NORMAL else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.sizes = np.array([1 if k == BYTE else len(s.encode()) for s, k in zip(self.surfaces, self.kinds, strict=True)])
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.remembered: dict[str, tuple] = {}
 
     # -- normalisation ---------------------------------------------------------------------------
@@ -206,12 +204,13 @@ class PieceCodec:
             if best == never:
                 break
             k = scores.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            merged = parts[k] + parts.pop(k + 1)
+            parts[k] = merged
             del scores[k]
             if k:
-                scores[k - 1] = get(parts[k - 1] + parts[k], never)
+                scores[k - 1] = get(parts[k - 1] + merged, never)
             if k < len(scores):
-                scores[k] = get(parts[k] + parts[k + 1], never)
+                scores[k] = get(merged + parts[k + 1], never)
         return parts
 
     def _merge_long(self, text: str) -> list[str]:
@@ -258,24 +257,22 @@ class PieceCodec:
 
     # -- encoding --------------------------------------------------------------------------------
 
-    def _words(self, words: list[str]) -> dict[str, tuple[str, bytes, str | None]]:
-        """What new words after a space give: ids as text, ids, and the decoded text if it isn't the word.
-
-        The library merges them, all of one text in one call; every word is decoded and compared here.
-        """
-        made = {}
-        for word, ids in zip(words, self.library.encode(words, num_threads=1), strict=True):
-            if not word:
-                ids = [self.id[SPACE]] if SPACE in self.id else self._ids([SPACE])[0]
-            surface = "".join(map(self.surfaces.__getitem__, ids))
-            if surface[1:] != word:
-                surface = self._surface(ids)
-            names = ",".join(map(self.names.__getitem__, ids))
-            found = names, array("i", ids).tobytes(), None if surface[1:] == word else surface
-            made[word] = found
-            if len(word) <= LONGEST_REMEMBERED and len(self.remembered) < REMEMBERED:
-                self.remembered[word] = found
-        return made
+    def _word(self, word: str) -> tuple[str, bytes, str | None]:
+        """What a new word after a space gives: ids as text, ids, and the decoded text if it isn't the word."""
+        ids = []
+        for piece in self.merge(SPACE + word.replace(" ", SPACE)):
+            number = self.id.get(piece)
+            if number is not None:
+                ids.append(number)
+            else:
+                ids += [self.bytes[b] for b in piece.encode()]
+        surface = "".join(map(self.surfaces.__getitem__, ids))
+        if surface[1:] != word:
+            surface = self._surface(ids)
+        found = ",".join(map(self.names.__getitem__, ids)), array("i", ids).tobytes(), None if surface[1:] == word else surface
+        if len(word) <= LONGEST_REMEMBERED and len(self.remembered) < REMEMBERED:
+            self.remembered[word] = found
+        return found
 
     _SPACED = re.compile(" *[^ ]+| +$")
 
@@ -290,10 +287,8 @@ class PieceCodec:
             words = [w[1:] for w in self._SPACED.findall(" " + text)]
         else:
             words = text.split(" ")
-        found = list(map(self.remembered.get, words))
-        if None in found:
-            new = self._words(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            found = [f or new[w] for w, f in zip(words, found, strict=True)]
+        get, made = self.remembered.get, self._word
+        found = [get(w) or made(w) for w in words]
         names, ids, surfaces = zip(*found, strict=True)
         ids = np.frombuffer(b"".join(ids), np.int32)
         ends = np.cumsum(self.sizes[ids]) - 1  # the prefix has no source
