@@ -34,7 +34,7 @@ BYTES_A_WINDOW = 6
 #: 2 to this power: cells of a range that is merged by one task at a time.
 RANGE = 22
 #: Windows in a fragment, candidates in a block, windows for each bucket of the exact pass.
-FRAGMENT, BLOCK, BUCKET = 4 << 20, 1 << 20, 2 << 20
+FRAGMENT, BLOCK, BUCKET = 4 << 20, 3 << 20, 2 << 20
 
 _LAST = np.iinfo(np.int64).max
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -214,16 +214,19 @@ def candidate_places(docs: DataFrame, bitmaps, ranges: int, buckets: int, size:
     width = buckets.bit_length() - 1
     schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
-    def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, g, o, th, row, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((at, row, o, g, h))
-        h, g, o, th, row, at = (c[order] for c in (h, g, o, th, row, at))
+    def settle(parts: list[tuple[np.ndarray, ...]], keys: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, g, row, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+        o, th = (np.concatenate(c) for c in zip(*keys, strict=True))
+        order = np.lexsort((at, row, o[row], g, h))
+        h, g, row, at = (c[order] for c in (h, g, row, at))
+        o, th = o[row], th[row]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         same_row = np.concatenate([[False], (row[1:] == row[:-1]) & ~new[1:]])
         again = (o > o[new][np.cumsum(new) - 1]) | same_row
         to = (h >> np.uint64(64 - width)).astype(np.int64) if width else np.zeros(len(h), np.int64)
         order = np.lexsort((at, row, again, to))
         h, g, o, th, row, at, to, again = (c[order] for c in (h, g, o, th, row, at, to, again))
+        del order, new, same_row
         edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
         rows = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -235,7 +238,7 @@ def candidate_places(docs: DataFrame, bitmaps, ranges: int, buckets: int, size:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 256], strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said, parts, held, seen = bitmaps.value, [], 0, 0
+        said, parts, keys, held, seen = bitmaps.value, [], [], 0, 0
         for part in chunks(batches, 0):
             own = Windows(part.column(0).to_pylist(), size)
             o, th = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
@@ -243,15 +246,15 @@ def candidate_places(docs: DataFrame, bitmaps, ranges: int, buckets: int, size:
             for bitmap, cells in zip(said, cells_of(own.h, ranges << RANGE), strict=True):
                 keep &= (bitmap[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
             if keep.any():
-                row = own.row[keep]
-                parts.append((own.h[keep], own.g[keep], o[row], th[row], row + seen, own.at[keep]))
-                held += len(row)
+                parts.append((own.h[keep], own.g[keep], (own.row[keep] + seen).astype(np.int32), own.at[keep].astype(np.int32)))
+                held += len(parts[-1][0])
+            keys.append((o, th))
             seen += part.num_rows
             if held >= BLOCK:
-                yield from settle(parts)
-                parts, held = [], 0
+                yield from settle(parts, keys)
+                parts, keys, held, seen = [], [], 0, 0
         if held:
-            yield from settle(parts)
+            yield from settle(parts, keys)
 
     return docs.select("text", "o", "th").mapInArrow(run, "bucket int, data binary")
 
