@@ -18,7 +18,7 @@ from loomtext.llm.common import alnum_words, id_type, map_texts
 
 #: Labelled documents of each label that the chain is trained on, at most, and words that it may weigh.
 TRAINING_DOCUMENTS, VOCABULARY = 1500, 400
-FOLDS, THRESHOLD = 5, 0.5
+FOLDS, THRESHOLD = 5, 0.35
 #: Documents of the sample in which a word must stand to be weighed, and its least chi-squared (chance: one in 30,000).
 LEAST_DOCUMENTS, LEAST_CHI_SQUARED = 5, 17.4
 #: Categories before the labelled one. The table has one toxicity label, so a row belongs to such a category

@@ -65,3 +65,28 @@ def test_run(spark, expected):
     for k, ids in want.items():
         assert got[k].n_tokens == len(ids)
         assert got[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_stages_take_nulls_repeats_extra_columns_and_empty_tables(spark, tmp_path):
+    words = " ".join(f"word{k}" for k in range(80))
+    rows = [
+        (1, words + ".", "en", None, 5, "x"), (1, words + ".", "en", None, 5, "x"), (2, words.upper() + ".", None, "s", None, None), (None, words + " token=deadbeef00112233.", "en", "s", 1, "y"),
+        (3, None, None, None, None, None), (4, "", "en", "s", 0, "z"), (5, " ".join(f"w{k}" for k in range(30000)) + ".", "en", "s", 0, "z"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, None), (7, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(None, None, None), (1, 1, None), (1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sf = str(tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0, name
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
+        if name == "near-duplicates":
+            # one of the repeated rows, its upper-case copy goes; the row without an id stays, as nothing tells it apart
+            assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 5]
+        if name == "secrets":
+            assert {r.doc_id: "[SECRET]" in r.text for r in docs.collect()} == {None: True, 1: False, 5: False}
+    assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 5]
+    assert corpus_pipeline.run(spark, sf).count() == 3
