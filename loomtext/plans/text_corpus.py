@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,11 @@ from loomtext.operators import corpus as c
 from loomtext.operators.quality import QualityLimits, length_filter, quality_filter
 from loomtext.operators.sampling import sample_classes
 from loomtext.plans.config import names, require, sampling, section
-from loomtext.sources.readers import csv_table, json_lines
+from loomtext.sources.readers import csv_table, exists, json_lines
 from loomtext.sources.writers import write_json_lines
 
 KEYS = (c.DATASET, c.ID)
+log = logging.getLogger(__name__)
 
 
 def transcripts_to_corpus(spark: SparkSession, asr: Mapping, text: Mapping, *, force: bool = False, dataset: str = "NCMMSC2021_AD_Competition") -> None:
@@ -28,11 +30,19 @@ def transcripts_to_corpus(spark: SparkSession, asr: Mapping, text: Mapping, *, f
         write_json_lines(c.normalise_schema(rows, dataset).select(c.ID, c.LABEL, c.TEXT, c.DATASET, c.LANGUAGE), target, order=KEYS, force=force)
 
 
-def united(spark: SparkSession, text: Mapping) -> DataFrame:
-    """Steps 1 and 2: the configured corpora, in order."""
-    listed = require(text, "corpora", "text.", list)
-    corpora = [(x.get("name"), json_lines(spark, x["path"]) if x.get("path") else None) for x in listed if x.get("name")]
-    return c.union_corpora(corpora, names(text.get("target_datasets")))
+def united(spark: SparkSession, text: Mapping, *, skip_missing: bool = False) -> DataFrame:
+    """Steps 1 and 2: the configured corpora that are wanted, in order. A missing file is an error unless skipped."""
+    listed, targets = require(text, "corpora", "text.", list), names(text.get("target_datasets"))
+    corpora = []
+    for own in listed:
+        name, path = own.get("name"), own.get("path")
+        if not name or not path or (targets is not None and name not in targets):
+            continue
+        if skip_missing and not exists(spark, path):
+            log.warning("corpus %s: %s is missing", name, path)
+            continue
+        corpora.append((name, json_lines(spark, path)))
+    return c.union_corpora(corpora, targets)
 
 
 def prompt_options(text: Mapping) -> dict | None:

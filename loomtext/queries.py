@@ -24,6 +24,10 @@ from loomtext.operators import quality as q
 from loomtext.operators import report as rp
 from loomtext.operators import sampling as sp
 from loomtext.operators import segments as sg
+from loomtext.session import shared_path
+from loomtext.sources import readers as rd
+from loomtext.sources import writers as wr
+from loomtext.streaming.clean import clean_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -335,6 +339,63 @@ length_query("q_length_filter", 2.5, 30)
 length_query("q_length_filter_guarded", 0.5, 1_000_000)
 length_query("q_length_filter_older", 1.0, 0)
 
+# ---------------------------------------------------------------- sources and sinks, there and back
+
+
+@query("q_jsonl_round_trip", """SELECT CAST(doc_id AS VARCHAR) AS "ID", source AS "Dataset", lang AS "Languages", md5(text) AS digest FROM documents""")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "jsonl")
+    wr.write_json_lines(records(spark, sf_dir), path)
+    return rd.json_lines(spark, path).select(c.ID, c.DATASET, c.LANGUAGE, F.md5(c.TEXT).alias("digest"))
+
+
+@query("q_csv_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS id, 'NC' AS label, md5(text) AS digest, CAST(n_chars AS DOUBLE) AS duration FROM documents")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts with line breaks, quotes and separators in them."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(" NC ").alias("label"), F.col("text").alias("transcript"), F.lit("p").alias("audio_path"), F.col("n_chars").alias("duration"))
+    path = shared_path(spark, "csv")
+    wr.write_csv(wr.transcript_rows(rows), path)
+    return rd.csv_table(spark, path).select("id", "label", F.md5("transcript").alias("digest"), F.col("duration").cast("double").alias("duration"))
+
+
+@query("q_checked_json", """SELECT CASE WHEN turn % 2 = 0 THEN 'object' ELSE 'wrapped' END AS kind, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY ALL""")
+def checked_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second turn as an object, the others as plain JSON strings, which get wrapped."""
+    rows = table(spark, sf_dir, "conversations")
+    scalar = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    path = shared_path(spark, "json")
+    rows.select(F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("text"))).otherwise(scalar)).write.text(path)
+    found = rd.checked_json_lines(spark, path).select(F.from_json("record", "text string, _value string").alias("r"))
+    kind = F.when(F.col("r._value").isNull(), "object").otherwise("wrapped")
+    return found.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_rows"), F.sum(F.length(F.coalesce("r.text", "r._value"))).cast("long").alias("n_chars"))
+
+
+@query("q_word_vectors", "SELECT concat('w', label) AS word, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings) WHERE r = 1")
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector file with repeated words (the last one counts), a header and an unreadable line."""
+    rows = table(spark, sf_dir, "embeddings")
+    line = F.concat_ws(" ", F.concat(F.lit("w"), F.col("label")), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " "))
+    odd = spark.createDataFrame([(-2, "10 64"), (-1, "bad " + "x " * 64)], "vec_id long, value string")
+    path = shared_path(spark, "vectors")
+    rows.select("vec_id", line.alias("value")).unionByName(odd).orderBy("vec_id").coalesce(1).select("value").write.text(path)
+    return rd.word_vectors(spark, path, 64).select("word", F.element_at("vec", 1).cast("double").alias("first"), F.element_at("vec", 64).cast("double").alias("last"))
+
+
+@query("q_stream_clean", f"""SELECT CAST(doc_id AS VARCHAR) AS "ID", 'HC' AS "Diagnosis", md5({sql_clean_structured(sql_clean_asr("text"))}) AS digest FROM documents""")
+def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row-wise cleaner over documents as a stream, into Parquet, until what is there is read."""
+    path, source = shared_path(spark, "stream"), f"{sf_dir}/documents.parquet"
+    # a pattern, as a stream doesn't take the path of a single file
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/documents.parque[t]")
+    records_of = rows.select(
+        F.col("doc_id").cast("string").alias(c.ID), F.lit("NC").alias(c.LABEL), F.col("text").alias(c.TEXT), F.col("source").alias(c.DATASET), F.col("lang").alias(c.LANGUAGE)
+    )
+    cleaned = clean_stream(records_of, limits=None).select(c.ID, c.LABEL, F.md5(c.TEXT).alias("digest"))
+    job = cleaned.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(cleaned.schema).parquet(f"{path}/out")
+
+
 # ---------------------------------------------------------------- segments and joins
 
 

@@ -20,6 +20,11 @@ TEXT_COLUMNS = ("Text_interviewer_participant", "text", "Text", "utterance", "se
 FOLDS_SCHEMA = "array<struct<train_idx:array<bigint>,test_idx:array<bigint>>>"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
@@ -27,7 +32,8 @@ def _path_part(path: Column, from_end: int) -> Column:
 def audio_tree(spark: SparkSession, root: str, labels: Sequence[str] | None = None, cap: int | None = None) -> DataFrame:
     """(label, id, audio_path) of the audio files in the label folders, by name; contents aren't read.
 
-    Folders that aren't there are left out; ``cap`` keeps the first files of each label.
+    Folders that aren't there are left out; ``cap`` keeps the first files of each label. Spark's listing skips names
+    that begin with a dot or an underscore.
     """
     wanted = [x.strip().upper() for x in labels or AUDIO_LABELS]
     files = (

@@ -34,7 +34,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, *,
     df = df.select(*columns) if columns else df
     if mark:
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, *, order: Sequence[str] = (), one_file: bool = False, force: bool = True) -> None:
@@ -45,13 +45,12 @@ def write_json_lines(df: DataFrame, path: str, *, order: Sequence[str] = (), one
 
 def combine_json_lines(spark: SparkSession, inputs: Sequence[str], path: str) -> None:
     """All records of the inputs, by path, as one set of JSON lines; no inputs or a missing one is an error."""
-    from loomtext.sources.readers import checked_json_lines
+    from loomtext.sources.readers import checked_json_lines, exists
 
     if not inputs:
         raise ValueError("no inputs")
     for name in inputs:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        if not exists(spark, name):
             raise FileNotFoundError(name)
     checked_json_lines(spark, sorted(inputs)).select("record").write.mode("overwrite").text(path)
 
