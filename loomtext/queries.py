@@ -24,7 +24,7 @@ from loomtext.operators import quality as q
 from loomtext.operators import report as rp
 from loomtext.operators import sampling as sp
 from loomtext.operators import segments as sg
-from loomtext.session import shared_path
+from loomtext.session import shared_path, spread
 from loomtext.sources import readers as rd
 from loomtext.sources import writers as wr
 from loomtext.streaming.clean import clean_stream
@@ -60,7 +60,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """(doc_id, y, source, lang, text) of the labelled documents."""
     own = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
-    return own.join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *(["text"] if text else [])), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *(["text"] if text else []))
+    return own.join(spread(docs) if text else docs, "doc_id")
 
 
 LABELLED = "(SELECT l.doc_id, l.quality AS y, d.source, d.lang, d.text FROM labels l JOIN documents d USING (doc_id))"
@@ -177,7 +178,7 @@ def texts_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with annotation marks, by doc_id."""
     marks = F.when(F.col("doc_id") % 3 == 0, F.lit(" &-UH &-uh [//] (x) < . . . > &-ah")).when(F.col("doc_id") % 3 == 1, F.lit(" [聽不清楚] 嗯，嗯、嗯 12_345 +foo [註]")).otherwise(F.lit(" 【上海话】 &嗯 <abc> [+ GRAM] [/]"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doctor: "), F.col("text"), marks).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit("Doctor: "), F.col("text"), marks).alias("text"))
 
 
 DECORATED = """(SELECT doc_id, concat('Doctor: ', text, CASE doc_id % 3 WHEN 0 THEN ' &-UH &-uh [//] (x) < . . . > &-ah' WHEN 1 THEN ' [聽不清楚] 嗯，嗯、嗯 12_345 +foo [註]' ELSE ' 【上海话】 &嗯 <abc> [+ GRAM] [/]' END) AS t FROM documents)"""
@@ -272,7 +273,8 @@ def sql_prompts(text: str, patterns: list[str], mode: str, most: int = 8, least:
 def prompt_query(name: str, f: Callable[[Column, Column], Column], sql: str) -> None:
     @query(name, f"SELECT doc_id, md5(o) AS digest, {LONG('length(o)')} AS n FROM (SELECT doc_id, {sql} AS o FROM documents)")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "documents").select("doc_id", f(F.col("text"), F.col("source")).alias("o"))
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+        rows = docs.select("doc_id", f(F.col("text"), F.col("source")).alias("o"))
         return rows.select("doc_id", F.md5("o").alias("digest"), F.length("o").cast("long").alias("n"))
 
 

@@ -36,6 +36,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomtext-checkpoint-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out to all of them; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the checkpoint folder, which the driver and all executors see."""
     ensure_checkpoint_dir(spark)
