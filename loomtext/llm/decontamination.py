@@ -209,14 +209,45 @@ def clean(
 ) -> DataFrame:
     """``df`` with its own columns, without contaminated documents or (``remove="spans"``) without hit words.
 
-    Rows are looked at one by one, so columns of any name and repeated rows pass as they are. With
-    ``spans``, what stands between the first and the last character of a hit stretch is taken out.
+    Columns of any name and repeated rows pass as they are. With ``spans``, what stands between the first and the
+    last character of a hit stretch is taken out. A benchmark beyond ``block_bytes`` is scanned in several blocks;
+    the hits of all of them are put together for each content before the rule or the cut, so results are the same.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    for block in blocks_of(benchmark, block_bytes, item_col, item_text_col):
-        df = _clean_by(df, _collect_block(block, item_col, item_text_col), remove, window, text_col)
-    return df
+    blocks = blocks_of(benchmark, block_bytes, item_col, item_text_col)
+    if len(blocks) == 1:
+        return _clean_by(df, _collect_block(blocks[0], item_col, item_text_col), remove, window, text_col)
+    # Hits depend on the text alone, so rows are told apart by their content's address; a null text has no hits.
+    address = F.sha2(F.col(text_col), 256)
+    texts = df.select(address.alias("k"), F.col(text_col).alias("t"))
+    schema = "k string, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
+    found = [_scan(texts, b, schema, window, "k", "t", item_col, item_text_col).filter(F.size("spans") > 0) for b in blocks]
+    together = reduce(DataFrame.unionByName, found).groupBy("k")
+    # copies of a content have the same spans in a block, a set keeps one of them
+    hits = together.agg(F.max("n_words").alias("n_words"), F.lit(None).cast("array<string>").alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
+    rows = df.select(F.struct("*").alias("row"), address.alias("k"))
+    if remove == "documents":
+        dirty = _with_counts(hits, "k").filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
+        return rows.join(dirty.select("k"), "k", "left_anti").select("row.*")
+    spans = "spans"
+    while spans.lower() in map(str.lower, df.columns):
+        spans += "_"
+    return _cut(rows.join(hits.select("k", F.col("spans").alias(spans)), "k", "left").select("row.*", spans), df, text_col)
+
+
+def _cut(found: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+    """The rows of ``found`` (those of ``df`` and, last, their hit stretches or null) without the words of the stretches."""
+    at, last = df.columns.index(text_col), len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, at):
+            rows = zip(part.column(at).to_pylist(), part.column(last).to_pylist(), strict=True)
+            cut = [without(t, merged([(x["begin"], x["end"]) for x in s])) if s else t for t, s in rows]
+            own = pa.RecordBatch.from_arrays(part.columns[:last], schema=pa.schema([part.schema.field(k) for k in range(last)]))
+            yield own.set_column(at, own.schema.field(at), pa.array(cut, own.schema.field(at).type))
+
+    return found.mapInArrow(run, df.schema)
 
 
 def _clean_by(df: DataFrame, items: list, remove: str, window: int, text_col: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomtext.llm.decontamination import WindowIndex, brute_force, clean, find_hits, report, without
+from loomtext.llm.decontamination import ONE_IN, WindowIndex, blocks_of, brute_force, clean, find_hits, report, without
 
 DRAW = random.Random(11)
 WORDS = ["alpha", "Beta", "gam-ma", "δ", "e5", "Zoë"]
@@ -51,3 +51,25 @@ def test_clean(spark):
         assert cut[k] == (without(v, spans) if spans else v)
         assert len(next(iter(index.scan([cut[k]])))[1]) == 0 or spans
     assert find_hits(docs, items).filter("size(spans) > 0").count() == sum(v[1] > 0 for v in want.values())
+
+
+def test_clean_puts_the_hits_of_all_blocks_together(spark):
+    items = {k: " ".join(f"i{k}w{j}" for j in range(20)) for k in range(12)}
+    # a stretch that goes on from one item into the next, of another block or not
+    items |= {100 + k: " ".join(items[k].split()[10:] + items[k + 1].split()[:10]) for k in range(11)}
+    spread = " ".join(f"{items[k]} {' '.join(f'f{k}x{j}' for j in range(240))}" for k in range(12))
+    docs = {1: spread, 2: "a b c", 3: None, 4: "", 5: " ".join(items[k] for k in range(12)) + " end", 6: "a " * 500 + items[3]}
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    blocks = [dict(b.collect()) for b in blocks_of(benchmark, 600, "item_id", "text")]
+    n_words, n_hit, *_ = brute_force(docs, items)[1]
+    assert ONE_IN * n_hit >= n_words and not any(brute_force(docs, b)[1][4] for b in blocks)
+    rows = [(k, v, "x", "y") for k, v in docs.items()] * 2 + [(None, spread, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string, spans string")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    for remove in ("documents", "spans"):
+        one, many = clean(df, benchmark, remove=remove), clean(df, benchmark, remove=remove, block_bytes=600)
+        assert many.schema == df.schema
+        assert order(many.collect()) == order(one.collect())
+    want = {k for k, v in brute_force(docs, items).items() if not v[4]}
+    assert want == {2, 3, 4, 6}
+    assert [r.doc_id for r in clean(df, benchmark, block_bytes=600).sort("doc_id").collect()] == [2, 2, 3, 3, 4, 4, 6, 6]
