@@ -30,9 +30,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class WindowIndex:
     """Windows of test items: by length, the sorted hashes and the exact windows with their items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.word: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.windows: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             words = [self.word.setdefault(w, len(self.word)) for w in alnum_words(text)]
             size = min(window, len(words))
@@ -43,7 +43,7 @@ class WindowIndex:
             for size, found in self.windows.items()
         }
 
-    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None]]]:
         """For each text: number of words, hit stretches [from, to) of words, items of which a window occurs."""
         get = self.word.get
         parts, counts = [], []
@@ -55,7 +55,7 @@ class WindowIndex:
         codes = np.concatenate(parts) if parts else _GAP
         starts = np.cumsum([0] + [n + 1 for n in counts])
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[str]] = [set() for _ in texts]
+        items: list[set[str | None]] = [set() for _ in texts]
         known = codes >= 0
         # how many known words follow each place without a break
         stops = np.flatnonzero(~known)
@@ -120,11 +120,11 @@ def find_hits(
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row for each row of ``df``: id, n_words, n_hit, items (sorted as strings), spans of hit words.
+    """One row for each row of ``df``: id, n_words, n_hit, items (sorted as strings, null last), spans of hit words.
 
     An item with fewer words than a window, but not none, is one window. Null and empty texts have no
     words; ids may be null or repeated (each row has its own result); items with equal ids count once;
-    other columns are not looked at; empty tables give no rows or no hits. Texts are scanned whole.
+    items without an id are scanned like any other and count as one, null, in ``items``; other columns are not looked at; empty tables give no rows or no hits. Texts are scanned whole.
     A benchmark beyond ``block_bytes`` is scanned in several blocks and the hits put together by row.
     """
     blocks = blocks_of(benchmark, block_bytes, item_col, item_text_col)
@@ -159,9 +159,8 @@ def _with_counts(found: DataFrame, id_col: str) -> DataFrame:
     return found.select(id_col, "n_words", covered.alias("n_hit"), "items", "spans")
 
 
-def _collect_block(block: DataFrame, item_col: str, text_col: str) -> list[tuple[str, str | None]]:
-    rows = block.select(F.col(item_col).cast("string"), F.col(text_col)).collect()
-    return [(r[0], r[1]) for r in rows if r[0] is not None]
+def _collect_block(block: DataFrame, item_col: str, text_col: str) -> list[tuple[str | None, str | None]]:
+    return [(r[0], r[1]) for r in block.select(F.col(item_col).cast("string"), F.col(text_col)).collect()]
 
 
 def _scan(df, block, schema, window, id_col, text_col, item_col, item_text_col) -> DataFrame:
@@ -172,7 +171,7 @@ def _scan(df, block, schema, window, id_col, text_col, item_col, item_text_col)
 
         def work(ids: list, texts: list) -> list:
             counts, spans, items = zip(*index.scan(texts), strict=True)
-            return [ids, list(counts), [[{"begin": b, "end": e} for b, e in s] for s in spans], [sorted(i) for i in items]]
+            return [ids, list(counts), [[{"begin": b, "end": e} for b, e in s] for s in spans], [sorted(i, key=lambda x: (x is None, x or "")) for i in items]]
 
         return work
 
@@ -184,7 +183,10 @@ def is_contaminated(n_hit, n_words):
 
 
 def report(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The hits in digest form: n_words, n_hit, n_items, items_sha256, contaminated."""
+    """The hits in digest form: n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Items without an id count as one in n_items; the digest is of the ids alone.
+    """
     id_col = options.get("id_col", "doc_id")
     return find_hits(df, benchmark, **options).select(
         id_col,

@@ -1,8 +1,11 @@
 import random
 
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.llm.decontamination import ONE_IN, WindowIndex, blocks_of, brute_force, clean, find_hits, report, without
+from loomtext.llm.queries import OP5_SQL
 
 DRAW = random.Random(11)
 WORDS = ["alpha", "Beta", "gam-ma", "δ", "e5", "Zoë"]
@@ -73,3 +76,18 @@ def test_clean_puts_the_hits_of_all_blocks_together(spark):
     want = {k for k, v in brute_force(docs, items).items() if not v[4]}
     assert want == {2, 3, 4, 6}
     assert [r.doc_id for r in clean(df, benchmark, block_bytes=600).sort("doc_id").collect()] == [2, 2, 3, 3, 4, 4, 6, 6]
+
+
+def test_items_without_an_id_hit_as_the_sql_says(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    items = [(None, passage), (None, "short one"), (None, None), (1, "other " * 15), (2, passage[:60])]
+    docs = [(1, f"x {passage} y"), (2, "A short, one"), (3, "other " * 20 + passage), (4, "nothing"), (5, None)]
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sql = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        sql.register(name, pa.table({key: pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    want = sorted(sql.sql(OP5_SQL).fetchall())
+    assert [r[-1] for r in want] == [True, True, True, False, False]
+    for block in (32 << 20, 100):
+        assert sorted(map(tuple, report(documents, benchmark, block_bytes=block).collect())) == want
+        assert sorted(r.doc_id for r in clean(documents, benchmark, block_bytes=block).collect()) == [4, 5]
