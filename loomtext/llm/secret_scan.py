@@ -46,6 +46,18 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+_PEM_MARK = "(?:[A-Z]+ )*PRIVATE KEY-----"
+#: What is masked: as RULES, but a key from its header to the END line; where there is none, RFC 1421 headers and
+#: base64 runs of 16 characters or more, and the shorter last line after a full one. Possessive, so that long
+#: bodies are matched without recursion.
+_PEM_BLOCK = (
+    rf"-----BEGIN {_PEM_MARK}(?:(?:(?!-----)[\s\S])*+-----END {_PEM_MARK}"
+    r"|(?:\s*(?:Proc-Type|DEK-Info): [^\r\n]*){0,9}"
+    r"(?:(?!(?=[\s\\])(?:\s{0,9}+\\[nr]){0,9}+\s{0,40}+(?![A-Za-z0-9+/]{16}))(?!\\(?![nr]))[A-Za-z0-9+/=\s\\])*+"
+    r"(?:(?<=[A-Za-z0-9+/]{60})[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:\n|\Z)))?)"
+)
+MASK_RULES = tuple(Rule(r.kind, _PEM_BLOCK, 0, 1, r.any_of) if r.kind == "pem" else r for r in RULES)
+
 
 def blob_of(text_col: str) -> Column:
     """The content's address; a null text has that of an empty one."""
@@ -174,10 +186,10 @@ def scan_documents(
     )
 
 
-def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, mask: str = "[SECRET]", ledger_path: str | None = None, text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, rules: tuple[Rule, ...] = MASK_RULES, *, mask: str = "[SECRET]", ledger_path: str | None = None, text_col: str = "text") -> DataFrame:
     """``df`` with its own columns; in its texts every stretch of overlapping findings is replaced by the mask.
 
-    Rows without findings, null texts and repeated rows pass as they are.
+    Private keys are masked with their bodies (MASK_RULES), though scans report their headers alone. Rows without findings, null texts and repeated rows pass as they are.
     """
     spans = findings_by_blob(df, rules, ledger_path=ledger_path, text_col=text_col).select("blob", F.col("spans").alias("__spans"))
     rows = join_back(df, spans, df.columns, text_col)
