@@ -94,28 +94,39 @@ def near_duplicates(
     result; null ids keep their row and count as no id, so a component of them alone has a null component_id.
     Other columns are not looked at; an empty table gives an empty one. Whole texts are read.
     """
+    docs, named = _components(df, shingle, crowded, id_col, text_col)
+    return docs.join(named, F.col("fp") == F.col("own")).select(
+        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _components(df: DataFrame, shingle: int, crowded: int, id_col: str, text_col: str, least_of: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row; (own fingerprint, root, component_id) of each fingerprint: the smallest ``least_of`` (the id)."""
     docs = durable(fingerprints(df, shingle=shingle, id_col=id_col, text_col=text_col))
-    least = durable(docs.groupBy("fp").agg(F.min(id_col).alias("least")))
+    least = durable(docs.groupBy("fp").agg(F.min(F.expr(least_of) if least_of else F.col(id_col)).alias("least")))
     components = connected_components(close_links(least.select("fp"), crowded))
     rooted = least.join(components, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_root = by_root.select((F.col("root") + F.lit(0)).alias("at"), "component_id")
     named = rooted.select(F.col("fp").alias("own"), "root").join(by_root, F.col("root") == F.col("at"))
-    named = named.select("own", F.col("component_id"))
-    return docs.join(named, F.col("fp") == F.col("own")).select(
-        id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return docs, named.select("own", "component_id")
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df``, with its own columns, with one row of each component: the one with the component's id.
+    """``df``, with its own columns, with one row of each component: one with the smallest id.
 
-    Of several rows with that id one stays; rows of components without any id all stay, as nothing tells which.
+    Ids may be repeated: rows are told apart by id and content, of several contents with that id in a component the
+    one with the smallest address stays, of equal ids and contents one row. Rows without an id all stay, as nothing
+    tells them apart, also next to a row with an id in their component.
     """
-    found = near_duplicates(df, id_col=id_col, text_col=text_col)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    kept = df.join(keep, df[id_col] == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(df.filter(F.col(id_col).isNull()))
+    key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
+    keyed = df.select(key.alias("k"), F.col(text_col).alias("t"))
+    docs, named = _components(keyed, SHINGLE, CROWDED, "k", "t", "CASE WHEN k.id IS NOT NULL THEN k END")
+    found = docs.join(named, F.col("fp") == F.col("own"))
+    rows = df.select(F.struct("*").alias("row"), key.alias("k"))
+    first = found.select(F.col("component_id").alias("k")).filter("k IS NOT NULL").distinct()
+    kept = rows.filter(F.col(id_col).isNotNull()).join(first, "k", "left_semi").dropDuplicates(["k"])
+    return kept.unionByName(rows.filter(F.col(id_col).isNull())).select("row.*")
 
 
 def brute_components(prints: Iterable[tuple[int, int]]) -> dict[int, int]:
