@@ -18,6 +18,7 @@ from loomtext.llm import (
     unigram_count,
 )
 from loomtext.llm.common import read_table
+from loomtext.session import shared_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,7 +36,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+    """The history arrives in two parts at a new ledger: what has the lower half of the ids, then all of it.
+
+    The second run scans the contents alone that the first one left unseen; every row gets its findings from the ledger.
+    """
+    docs, ledger = read_table(spark, sf_dir, "documents"), shared_path(spark, "secret-ledger")
+    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("at")).first()["at"]
+    secret_scan.update_ledger(docs.filter(F.col("doc_id") <= F.lit(middle)), ledger, run="first")
+    return secret_scan.scan_documents(docs, ledger_path=ledger, run="second")
 
 
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,17 +150,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM doc LEFT JOIN kept USING (doc_id)
 """
 
+#: Written out here, apart from the operator's rules: kind, pattern, group that counts, its least length.
+OP2_PATTERNS = (
+    ("assign", "(?i)(password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+)
+
+
 def _op2_sql() -> str:
-    def one(order: int, rule: secret_scan.Rule) -> str:
-        pattern = rule.pattern.replace("'", "''")
-        return f"""SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, string_split_regex(t, '{pattern}') AS gaps,
-            regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {rule.group}) AS gs, {rule.least} AS least
+    def one(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+        return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, string_split_regex(t, '{pattern}') AS gaps,
+            regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs, {least} AS least
           FROM doc WHERE regexp_matches(t, '{pattern}')"""
 
-    base = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
     return f"""
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-hit AS ({" UNION ALL ".join(one(k, r) for k, r in enumerate(secret_scan.RULES))}),
+hit AS ({" UNION ALL ".join(one(k, *r) for k, r in enumerate(OP2_PATTERNS))}),
 span AS (
   SELECT doc_id, o, kind, least, length(gs[i]) AS size, length(ms[i]) AS n,
     list_sum([length(x) FOR x IN gaps[1 : i]]) + coalesce(list_sum([length(x) FOR x IN ms[1 : i - 1]]), 0) AS b
@@ -161,7 +179,7 @@ span AS (
   SELECT doc_id, o, kind, b, concat(kind, ':', CAST(b AS BIGINT), ':', CAST(b + n AS BIGINT)) AS s FROM span WHERE size >= least
 ), by_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh,
-    string_agg(s, ',' ORDER BY b, o) FILTER (kind IN ({base})) AS base, string_agg(s, ',' ORDER BY b, o) AS every
+    string_agg(s, ',' ORDER BY b, o) FILTER (kind IN ('assign', 'access', 'hex')) AS base, string_agg(s, ',' ORDER BY b, o) AS every
   FROM kept GROUP BY doc_id
 )
 SELECT doc_id, CAST(coalesce(na, 0) AS BIGINT) AS n_assign, CAST(coalesce(nc, 0) AS BIGINT) AS n_access, CAST(coalesce(nh, 0) AS BIGINT) AS n_hex,

@@ -2,17 +2,23 @@
 
 Every version of every path is addressed by its content (SHA-256). A blob is scanned once, and only by the rule
 versions that the ledger doesn't have for it; findings are joined back to all paths with that content.
+
+The ledger is a folder with one folder of Parquet files for each run, named by the run. A row holds a blob, the rule
+versions that the run scanned it by, and their findings, each with its rule version; kinds and their order are those
+of the rules that a reader asks for. Runs that didn't finish aren't read; a run that is repeated under its name
+doesn't look at what it wrote before, and replaces it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LEDGER_SCHEMA = "blob string, rules array<string>, spans array<struct<begin:int,order:int,end:int,kind:string>>"
+LEDGER_SCHEMA = "blob string, rules array<string>, spans array<struct<begin:int,end:int,rule:string>>"
 
 
 @dataclass(frozen=True)
@@ -81,37 +87,37 @@ def _matches(rule: Rule, text: Column, wanted: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, begin, order, end, kind) of every finding; ``blobs`` has blob, text and the rule versions ``pending``.
+    """(blob, begin, end, rule) of every finding; ``blobs`` has blob, text and the rule versions ``pending``.
 
     Offsets are code points. A pattern's matches don't overlap; where each begins is the sum of what stands before it.
     """
     found = F.array(
         *[
             F.struct(
-                F.lit(k).alias("order"),
-                F.lit(rule.kind).alias("kind"),
+                F.lit(rule.version).alias("rule"),
                 _matches(rule, F.col("text"), F.array_contains("pending", rule.version)).alias("parts"),
             )
-            for k, rule in enumerate(rules)
+            for rule in rules
         ]
     )
     rows = blobs.select("blob", F.explode(F.filter(found, lambda f: f["parts"].isNotNull())).alias("f"))
-    rows = rows.select("blob", "f.order", "f.kind", F.posexplode("f.parts").alias("n", "part"))
-    upto = Window.partitionBy("blob", "order").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("blob", "f.rule", F.posexplode("f.parts").alias("n", "part"))
+    upto = Window.partitionBy("blob", "rule").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("part.gap") + F.coalesce(F.col("part.size"), F.lit(0))).over(upto).cast("int")
     placed = rows.withColumn("end", end).filter(F.col("part.counts"))
-    return placed.select("blob", (F.col("end") - F.col("part.size")).alias("begin"), "order", "end", "kind")
+    return placed.select("blob", (F.col("end") - F.col("part.size")).alias("begin"), "end", "rule")
 
 
-def read_ledger(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """The ledger's rows; None if there is none yet."""
-    if path is None:
-        return None
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+def read_ledger(spark: SparkSession, path: str, but: str | None = None) -> DataFrame | None:
+    """The rows of all finished runs, except the run ``but``; None if there are none yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
         return None
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    done = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, "run=*/_SUCCESS"))
+    runs = [s.getPath().getParent() for s in done]
+    found = [r.toString() for r in runs if r.getName() != f"run={but}"]
+    return spark.read.schema(LEDGER_SCHEMA).parquet(*found) if found else None
 
 
 def unseen_blobs(df: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
@@ -125,25 +131,39 @@ def unseen_blobs(df: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return blobs.join(seen, "blob", "left").select("blob", "text", pending.alias("pending")).filter(F.size("pending") > 0)
 
 
-def findings_by_blob(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """(blob, spans) for each content of ``df`` with findings; with ``ledger_path`` the ledger is read and added to."""
-    ledger = read_ledger(df.sparkSession, ledger_path)
-    unseen = unseen_blobs(df, ledger, rules, text_col)
-    span = F.struct("begin", "order", "end", "kind")
-    new = scan_blobs(unseen, rules).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+def _ordered(spans: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) from rows (blob, begin, end, rule): of these rules alone, by begin, then in the rules' order."""
+    order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.version, k)])
+    kinds = F.create_map(*[F.lit(x) for r in rules for x in (r.version, r.kind)])
+    own = spans.filter(F.col("rule").isin([r.version for r in rules]))
+    span = F.struct("begin", order[F.col("rule")].alias("order"), "end", kinds[F.col("rule")].alias("kind"))
+    return own.groupBy("blob").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+
+
+def update_ledger(df: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, *, run: str | None = None, text_col: str = "text") -> None:
+    """Scan every content of ``df`` by the rule versions that the ledger lacks for it, and add what was found.
+
+    ``run`` names the addition. A run that failed, or is made again under its name, replaces its own rows; two runs at
+    once may scan the same contents, which readers see once. Contents without findings are noted too.
+    """
+    run = run or uuid.uuid4().hex
+    unseen = unseen_blobs(df, read_ledger(df.sparkSession, path, but=run), rules, text_col)
+    found = scan_blobs(unseen, rules).groupBy("blob").agg(F.collect_list(F.struct("begin", "end", "rule")).alias("spans"))
+    rows = unseen.select("blob", F.col("pending").alias("rules")).join(found, "blob", "left")
+    rows.select("blob", "rules", F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int,rule:string>>")).alias("spans")).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def findings_by_blob(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger_path: str | None = None, run: str | None = None, text_col: str = "text") -> DataFrame:
+    """(blob, spans) for the contents with findings, sorted.
+
+    With ``ledger_path`` the ledger is brought up to date by ``df`` first, and the findings are read from it: those
+    of every content that it knows. Without one all contents of ``df`` are scanned.
+    """
     if ledger_path is None:
-        return new
-    scanned = unseen.select("blob", F.col("pending").alias("rules")).join(new, "blob", "left")
-    scanned = scanned.select("blob", "rules", F.coalesce("spans", F.array().cast("array<struct<begin:int,order:int,end:int,kind:string>>")).alias("spans"))
-    scanned.write.mode("append").parquet(ledger_path)
-    current = {r.version: k for k, r in enumerate(rules)}
+        return _ordered(scan_blobs(unseen_blobs(df, None, rules, text_col), rules), rules)
+    update_ledger(df, ledger_path, rules, run=run, text_col=text_col)
     known = read_ledger(df.sparkSession, ledger_path)
-    by_kind = {v.partition("@")[0]: v for v in current}
-    # a row's spans hold for its rule versions alone; of a span's kind the version must be a current one
-    version = F.create_map(*[F.lit(x) for pair in by_kind.items() for x in pair]) if by_kind else F.lit(None)
-    spans = known.select("blob", "rules", F.explode("spans").alias("s")).filter(F.array_contains("rules", version[F.col("s.kind")]))
-    mine = df.select(blob_of(text_col).alias("blob")).distinct()
-    return spans.join(mine, "blob", "left_semi").groupBy("blob").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    return _ordered(known.select("blob", F.explode("spans").alias("s")).select("blob", "s.*"), rules)
 
 
 def join_back(df: DataFrame, findings: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -163,7 +183,13 @@ def _said(spans: Column) -> Column:
 
 
 def scan_documents(
-    df: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    rules: tuple[Rule, ...] = RULES,
+    *,
+    ledger_path: str | None = None,
+    run: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """One row for each row of ``df``: id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, in code points).
 
@@ -171,7 +197,7 @@ def scan_documents(
     table gives an empty one. Equal contents are scanned once, whole.
     """
     base = [r.kind for r in BASE_RULES]
-    digest = findings_by_blob(df, rules, ledger_path=ledger_path, text_col=text_col).select(
+    digest = findings_by_blob(df, rules, ledger_path=ledger_path, run=run, text_col=text_col).select(
         "blob",
         *[F.size(_of([kind])).cast("long").alias(f"n_{kind}") for kind in base],
         F.sha2(_said(_of(base)), 256).alias("base_sha256"),
