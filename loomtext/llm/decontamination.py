@@ -1,19 +1,19 @@
 """Benchmark decontamination: documents are scanned for the normalised n-grams of test items.
 
-The n-grams of a block of items (a hash set whose size is checked before) go to every worker; token windows that are in
-it by their hash are verified word by word. More items than one block holds are scanned block after block.
+The n-grams of a block of items go to every worker as sorted arrays of hashes, whose size is checked before; token
+windows that are among them by their hash are verified byte by byte. More items than one block holds are scanned block
+after block, and the hits of all blocks are put together before anything is decided.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import ALNUM_TABLE, alnum_words, chunks, id_type, map_texts
@@ -21,72 +21,136 @@ from loomtext.llm.common import ALNUM_TABLE, alnum_words, chunks, id_type, map_t
 WINDOW = 13
 #: A document is contaminated if a word in this many is hit.
 ONE_IN = 20
-#: Most bytes of test text in a block that is sent to every worker.
+#: Most bytes of test text in a block. Its index takes some five times as much (30 bytes for a word of six), which is
+#: what every worker holds, once.
 BLOCK_BYTES = 32 << 20
+#: Bytes that a piece counts besides its text, and words of a piece: a longer item is cut into pieces that overlap.
+PIECE_BYTES, PIECE_WORDS = 64, 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` word hashes, put together from windows of powers of two."""
+    n = len(words) - size + 1
+    out, done, part, width, power = None, 0, words, 1, _BASE
+    while True:
+        if size & width:
+            piece = part[done : done + n]
+            out = piece.copy() if out is None else out * power + piece
+            done += width
+        if done == size:
+            return (out ^ (out >> np.uint64(31))) * _MIX
+        part = part[:-width] * power + part[width:]
+        power = np.uint64(int(power) ** 2 % (1 << 64))
+        width *= 2
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+class Grams:
+    """All windows of one length: their hashes, sorted, where one of each stands, and the items that have it."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, item: np.ndarray, said: Callable[[int], bytes]):
+        order = np.lexsort((item, h))
+        h, at, item = h[order], at[order], item[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        # windows with one hash are compared; should two of them differ, each becomes a gram of its own
+        for k in np.flatnonzero(~new).tolist():
+            if said(int(at[k])) != said(int(at[k - 1])):
+                b, e = k, k + 1
+                while b and not new[b]:
+                    b -= 1
+                while e < len(h) and h[e] == h[k]:
+                    e += 1
+                by = sorted(range(b, e), key=lambda j: (said(int(at[j])), int(item[j])))
+                at[b:e], item[b:e] = at[by], item[by]
+                new[b + 1 : e] = [said(int(at[j])) != said(int(at[j - 1])) for j in range(b + 1, e)]
+        first = np.flatnonzero(new)
+        self.hashes, self.at = h[first], at[first]
+        fresh = new | np.concatenate([[True], item[1:] != item[:-1]])
+        self.items = item[fresh]
+        self.edges = np.searchsorted(np.flatnonzero(fresh), np.append(first, len(h))).astype(np.int64)
+        self.bits = max(10, min(24, int(len(self.hashes)).bit_length() + 3))
+        table = np.zeros(1 << self.bits, bool)
+        table[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.table = table
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.at, self.items, self.edges, self.table))
+
+    def likely(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``h``, number of the first gram with that hash) for the hashes that are known."""
+        at = np.flatnonzero(self.table[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+        found = np.searchsorted(self.hashes, h[at])
+        found[found == len(self.hashes)] = 0
+        known = self.hashes[found] == h[at] if len(self.hashes) else np.zeros(len(at), bool)
+        return at[known], found[known]
 
 
 class WindowIndex:
-    """Windows of test items: by length, the sorted hashes and the exact windows with their items."""
+    """Windows of test items, as arrays: the items' words one after another, and the grams by length.
+
+    ``items`` are (id, text) pairs; an id may come several times, null counts as one id.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.word: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = [self.word.setdefault(w, len(self.word)) for w in alnum_words(text)]
-            size = min(window, len(words))
-            for k in range(len(words) - size + 1 if size else 0):
-                self.windows[size][tuple(words[k : k + size])].add(item)
-        self.hashes = {
-            size: np.unique(_window_hashes(np.array(list(found), np.int64).ravel(), size)[::size])
-            for size, found in self.windows.items()
-        }
-
-    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None]]]:
-        """For each text: number of words, hit stretches [from, to) of words, items of which a window occurs."""
-        get = self.word.get
-        parts, counts = [], []
-        for text in texts:
-            words = alnum_words(text)
-            counts.append(len(words))
-            parts.append(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
-            parts.append(_GAP)
-        codes = np.concatenate(parts) if parts else _GAP
-        starts = np.cumsum([0] + [n + 1 for n in counts])
+        self.window = window
+        self.ids = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
+        number = {i: k for k, i in enumerate(self.ids)}
+        lists = [(number[i], words) for i, t in items if (words := alnum_words(t))]
+        counts = np.array([len(w) for _, w in lists], np.int64)
+        flat = [w for _, words in lists for w in words]
+        self.data = b" ".join(flat)
+        self.ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1) - 1
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if flat else np.zeros(0, np.int64)
+        hashes, starts = _word_hashes(flat), np.cumsum(counts) - counts
+        self.grams: dict[int, Grams] = {}
+        for size in sorted({min(window, n) for n in counts.tolist()}):
+            own = np.flatnonzero(counts >= window if size == window else counts == size)
+            per = counts[own] - size + 1
+            at = np.repeat(starts[own] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+            item = np.repeat(np.array([lists[k][0] for k in own.tolist()], np.int32), per)
+            self.grams[size] = Grams(rolled(hashes, size)[at], at, item, lambda k, size=size: self.said(k, size))
+
+    def said(self, at: int, size: int) -> bytes:
+        """The window's words, joined by a space."""
+        return self.data[self.begins[at] : self.ends[at + size - 1]]
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.data) + self.begins.nbytes + self.ends.nbytes + sum(g.nbytes for g in self.grams.values())
+
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], list[str | None]]]:
+        """For each text: number of words, hit stretches [from, to) of words, items of which a window occurs (null last)."""
+        lists = [alnum_words(t) for t in texts]
+        counts = np.array([len(w) for w in lists], np.int64)
+        starts = np.cumsum(counts) - counts
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[str | None]] = [set() for _ in texts]
-        known = codes >= 0
-        # how many known words follow each place without a break
-        stops = np.flatnonzero(~known)
-        ahead = stops[np.searchsorted(stops, np.arange(len(codes)))] - np.arange(len(codes))
-        for size, windows in self.windows.items():
-            at = np.flatnonzero(ahead >= size)
-            if not len(at):
+        found: list[set[int]] = [set() for _ in texts]
+        hashes = _word_hashes([w for words in lists for w in words])
+        for size, grams in self.grams.items():
+            if len(hashes) < size:
                 continue
-            hashes = _hashes_at(codes, at, size)
-            for k in at[np.isin(hashes, self.hashes[size])].tolist():
-                if found := windows.get(tuple(codes[k : k + size].tolist())):
-                    own = int(np.searchsorted(starts, k, "right")) - 1
-                    first = k - int(starts[own])
-                    spans[own].append((first, first + size))
-                    items[own] |= found
-        for count, span, item in zip(counts, spans, items, strict=True):
-            yield count, merged(span), item
-
-
-_GAP = np.array([-1], np.int64)
-
-
-def _hashes_at(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(len(at), np.uint64)
-    for k in range(size):
-        out = out * _BASE + codes[at + k].astype(np.uint64) + np.uint64(1)
-    return out
-
-
-def _window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    return _hashes_at(codes, np.arange(len(codes) - size + 1), size)
+            places, which = grams.likely(rolled(hashes, size))
+            rows = np.searchsorted(starts, places, "right") - 1
+            inside = places + size <= starts[rows] + counts[rows]
+            for row, place, gram in zip(rows[inside].tolist(), places[inside].tolist(), which[inside].tolist(), strict=True):
+                first = place - int(starts[row])
+                text = b" ".join(lists[row][first : first + size])
+                h = grams.hashes[gram]
+                while gram < len(grams.hashes) and grams.hashes[gram] == h:
+                    if self.said(int(grams.at[gram]), size) == text:
+                        spans[row].append((first, first + size))
+                        found[row].update(grams.items[grams.edges[gram] : grams.edges[gram + 1]].tolist())
+                        break
+                    gram += 1
+        for count, span, own in zip(counts.tolist(), spans, found, strict=True):
+            yield count, merged(span), [self.ids[k] for k in sorted(own)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,13 +164,83 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int, item_col: str, text_col: str) -> list[DataFrame]:
-    """The benchmark in blocks of a checked size, one of which at a time is on the driver and the workers."""
-    size = F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 32), F.lit(0))
-    total = benchmark.agg(size.alias("size")).first()["size"]
-    count = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    key = F.pmod(F.xxhash64(F.col(text_col)), F.lit(count))
-    return [benchmark.filter(key == k) if count > 1 else benchmark for k in range(count)]
+def pieces_of(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
+    """(item, text): the items' normalised words, an item of many words as pieces that share ``window`` - 1 words.
+
+    A piece has at least one window that no other piece of the item has; items without words give none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, 1):
+            items, texts = [], []
+            for item, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words = alnum_words(text)
+                for k in range(0, max(len(words) - window + 1, min(len(words), 1)), PIECE_WORDS):
+                    items.append(item)
+                    texts.append(b" ".join(words[k : k + PIECE_WORDS + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+    return benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).mapInArrow(run, "item string, text string")
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int, item_col: str, text_col: str, window: int = WINDOW) -> list[DataFrame]:
+    """The benchmark's pieces in blocks, one of which at a time is on the driver and the workers.
+
+    Every block's size is checked; there are more blocks until each one is within ``block_bytes`` or a single piece.
+    """
+    pieces = pieces_of(benchmark, window, item_col, text_col)
+    size = F.octet_length("text") + F.lit(PIECE_BYTES)
+    total = pieces.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    if total <= block_bytes:
+        return [pieces]
+    count = 2 * -(-total // block_bytes)
+    while True:
+        key = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+        most = pieces.groupBy(key.alias("k")).agg(F.sum(size).alias("n"), F.count_distinct("item", "text").alias("pieces")).filter(F.col("pieces") > 1).agg(F.max("n")).first()[0]
+        if (most or 0) <= block_bytes:
+            return [pieces.filter(key == k) for k in range(count)]
+        count *= 2
+
+
+def _index_of(block: DataFrame, window: int):
+    """The block's index, broadcast: equal pieces once."""
+    return block.sparkSession.sparkContext.broadcast(WindowIndex([tuple(r) for r in block.distinct().collect()], window))
+
+
+_HIT = "spans array<struct<begin:int,end:int>>, items array<string>"
+
+
+def _scan(df: DataFrame, block: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_words, spans, items) of each row by one block."""
+    shared = _index_of(block, window)
+
+    def prepare() -> Callable[[list, list], list]:
+        index = shared.value
+
+        def work(ids: list, texts: list) -> list:
+            counts, spans, items = zip(*index.scan(texts), strict=True)
+            return [ids, list(counts), [[{"begin": b, "end": e} for b, e in s] for s in spans], list(items)]
+
+        return work
+
+    return map_texts(df, f"`{id_col}` {id_type(df, id_col)}, n_words long, {_HIT}", prepare, id_col, text_col)
+
+
+def _address(text_col: str) -> Column:
+    """Hits depend on the text alone, so rows meet the hits of several blocks by their content's address."""
+    return F.sha2(F.col(text_col), 256)
+
+
+def _hits_together(df: DataFrame, blocks: list[DataFrame], window: int, text_col: str) -> DataFrame:
+    """(k, n_words, spans, items) for each content with hits: those of all blocks. Texts aren't moved."""
+    texts = df.select(_address(text_col).alias("k"), F.col(text_col).alias("t"))
+    found = [_scan(texts, b, window, "k", "t").filter(F.size("spans") > 0) for b in blocks]
+    # copies of a content have the same spans and items in a block; a set keeps one of them
+    return reduce(DataFrame.unionByName, found).groupBy("k").agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_set("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
 
 
 def find_hits(
@@ -124,24 +258,19 @@ def find_hits(
 
     An item with fewer words than a window, but not none, is one window. Null and empty texts have no
     words; ids may be null or repeated (each row has its own result); items with equal ids count once;
-    items without an id are scanned like any other and count as one, null, in ``items``; other columns are not looked at; empty tables give no rows or no hits. Texts are scanned whole.
+    items without an id are scanned like any other and count as one, null, in ``items``; other columns are not looked
+    at; empty tables give no rows or no hits. Texts and items of any length are scanned whole.
     A benchmark beyond ``block_bytes`` is scanned in several blocks and the hits put together by row.
     """
-    blocks = blocks_of(benchmark, block_bytes, item_col, item_text_col)
-    schema = f"`{id_col}` {id_type(df, id_col)}, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
+    blocks = blocks_of(benchmark, block_bytes, item_col, item_text_col, window)
     if len(blocks) == 1:
-        return _with_counts(_scan(df, blocks[0], schema, window, id_col, text_col, item_col, item_text_col), id_col)
-    # Rows are told apart by id and text, so that rows with the same id keep their own hits.
-    keyed = df.select(F.struct(F.col(id_col), F.xxhash64(F.col(text_col)).alias("h")).alias("k"), F.col(text_col).alias("t"))
-    schema = f"k {id_type(keyed, 'k')}, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
-    found = reduce(DataFrame.unionByName, [_scan(keyed.distinct(), b, schema, window, "k", "t", item_col, item_text_col) for b in blocks])
-    together = found.groupBy("k").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    out = keyed.select("k").join(together, "k")
-    return _with_counts(out.select(F.col(f"k.{id_col}"), "n_words", "spans", "items"), id_col)
+        return _with_counts(_scan(df, blocks[0], window, id_col, text_col), id_col)
+    hits = _hits_together(df, blocks, window, text_col).drop("n_words")
+    counted = F.regexp_count(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    rows = df.select(F.col(id_col), F.coalesce(counted, F.lit(0)).alias("n_words"), _address(text_col).alias("own"))
+    out = rows.join(hits, F.col("own") == F.col("k"), "left")
+    none = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    return _with_counts(out.select(id_col, "n_words", none("spans", "array<struct<begin:int,end:int>>"), none("items", "array<string>")), id_col)
 
 
 def _with_counts(found: DataFrame, id_col: str) -> DataFrame:
@@ -159,25 +288,6 @@ def _with_counts(found: DataFrame, id_col: str) -> DataFrame:
     return found.select(id_col, "n_words", covered.alias("n_hit"), "items", "spans")
 
 
-def _collect_block(block: DataFrame, item_col: str, text_col: str) -> list[tuple[str | None, str | None]]:
-    return [(r[0], r[1]) for r in block.select(F.col(item_col).cast("string"), F.col(text_col)).collect()]
-
-
-def _scan(df, block, schema, window, id_col, text_col, item_col, item_text_col) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(_collect_block(block, item_col, item_text_col))
-
-    def prepare() -> Callable[[list, list], list]:
-        index = WindowIndex(shared.value, window)
-
-        def work(ids: list, texts: list) -> list:
-            counts, spans, items = zip(*index.scan(texts), strict=True)
-            return [ids, list(counts), [[{"begin": b, "end": e} for b, e in s] for s in spans], [sorted(i, key=lambda x: (x is None, x or "")) for i in items]]
-
-        return work
-
-    return map_texts(df, schema, prepare, id_col, text_col)
-
-
 def is_contaminated(n_hit, n_words):
     return (n_hit > 0) & (F.lit(ONE_IN) * n_hit >= n_words)
 
@@ -217,18 +327,11 @@ def clean(
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    blocks = blocks_of(benchmark, block_bytes, item_col, item_text_col)
+    blocks = blocks_of(benchmark, block_bytes, item_col, item_text_col, window)
     if len(blocks) == 1:
-        return _clean_by(df, _collect_block(blocks[0], item_col, item_text_col), remove, window, text_col)
-    # Hits depend on the text alone, so rows are told apart by their content's address; a null text has no hits.
-    address = F.sha2(F.col(text_col), 256)
-    texts = df.select(address.alias("k"), F.col(text_col).alias("t"))
-    schema = "k string, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
-    found = [_scan(texts, b, schema, window, "k", "t", item_col, item_text_col).filter(F.size("spans") > 0) for b in blocks]
-    together = reduce(DataFrame.unionByName, found).groupBy("k")
-    # copies of a content have the same spans in a block, a set keeps one of them
-    hits = together.agg(F.max("n_words").alias("n_words"), F.lit(None).cast("array<string>").alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
-    rows = df.select(F.struct("*").alias("row"), address.alias("k"))
+        return _clean_by(df, blocks[0], remove, window, text_col)
+    hits = _hits_together(df, blocks, window, text_col)
+    rows = df.select(F.struct("*").alias("row"), _address(text_col).alias("k"))
     if remove == "documents":
         dirty = _with_counts(hits, "k").filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
         return rows.join(dirty.select("k"), "k", "left_anti").select("row.*")
@@ -252,11 +355,11 @@ def _cut(found: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
     return found.mapInArrow(run, df.schema)
 
 
-def _clean_by(df: DataFrame, items: list, remove: str, window: int, text_col: str) -> DataFrame:
-    shared, at = df.sparkSession.sparkContext.broadcast(items), df.columns.index(text_col)
+def _clean_by(df: DataFrame, block: DataFrame, remove: str, window: int, text_col: str) -> DataFrame:
+    shared, at = _index_of(block, window), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = WindowIndex(shared.value, window)
+        index = shared.value
         for part in chunks(batches, at):
             texts = part.column(at).to_pylist()
             found = list(index.scan(texts))
@@ -281,25 +384,3 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
         out += data[last : begins[begin]]
         last = int(ends[end - 1])
     return bytes(out + data[last:]).decode()
-
-
-def brute_force(texts: dict, items: dict, window: int = WINDOW) -> dict:
-    """The contract's columns by plain loops, for tests."""
-    out = {}
-    grams: dict[tuple, set] = defaultdict(set)
-    for item, text in items.items():
-        words = alnum_words(text)
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1 if size else 0):
-            grams[tuple(words[k : k + size])].add(str(item))
-    sizes = {len(g) for g in grams}
-    for doc, text in texts.items():
-        words, hit, found = alnum_words(text), set(), set()
-        for size in sizes:
-            for k in range(len(words) - size + 1):
-                if own := grams.get(tuple(words[k : k + size])):
-                    hit |= set(range(k, k + size))
-                    found |= own
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out[doc] = len(words), len(hit), len(found), digest, bool(hit) and ONE_IN * len(hit) >= len(words)
-    return out

@@ -379,20 +379,3 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return met.mapInArrow(run, full)
-
-
-def brute_force(texts: dict[int, str | None], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
-    """The contract's columns by plain loops, for tests."""
-    seen: set[tuple] = set()
-    out = {}
-    for doc in sorted(texts):
-        words = space_words(texts[doc])
-        gone = [False] * len(words)
-        for k in range(len(words) - window + 1):
-            gram = tuple(words[k : k + window])
-            if gram in seen:
-                gone[k : k + window] = [True] * window
-            seen.add(gram)
-        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
-        out[doc] = len(words), sum(gone), hashlib.sha256(kept).hexdigest()
-    return out

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from plain_versions import repeats
 
 from loomtext.llm import substring_dedup
-from loomtext.llm.substring_dedup import Windows, brute_force, packed, remove_repeats, unpacked
+from loomtext.llm.substring_dedup import Windows, packed, remove_repeats, unpacked
 
 DRAW = random.Random(4)
 
@@ -32,7 +33,7 @@ def test_same_as_brute_force(spark, size, monkeypatch):
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
     got = {r.doc_id: tuple(r)[1:] for r in run(df, most_ranges=3).collect()}
-    assert got == brute_force(texts)
+    assert got == repeats(texts)
 
 
 def test_settling_in_blocks_and_buckets(spark, monkeypatch):
@@ -40,7 +41,7 @@ def test_settling_in_blocks_and_buckets(spark, monkeypatch):
         monkeypatch.setattr(substring_dedup, name, value)
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    assert {r.doc_id: tuple(r)[1:] for r in run(df).collect()} == brute_force(texts)
+    assert {r.doc_id: tuple(r)[1:] for r in run(df).collect()} == repeats(texts)
 
 
 def test_rows(spark):

@@ -1,10 +1,11 @@
 import random
 
 import xxhash
+from plain_versions import components
 
 from loomtext.llm.components import connected_components
 from loomtext.llm.queries import op6_simhash
-from loomtext.llm.simhash import brute_components, close_links, fingerprint, keep_one, near_duplicates
+from loomtext.llm.simhash import close_links, fingerprint, keep_one, near_duplicates
 
 SF = "/root/testdata/sf0.01"
 
@@ -22,7 +23,7 @@ def plain(text):
 def test_query_is_brute_force(spark):
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     prints = {k: plain(t) for k, t in texts.items()}
-    want = brute_components([(k, v) for k, v in prints.items()])
+    want = components([(k, v) for k, v in prints.items()])
     got = op6_simhash(spark, SF).collect()
     assert len(got) == len(texts)
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {k: (f"{prints[k]:016x}", want[k]) for k in texts}
@@ -39,7 +40,7 @@ def test_crowded_buckets_lose_no_link(spark):
             value ^= 1 << draw.randint(0, 63)
         prints.add(value)
     signed = [v - (1 << 64) if v >> 63 else v for v in prints]
-    want = brute_components([(v, v) for v in signed])
+    want = components([(v, v) for v in signed])
     for crowded in (2, 16, 1000):
         df = spark.createDataFrame([(v,) for v in signed], "fp long")
         got = {r.node: r.root for r in connected_components(close_links(df, crowded)).collect()}

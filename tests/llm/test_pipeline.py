@@ -3,9 +3,10 @@ import re
 
 import pytest
 import sentencepiece
+from plain_versions import components, hits
 
 import corpus_pipeline
-from loomtext.llm import decontamination, quality_rules, secret_scan, simhash
+from loomtext.llm import quality_rules, secret_scan, simhash
 from loomtext.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -21,9 +22,9 @@ def expected(spark):
     assert all(labels[next(k for k, t in docs.items() if t == x)] in (0, 1) for x, _ in sample[:20])
     field = quality_rules.fit_field(sample)
     good = {k: t for k, t in docs.items() if quality_rules.Quality(t, field).kept}
-    groups = simhash.brute_components([(k, simhash.fingerprint(t)) for k, t in good.items()])
+    groups = components([(k, simhash.fingerprint(t)) for k, t in good.items()])
     single = {k: t for k, t in good.items() if groups[k] == k}
-    dirty = decontamination.brute_force(single, items)
+    dirty = hits(single, items)
     clean = {k: t for k, t in single.items() if not dirty[k][4]}
     return good, single, clean
 
