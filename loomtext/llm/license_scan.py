@@ -2,7 +2,7 @@
 
 Markup: ``<<beginOptional>> ... <<endOptional>>`` may be missing, ``<<var;name=N;max=K>>`` stands for up to K
 words of any kind; everything else is mandatory, word by word. A template is tried wherever its first
-mandatory words stand; an optional region before those isn't looked for.
+mandatory words stand; optional regions before those are matched backwards from there, as far as they reach.
 """
 
 from __future__ import annotations
@@ -36,18 +36,31 @@ TEMPLATES = {
         <<var;name=authors;max=20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
         CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
         DEALINGS IN THE SOFTWARE.""",
-    "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
+    "isc-text": """<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<var;name=holder;max=40>><<endOptional>>
+        Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
         purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
         notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name=authors;max=20>> DISCLAIMS ALL
-        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
-    "bsd-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL <<var;name=authors;max=20>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR
+        ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+        OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-text": """<<beginOptional>>BSD <<var;name=clauses;max=2>> License<<endOptional>> <<beginOptional>>Copyright
+        <<var;name=holder;max=40>> <<beginOptional>>All rights reserved.<<endOptional>><<endOptional>>
+        Redistribution and use in source and binary forms, with or without modification, are permitted
         provided that the following conditions are met: <<var;name=bullet;max=1>> Redistributions of source code must
         retain the above copyright notice, this list of conditions and the following disclaimer.
         <<var;name=bullet;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of
         conditions and the following disclaimer in the documentation and/or other materials provided with the
         distribution. <<beginOptional>><<var;name=bullet;max=1>> Neither the name of <<var;name=holder;max=20>> nor the
         names of its contributors may be used to endorse or promote products derived from this software without
-        specific prior written permission.<<endOptional>>""",
+        specific prior written permission.<<endOptional>>
+        THIS SOFTWARE IS PROVIDED BY <<var;name=holder;max=20>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+        BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL <<var;name=holder;max=20>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
+        IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+        THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "mit-notice": """under the <<beginOptional>>terms of the<<endOptional>> MIT License""",
     "apache-2.0-notice": """Licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0
         <<beginOptional>>(the "License"); you may not use this <<var;name=work;max=4>> except in compliance with the
@@ -66,9 +79,14 @@ _MARK = re.compile(r"<<(.*?)>>", re.S)
 
 @dataclass
 class TokenAutomaton:
-    """States are numbered; a word leads on, ``any`` with every word, ``free`` without one."""
+    """States are numbered; a word leads on, ``any`` with every word, ``free`` without one.
+
+    ``anchor`` are the mandatory words that a match begins with, ``before`` the automaton, read backwards, of the
+    optional regions that stand before them.
+    """
 
     anchor: list[bytes] = field(default_factory=list)
+    before: TokenAutomaton | None = None
     word: list[tuple[bytes, int] | None] = field(default_factory=list)
     any: list[int | None] = field(default_factory=list)
     free: list[list[int]] = field(default_factory=list)
@@ -88,6 +106,14 @@ class TokenAutomaton:
                     todo.append(other)
         return states
 
+    def match(self, words: list[bytes], start: int) -> tuple[int, int] | None:
+        """The longest accepted stretch whose mandatory words begin at ``start``, with what is optional before them."""
+        end = self.longest(words, start)
+        if end is None or self.before is None:
+            return None if end is None else (start, end)
+        back = self.before.longest(words[max(0, start - len(self.before.free)) : start][::-1], 0)
+        return start - (back or 0), end
+
     def longest(self, words: list[bytes], start: int) -> int | None:
         """Where the longest accepted text that begins at ``start`` ends."""
         states, end, last = self.closed({0}), None, len(self.free) - 1
@@ -103,7 +129,7 @@ class TokenAutomaton:
 
 
 def compile_template(text: str) -> TokenAutomaton:
-    """The automaton of a template; it must begin, after optional regions, with mandatory words."""
+    """The automaton of a template; it must begin, after optional regions, with two mandatory words."""
     parts = _MARK.split(text)
     tree: list = []
     stack = [tree]
@@ -124,15 +150,26 @@ def compile_template(text: str) -> TokenAutomaton:
             raise ValueError(f"unknown markup: {part}")
     if len(stack) > 1:
         raise ValueError("an optional region never ends")
-    while tree and isinstance(tree[0], list):
-        tree.pop(0)
-    out = TokenAutomaton()
-    for node in tree[:ANCHOR]:
+    leading = next((k for k, node in enumerate(tree) if not isinstance(node, list)), len(tree))
+    out = _automaton(tree[leading:])
+    for node in tree[leading : leading + ANCHOR]:
         if not isinstance(node, bytes):
             break
         out.anchor.append(node)
     if len(out.anchor) < 2:
         raise ValueError("a template begins with two mandatory words at least")
+    if leading:
+        out.before = _automaton(_backwards(tree[:leading]))
+    return out
+
+
+def _backwards(nodes: list) -> list:
+    return [_backwards(node) if isinstance(node, list) else node for node in reversed(nodes)]
+
+
+def _automaton(tree: list) -> TokenAutomaton:
+    """Of nodes in order: a word (bytes), up to so many words of any kind (a number), an optional region (a list)."""
+    out = TokenAutomaton()
 
     def build(nodes: list, at: int) -> int:
         for node in nodes:
@@ -190,8 +227,8 @@ class LicenseScanner:
         stretches = []
         for anchor, label, automaton in self.anchors:
             for k in _starts(joined, anchor):
-                if (end := automaton.longest(words, k)) is not None:
-                    stretches.append((k, end, label))
+                if found := automaton.match(words, k):
+                    stretches.append((*found, label))
         return Scan(len(words), sorted(places), sorted(stretches))
 
     def digest(self, text: str | None) -> tuple:
