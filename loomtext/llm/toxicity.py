@@ -2,6 +2,10 @@
 
 Each link is a logistic model over the presence of words and word beginnings and the earlier categories' probabilities; while it is trained
 these are out-of-fold predictions, so that no link learns from probabilities that have seen their own row.
+
+No word is given. The labels have one kind of toxicity, so the categories before it are themes found in the sample:
+the toxic documents, divided by the words that tell them from clean ones. The last link's threshold is the one that
+does best on the sample's out-of-fold predictions.
 """
 
 from __future__ import annotations
@@ -16,17 +20,12 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import alnum_words, id_type, map_texts
 
-#: Labelled documents of each label that the chain is trained on, at most, and words that it may weigh.
-TRAINING_DOCUMENTS, VOCABULARY = 1500, 400
-FOLDS, THRESHOLD = 5, 0.35
+#: Labelled documents of each label that the chain is trained on, at most, and words that it may weigh: those with the
+#: highest chi-squared.
+TRAINING_DOCUMENTS, VOCABULARY = 1500, 1000
+FOLDS, THEMES, AS_GOOD = 5, 2, 0.005
 #: Documents of the sample in which a word must stand to be weighed, and its least chi-squared (chance: one in 30,000).
 LEAST_DOCUMENTS, LEAST_CHI_SQUARED = 5, 17.4
-#: Categories before the labelled one. The table has one toxicity label, so a row belongs to such a category
-#: if it is labelled toxic and has one of the category's common words; what predicts it is learnt.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "fool", "scum", "dumb"),
-    "contempt": ("worthless", "pathetic", "disgusting", "stupid", "trash", "garbage", "useless"),
-}
 FINAL = "toxic"
 
 
@@ -62,11 +61,42 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
     return w
 
 
+def themes_of(x: np.ndarray, themes: int, rounds: int = 20) -> np.ndarray:
+    """A number for each row: k-means, begun with equal parts of the rows by their first principal component."""
+    if not len(x) or not x.shape[1]:
+        return np.zeros(len(x), int)
+    centred = x - x.mean(0)
+    axis = np.linalg.svd(centred, full_matrices=False)[2][0]
+    axis = axis * np.sign(axis[np.abs(axis).argmax()])
+    own = np.argsort(np.argsort(-(centred @ axis), kind="stable"), kind="stable") * themes // len(x)
+    for _ in range(rounds):
+        middles = np.array([x[own == k].mean(0) if (own == k).any() else np.full(x.shape[1], np.inf) for k in range(themes)])
+        new = ((x[:, None, :] - middles[None]) ** 2).sum(2).argmin(1)
+        if (new == own).all():
+            break
+        own = new
+    return own
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """A threshold halfway between two probabilities: of those whose F score (precision counts twice, as clean
+    documents are to be left alone) is within AS_GOOD of the highest, the one nearest to a half."""
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    cuts = np.flatnonzero(np.diff(p) < 0)
+    if not y.any() or not len(cuts):
+        return 0.5
+    score = 1.25 * np.cumsum(y)[cuts] / (cuts + 1 + 0.25 * y.sum())
+    middle = (p[cuts] + p[cuts + 1]) / 2
+    best = np.flatnonzero(score >= score.max() - AS_GOOD)
+    return float(middle[best[np.abs(middle[best] - 0.5).argmin()]])
+
+
 class Chain:
     """The words weighed, and a weight vector for each category: words, earlier probabilities, constant."""
 
-    def __init__(self, words: list[bytes], names: list[str], weights: list[np.ndarray]):
-        self.words, self.names, self.weights = words, names, weights
+    def __init__(self, words: list[bytes], names: list[str], weights: list[np.ndarray], threshold: float = 0.5):
+        self.words, self.names, self.weights, self.threshold = words, names, weights, threshold
         self.at = {w: k for k, w in enumerate(words)}
         self.known = frozenset(self.at)
 
@@ -102,10 +132,8 @@ def without_copies(sample: list[tuple[str | None, int]], alike: float = 0.5, has
     return out
 
 
-def fit_chain(
-    sample: list[tuple[str | None, int]], categories: dict[str, tuple[str, ...]] = CATEGORIES, *, vocabulary: int = VOCABULARY, folds: int = FOLDS
-) -> Chain:
-    """The chain of the categories and then FINAL. Words are chosen by chi-squared with the final label."""
+def fit_chain(sample: list[tuple[str | None, int]], *, themes: int = THEMES, vocabulary: int = VOCABULARY, folds: int = FOLDS) -> Chain:
+    """The chain of the themes and then FINAL. Words are chosen by chi-squared with the final label."""
     sample = without_copies(sample)
     toxic = np.array([y for _, y in sample], float)
     bags = [features_of(t) for t, _ in sample]
@@ -122,21 +150,25 @@ def fit_chain(
     usable = [w for w in {*in_toxic, *in_clean} if in_toxic[w] + in_clean[w] >= LEAST_DOCUMENTS]
     rated = sorted((-chi_squared(w), w) for w in usable)
     words = [w for score, w in rated if -score >= LEAST_CHI_SQUARED][:vocabulary]
-    names = [*categories, FINAL]
+    names = [*(f"theme_{k + 1}" for k in range(themes)), FINAL]
     chain = Chain(words, names, [])
     x = chain.features([t for t, _ in sample])
+    telling = [k for k, w in enumerate(words) if in_toxic[w] * n_clean > in_clean[w] * n_toxic]
+    theme = np.full(len(sample), -1)
+    theme[toxic > 0] = themes_of(x[toxic > 0][:, telling], themes)
     fold = np.arange(len(sample)) % folds
     earlier = np.zeros((len(sample), 0))
-    for name in names:
-        y = toxic if name == FINAL else toxic * np.array([bool(bag.intersection(w.encode() for w in categories[name])) for bag in bags], float)
+    for k, name in enumerate(names):
+        y = toxic if name == FINAL else (theme == k).astype(float)
         own = np.hstack([x, earlier])
         chain.weights.append(fit_logistic(own, y))
         unseen = np.zeros(len(sample))
-        for k in range(folds):
-            if (fold == k).any():
-                w = fit_logistic(own[fold != k], y[fold != k])
-                unseen[fold == k] = _sigmoid(own[fold == k] @ w[:-1] + w[-1])
+        for held in range(folds):
+            if (fold == held).any():
+                w = fit_logistic(own[fold != held], y[fold != held])
+                unseen[fold == held] = _sigmoid(own[fold == held] @ w[:-1] + w[-1])
         earlier = np.hstack([earlier, unseen[:, None]])
+    chain.threshold = best_threshold(earlier[:, -1], toxic)
     return chain
 
 
@@ -150,13 +182,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DO
     return [(r.text, ids[r.doc_id]) for r in sorted(found, key=lambda r: (r.doc_id, r.text or ""))]
 
 
-def score_documents(df: DataFrame, chain: Chain, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: id, p_<category> for each category in order, toxic (the last one at the threshold).
+def score_documents(df: DataFrame, chain: Chain, *, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``df``: id, p_<category> for each category in order, toxic (the last one at the threshold,
+    the chain's own unless said).
 
     Null and empty texts are scored by the constants; ids may be null or repeated; other columns are not looked
     at; an empty table gives an empty one. Whole texts are read, and a word counts once, so length doesn't matter.
     """
     columns = ", ".join(f"p_{name} double" for name in chain.names)
+    threshold = chain.threshold if threshold is None else threshold
 
     def prepare() -> Callable[[list, list], list]:
         def work(ids: list, texts: list) -> list:
