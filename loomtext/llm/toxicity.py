@@ -23,7 +23,7 @@ from loomtext.llm.common import alnum_words, id_type, map_texts
 #: Labelled documents of each label that the chain is trained on, at most, and words that it may weigh: those with the
 #: highest chi-squared.
 TRAINING_DOCUMENTS, VOCABULARY = 1500, 1000
-FOLDS, THEMES, AS_GOOD = 5, 2, 0.005
+FOLDS, THEMES, AS_GOOD = 5, 2, 0.02
 #: Documents of the sample in which a word must stand to be weighed, and its least chi-squared (chance: one in 30,000).
 LEAST_DOCUMENTS, LEAST_CHI_SQUARED = 5, 17.4
 FINAL = "toxic"
