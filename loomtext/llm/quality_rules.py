@@ -2,7 +2,9 @@
 
 The field marks each line with a word as content or boilerplate; Viterbi decoding gives the best sequence, and
 the share of words in content lines decides whether a document stays. It is trained on a bounded sample of labelled
-documents, whose lines take their document's label, by the gradient of the exact likelihood.
+documents by the gradient of the exact likelihood. Labels are known for documents alone, so those of their lines are
+found in turns with the field: the best ones by the field, changed as little as makes the document's share agree with
+its label.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from loomtext.llm.common import chunks, id_type, map_texts, space_words
 BOILERPLATE, CONTENT = 0, 1
 #: Fixed values of the contract.
 SYMBOLS, FEWEST_WORDS, MOST_REPEATED, REPEAT_WINDOW = "#*$%&|<>", 50, 50, 3
-#: Labelled documents that the field is trained on, and lines of each that count, at most.
-TRAINING_DOCUMENTS, TRAINING_LINES = 600, 200
+#: Labelled documents that the field is trained on, at most; they are used whole.
+TRAINING_DOCUMENTS = 600
 #: Content's least share of a document's words in labelled lines.
 LEAST_CONTENT = 0.5
+#: Lines of a training sequence (a longer document is several), and turns of finding line labels, at most.
+SEQUENCE, TURNS = 64, 8
 
 _LINE_SYMBOLS = re.compile(r"[#*$%&|<>~^=_{}\[\]\\]")
 _NOTICE = re.compile(r"copyright|all rights reserved|licen[cs]ed|cookie|subscribe|privacy policy|terms of|https?://|@", re.I)
@@ -96,29 +100,31 @@ class LineField:
         return out[::-1]
 
 
-def train_field(documents: list[tuple[list[list[int]], int]], *, rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> LineField:
+def train_field(
+    documents: list[tuple[list[list[int]], int | list[int]]], *, start: LineField | None = None, rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3
+) -> LineField:
     """Gradient ascent on the mean log-likelihood of the line labels, by forward-backward over all documents at once.
 
-    Without documents of both labels nothing can be learnt; then every line is content.
+    A document is its lines' features and their labels (one number: the same for all). Documents weigh the same, and
+    so do those with more and with less content. Long documents are cut into sequences. Without documents of both kinds
+    nothing can be learnt; then every line is content.
     """
-    emit, move = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
-    documents = [d for d in documents if d[0]]
-    if len({label for _, label in documents}) < 2:
+    emit, move = (np.zeros((2, len(FEATURES))), np.zeros((2, 2))) if start is None else (start.emit.copy(), start.move.copy())
+    known = [(lines, [y] * len(lines) if isinstance(y, int) else y) for lines, y in documents if lines]
+    kind = [CONTENT if 2 * sum(labels) >= len(labels) else BOILERPLATE for _, labels in known]
+    if len(set(kind)) < 2:
+        emit, move = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
         emit[CONTENT, 0] = 1.0
         return LineField(emit, move)
-    n, longest = len(documents), max(len(lines) for lines, _ in documents)
-    x, mask = np.zeros((n, longest, len(FEATURES))), np.zeros((n, longest))
-    label = np.array([y for _, y in documents])
-    for k, (lines, _) in enumerate(documents):
-        mask[k, : len(lines)] = 1
-        for at, features in enumerate(lines):
-            x[k, at, features] = 1
-    # both labels weigh the same
-    weight = np.where(label == CONTENT, 0.5 / (label == CONTENT).mean(), 0.5 / (label != CONTENT).mean())
-    weight = weight / (weight * mask.sum(1)).sum()
-    y = np.zeros((n, longest, 2))
-    y[np.arange(n), :, label] = 1
-    y *= mask[:, :, None]
+    cut = [(k, at) for k, (lines, _) in enumerate(known) for at in range(0, len(lines), SEQUENCE)]
+    n, longest = len(cut), min(SEQUENCE, max(len(lines) for lines, _ in known))
+    x, mask, y = np.zeros((n, longest, len(FEATURES))), np.zeros((n, longest)), np.zeros((n, longest, 2))
+    weight = np.zeros(n)
+    for row, (k, at) in enumerate(cut):
+        lines, labels = known[k]
+        for j, (features, label) in enumerate(zip(lines[at : at + SEQUENCE], labels[at : at + SEQUENCE], strict=True)):
+            mask[row, j] = x[row, j, features] = y[row, j, label] = 1
+        weight[row] = 0.5 / (kind.count(kind[k]) * len(lines))
     steps = np.concatenate([np.zeros((n, 1)), mask[:, 1:]], 1)
     true_emit = np.einsum("n,nlk,nlf->kf", weight, y, x)
     true_move = np.einsum("n,nli,nlj->ij", weight, y[:, :-1], y[:, 1:])
@@ -212,8 +218,45 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DO
     return [(r.text, ids[r.doc_id]) for r in sorted(found, key=lambda r: (r.doc_id, r.text or ""))]
 
 
-def fit_field(sample: list[tuple[str | None, int]], most_lines: int = TRAINING_LINES) -> LineField:
-    return train_field([([line_features(*line) for line in text_lines(text)][:most_lines], y) for text, y in sample])
+def labels_that_agree(field: LineField, lines: list[list[int]], words: list[int], y: int, *, alone: bool = False) -> list[int]:
+    """The field's labels of a document's lines (``alone``: each line by itself), or as near as agrees with ``y``.
+
+    A good document whose content is too little counts as content wholly. In a bad one with too much of it, the lines
+    least like content become boilerplate until it is too little.
+    """
+    margin = [sum(field.emit[CONTENT, f] - field.emit[BOILERPLATE, f] for f in features) for features in lines]
+    labels = [CONTENT if m >= 0 else BOILERPLATE for m in margin] if alone else field.decode(lines)
+    enough = LEAST_CONTENT * sum(words)
+    inside = sum(n for n, label in zip(words, labels, strict=True) if label == CONTENT)
+    if y == CONTENT:
+        return labels if inside >= enough else [CONTENT] * len(lines)
+    for k in sorted(range(len(lines)), key=lambda k: (margin[k], k)):
+        if inside < enough:
+            break
+        if labels[k] == CONTENT:
+            labels[k] = BOILERPLATE
+            inside -= words[k]
+    return labels
+
+
+def fit_field(sample: list[tuple[str | None, int]]) -> LineField:
+    """The field of labelled documents. Those with too few words are left out: that rule, not their lines, decides them."""
+    documents = []
+    for text, y in sample:
+        lines = list(text_lines(text))
+        words = [len(line[0]) for line in lines]
+        if sum(words) >= FEWEST_WORDS:
+            documents.append(([line_features(*line) for line in lines], words, CONTENT if y else BOILERPLATE))
+    field = train_field([(lines, y) for lines, _, y in documents])
+    if len({y for *_, y in documents}) < 2:
+        return field
+    before = None
+    for turn in range(TURNS):
+        found = [(lines, labels_that_agree(field, lines, words, y, alone=turn == 0)) for lines, words, y in documents]
+        if found == before:
+            break
+        field, before = train_field(found, start=field if turn else None, rounds=60 if turn else 150), found
+    return field
 
 
 def judge_documents(df: DataFrame, field: LineField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
