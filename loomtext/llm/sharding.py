@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Equal texts form a group. Groups are packed by the driver as a bounded number of bundles: a group that is large
-by itself is a bundle (or several, if it is more than a shard holds), all others are dealt into a fixed number of
-bundles by their hash. A bundle goes where the dot product of its sizes with what is left of a shard's
-capacities is highest. Only the bundles' sums ever reach the driver.
+Equal texts form a group. A group that has more than one in ``shards * bundles`` of all bytes, tokens or rows is placed
+by itself (in pieces, if it is more than a shard holds). Smaller ones, whose sizes don't matter one by one, are dealt by
+their hash into so many bundles, and a bundle is placed as a whole: its sums are those of its groups, exactly. A unit
+goes where the dot product of its sizes with what is left of a shard's three capacities is highest. Only the units'
+sums ever reach the driver.
 """
 
 from __future__ import annotations
@@ -21,25 +22,35 @@ SHARDS = 24
 BUNDLES = 256
 #: Rows are numbered by cells; no cell of a large group has much more than this part of a shard.
 PART_OF_SHARD = 1 / 64
+#: Pieces for each shard that a group larger than a shard would fill.
+PIECES = 16
 #: Bytes that every row counts besides its text; a fixed value of the contract.
 ROW_BYTES = 8
+#: By how much of its equal part a shard may be over, for bytes, tokens and rows; and how much being over it further
+#: counts where no shard has room. Bytes come first, as the law is theirs.
+HEADROOM, OVERRUN = np.array([0.0, 0.01, 0.01]), np.array([4.0, 1.0, 1.0])
 
 
 def pack(sizes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each item. ``sizes``: a row (bytes, tokens, rows) for each item.
 
-    Largest first; among the shards with room for its bytes, the one with the highest dot product of the
-    item with what is left (the first among equals); if none has room, the one with the most bytes left.
+    Largest first; among the shards with room for its bytes, tokens and rows, the one with the highest dot product of
+    the item with what is left; if none has room, the one that it would take over its room least (squares, weighted by
+    OVERRUN). The first among equals.
     """
     capacity = np.maximum(sizes.sum(0) / shards, 1e-9)
     share = sizes / capacity
     left = np.ones((shards, sizes.shape[1]))
     out = np.zeros(len(sizes), np.int64)
     for k in np.lexsort((np.arange(len(sizes)), -share.max(1))):
-        fits = left[:, 0] >= share[k, 0]
-        k_to = int(np.argmax(np.where(fits, left @ share[k], -np.inf))) if fits.any() else int(np.argmax(left[:, 0]))
-        out[k] = k_to
-        left[k_to] -= share[k]
+        over = share[k] - left - HEADROOM
+        fits = (over <= 1e-12).all(1)
+        if fits.any():
+            to = int(np.argmax(np.where(fits, left @ share[k], -np.inf)))
+        else:
+            to = int(np.argmin((np.maximum(over, 0) ** 2 * OVERRUN).sum(1)))
+        out[k] = to
+        left[to] -= share[k]
     return out
 
 
@@ -75,7 +86,7 @@ def assign_shards(
     table, following, bundle_of = [], small, {}
     for row in groups:
         share = max(row[n] * shards / total[n] for n in ("size", "tokens", "rows") if total[n])
-        pieces = 1 if share <= 1 else min(row["rows"], math.ceil(4 * share))
+        pieces = 1 if share <= 1 else min(row["rows"], math.ceil(PIECES * share))
         cells = max(pieces, min(row["rows"], math.ceil(share / PART_OF_SHARD)))
         bundle_of |= {following + k: following + k * pieces // cells for k in range(cells)}
         table.append((row["g"], following, cells))

@@ -1,10 +1,12 @@
+import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.llm.queries import op7_sharding
-from loomtext.llm.sharding import assign_shards, pack
+from loomtext.llm.sharding import assign_shards, pack, write_shards
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,13 +58,64 @@ def test_nulls_repeats_and_empty(spark):
     assert assign_shards(df.limit(0)).count() == 0
 
 
-def test_pack_is_the_plain_rule():
-    sizes = np.random.default_rng(1).integers(1, 100, (60, 3)).astype(float)
-    got = pack(sizes, 4)
-    share = sizes / (sizes.sum(0) / 4)
-    left = [[1.0] * 3 for _ in range(4)]
-    for k in sorted(range(60), key=lambda k: (-max(share[k]), k)):
-        room = [b for b in range(4) if left[b][0] >= share[k][0]]
-        best = max(room, key=lambda b: (round(sum(x * y for x, y in zip(left[b], share[k])), 12), -b)) if room else max(range(4), key=lambda b: left[b][0])
-        assert got[k] == best
+def plain_pack(sizes, shards):
+    """The rule by plain loops."""
+    totals = [sum(x[j] for x in sizes) / shards or 1e-9 for j in range(3)]
+    share = [[x[j] / totals[j] for j in range(3)] for x in sizes]
+    left, out = [[1.0] * 3 for _ in range(shards)], [None] * len(sizes)
+    for k in sorted(range(len(sizes)), key=lambda k: (-max(share[k]), k)):
+        over = [[share[k][j] - left[b][j] - (0, 0.01, 0.01)[j] for j in range(3)] for b in range(shards)]
+        room = [b for b in range(shards) if max(over[b]) <= 1e-12]
+        if room:
+            best = max(room, key=lambda b: (round(sum(x * y for x, y in zip(left[b], share[k])), 12), -b))
+        else:
+            best = min(range(shards), key=lambda b: (round(sum(w * max(x, 0) ** 2 for w, x in zip((4, 1, 1), over[b])), 15), b))
+        out[k] = best
         left[best] = [x - y for x, y in zip(left[best], share[k])]
+    return out
+
+
+def test_pack_is_the_plain_rule():
+    for seed in range(5):
+        sizes = np.random.default_rng(seed).integers(1, 100, (90, 3)).astype(float)
+        assert pack(sizes, 4).tolist() == plain_pack(sizes.tolist(), 4)
+
+
+def test_no_capacity_is_overrun_while_there_is_room():
+    sizes = np.array([[10.0, 1, 1]] * 12 + [[1.0, 10, 1]] * 12 + [[1.0, 1, 10]] * 12)
+    own = pack(sizes, 6)
+    assert all((sizes[own == k].sum(0) == 24).all() for k in range(6))
+
+
+@pytest.mark.parametrize("bundles", [256, 12])
+def test_assignment_is_that_of_the_plain_rule(spark, bundles):
+    """With the production parameter each of these groups is a unit; with fewer bundles small ones share a unit."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("g")).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    groups = {}
+    for r in docs:
+        own = groups.setdefault(r.g, [0, 0, 0])
+        for j, x in enumerate((len(r.text.encode()) + 8, words(r.text), 1)):
+            own[j] += x
+    totals, small = [sum(x[j] for x in groups.values()) for j in range(3)], 24 * bundles
+    large = sorted(g for g, x in groups.items() if any(x[j] * small > totals[j] for j in range(3)))
+    assert all(24 * max(groups[g][j] / totals[j] for j in range(3)) <= 1 for g in large) and len(large) > 20 and (len(large) < len(groups)) == (bundles < 256)
+    unit_of = {g: g % small for g in groups} | {g: small + k for k, g in enumerate(large)}
+    units = {}
+    for g, x in groups.items():
+        own = units.setdefault(unit_of[g], [0, 0, 0])
+        for j in range(3):
+            own[j] += x[j]
+    names = sorted(units)
+    shard_of = dict(zip(names, plain_pack([units[u] for u in names], 24)))
+    got = {r.doc_id: r.shard for r in assign_shards(spark.read.parquet(f"{SF}/documents.parquet"), bundles=bundles).collect()}
+    assert got == {r.doc_id: shard_of[unit_of[r.g]] for r in docs}
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit(1).alias("shard"), F.lit("x").alias("_slot2"))
+    assigned = assign_shards(df, shards=3)
+    write_shards(df, assigned, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.doc_id, r.text, r._shard, r._slot) for r in back.collect()} == {(r.doc_id, f"t{r.doc_id}", r.shard, r.slot) for r in assigned.collect()}
+    assert sorted(x.name for x in (tmp_path / "out").glob("_shard=*")) == ["_shard=0", "_shard=1", "_shard=2"]
