@@ -2,8 +2,9 @@
 
 The text is normalised by the longest prefix that the model's compiled character map knows, and every
 normalised byte keeps the place of its source; a piece is then projected to the original bytes that it
-stands for. Where the map is the identity and white space is kept, no piece can cross from a
-non-space into a space, so words are encoded once and remembered in a bounded table.
+stands for. The map's trie is walked only where a byte stands that some key of it begins with; what lies
+between, all of a text if the map is empty, is copied as a whole. Where white space is kept, no piece can cross from a
+non-space into a space, so normalised words are encoded once and remembered in a bounded table.
 """
 
 from __future__ import annotations
@@ -65,6 +66,32 @@ class CharacterMap:
             size = struct.unpack_from("<I", blob)[0]
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.targets = blob[4 + size :]
+        first = bytes(b for b in range(256) if self._begins(b))
+        #: Finds the bytes that a key begins with; none if there is no key.
+        self.starts = re.compile(b"[" + b"".join(b"\\x%02x" % b for b in first) + b"]") if first else None
+
+    def _begins(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        unit = self.units[0]
+        node = (unit >> 10) << ((unit & 512) >> 6) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
+
+    def apply(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """``data`` with each longest key replaced, and for each byte of the result the place of its source."""
+        if self.starts is None:
+            return data, np.arange(len(data))
+        out, places, at = [], [], 0
+        for found in self.starts.finditer(data):
+            start = found.start()
+            if start >= at and (key := self.longest(data, start)):
+                length, target = key
+                out += [data[at:start], target]
+                places += [np.arange(at, start), np.full(len(target), start)]
+                at = start + length
+        out.append(data[at:])
+        places.append(np.arange(at, len(data)))
+        return b"".join(out), np.concatenate(places)
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest known prefix of data[at:] and what stands for it."""
@@ -136,59 +163,44 @@ class PieceCodec:
         self.squeeze = bool(normalizer.get(4, 1))
         self.escape = bool(normalizer.get(5, 1))
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.by_word = not self.map.units and not self.squeeze and self.prefix and self.escape
-        self.by_word = self.by_word and self.fallback and not crosses
-        #: By id: its name, its decoded text, its size in original bytes (a space is one byte there, not three).
+        self.by_word = not self.squeeze and self.prefix and self.escape and self.fallback and not crosses
+        #: By id: its name, its decoded text, its size in normalised bytes.
         self.names = list(map(str, range(len(self.pieces))))
         self.surfaces = [p.replace(SPACE, " ") if k == NORMAL else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.sizes = np.array([1 if k == BYTE else len(s.encode()) for s, k in zip(self.surfaces, self.kinds, strict=True)])
+        self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
         self.remembered: dict[str, tuple] = {}
 
     # -- normalisation ---------------------------------------------------------------------------
 
     def normalise(self, text: str) -> tuple[bytes, list[int]]:
         """The normalised bytes, and for each (and the end) the place of its source in the text's bytes."""
-        data, size = text.encode(), len(text.encode())
-        out, place = bytearray(), []
-        space = SPACE.encode() if self.escape else b" "
-
-        def step(at: int) -> tuple[int, bytes]:
-            if found := self.map.longest(data, at):
-                return found
-            first = data[at]
-            length = 1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4
-            return length, data[at : at + length]
-
-        at = 0
+        data, place = self.aligned(text)
+        return data, place.tolist()
+
+    def aligned(self, text: str) -> tuple[bytes, np.ndarray]:
+        """The same with the places as an array."""
+        data = text.encode()
+        out, place = self.map.apply(data)
+        end = len(data)
         if self.squeeze:
-            while at < size:
-                length, target = step(at)
-                if target != b" ":
-                    break
-                at += length
-        if at >= size:
-            return b"", [at]
+            codes = np.frombuffer(out, np.uint8)
+            space = codes == 32
+            keep = ~(space & np.concatenate([[True], space[:-1]]))  # of a run of spaces the first, none at the start
+            out, place = codes[keep].tobytes(), place[keep]
+        if not out:
+            return b"", np.array([len(data)])
         if self.prefix:
-            out += space
-            place += [at] * len(space)
-        after_space = self.squeeze
-        while at < size:
-            length, target = step(at)
-            while after_space and target.startswith(b" "):
-                target = target[1:]
-            if target:
-                for byte in target:
-                    new = space if byte == 32 else bytes([byte])
-                    out += new
-                    place += [at] * len(new)
-                after_space = self.squeeze and target.endswith(b" ")
-            at += length
-        if self.squeeze:
-            while out.endswith(space):
-                at = place[len(out) - len(space)]
-                del out[-len(space) :], place[-len(space) :]
-        place.append(at)
-        return bytes(out), place
+            out, place = b" " + out, np.concatenate([place[:1], place])
+        if self.escape:
+            wide = np.where(np.frombuffer(out, np.uint8) == 32, len(SPACE.encode()), 1)
+            out, place = out.replace(b" ", SPACE.encode()), np.repeat(place, wide)
+        if self.squeeze:  # nor at the end, and the sign that stands for a space doesn't either
+            sign, kept = SPACE.encode() if self.escape else b" ", len(out)
+            while out.endswith(sign, 0, kept):
+                kept -= len(sign)
+                end = int(place[kept])
+            out, place = out[:kept], place[:kept]
+        return out, np.append(place, end)
 
     # -- merging ---------------------------------------------------------------------------------
 
@@ -258,9 +270,9 @@ class PieceCodec:
     # -- encoding --------------------------------------------------------------------------------
 
     def _word(self, word: str) -> tuple[str, bytes, str | None]:
-        """What a new word after a space gives: ids as text, ids, and the decoded text if it isn't the word."""
+        """What a new normalised word after a space gives: ids as text, ids, and the decoded text if it isn't the word."""
         ids = []
-        for piece in self.merge(SPACE + word.replace(" ", SPACE)):
+        for piece in self.merge(SPACE + word):
             number = self.id.get(piece)
             if number is not None:
                 ids.append(number)
@@ -274,36 +286,36 @@ class PieceCodec:
             self.remembered[word] = found
         return found
 
-    _SPACED = re.compile(" *[^ ]+| +$")
+    _SPACED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
     def encode(self, text: str | None) -> Encoded:
         """Pieces of the whole text without begin or end ids; a null text is an empty one."""
         if not text:
             none = np.zeros(0, np.int32)
             return Encoded(none, none, none, "", "")
-        if not self.by_word or SPACE in text:
+        if not self.by_word:
             return self._encode_whole(text)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            words = [w[1:] for w in self._SPACED.findall(" " + text)]
+        data, places = self.aligned(text)
+        said = data.decode()
+        if SPACE + SPACE in said or said[-1] == SPACE:
+            words = [w[1:] for w in self._SPACED.findall(said)]
         else:
-            words = text.split(" ")
+            words = said[1:].split(SPACE)
         get, made = self.remembered.get, self._word
         found = [get(w) or made(w) for w in words]
         names, ids, surfaces = zip(*found, strict=True)
         ids = np.frombuffer(b"".join(ids), np.int32)
-        ends = np.cumsum(self.sizes[ids]) - 1  # the prefix has no source
-        begins = np.empty_like(ends)
-        begins[0], begins[1:] = 0, ends[:-1]
-        decoded = text
+        edges = places[np.concatenate([[0], np.cumsum(self.sizes[ids])])]
         if any(surfaces):
             decoded = "".join(s or " " + w for s, w in zip(surfaces, words, strict=True))[1:]
-        return Encoded(ids, begins, ends, ",".join(names), decoded)
+        else:
+            decoded = " ".join(words)
+        return Encoded(ids, edges[:-1], edges[1:], ",".join(names), decoded)
 
     def _encode_whole(self, text: str) -> Encoded:
-        data, place = self.normalise(text)
+        data, places = self.aligned(text)
         ids, sizes = self._ids(self.merge(data.decode()))
         edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        places = np.array(place, np.int64)
         return Encoded(
             np.array(ids, np.int32), places[edges[:-1]], places[edges[1:]], ",".join(map(str, ids)), self.decode(ids)
         )
