@@ -115,15 +115,18 @@ def _components(df: DataFrame, shingle: int, crowded: int, id_col: str, text_col
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df``, with its own columns, with one row of each component: one with the smallest id.
 
-    Ids may be repeated: rows are told apart by id and content, of several contents with that id in a component the
-    one with the smallest address stays, of equal ids and contents one row. Rows without an id all stay, as nothing
-    tells them apart, also next to a row with an id in their component.
+    Ids may be null or repeated: rows are told apart by id and content. A row without an id stays only where its
+    component has no row with one; of several contents with the smallest id, or without any, the one with the smallest
+    address stays, of equal ids and contents one row.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
-    keyed = df.select(key.alias("k"), F.col(text_col).alias("t"))
-    docs, named = _components(keyed, SHINGLE, CROWDED, "k", "t", "CASE WHEN k.id IS NOT NULL THEN k END")
-    found = docs.join(named, F.col("fp") == F.col("own"))
+    content = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    # no part of the key is null: rows without an id come after all others
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("said"), content.alias("h"))
+    least = "struct(k.none AS none, v AS id, k.h AS h)"
+    keyed = df.select(key.alias("k"), F.col(id_col).alias("v"), F.col(text_col).alias("t"))
+    docs, named = _components(keyed.select(F.struct("k", "v").alias("kv"), "t"), SHINGLE, CROWDED, "kv", "t", least.replace("k.", "kv.k.").replace(" v ", " kv.v "))
+    first = docs.join(named, F.col("fp") == F.col("own")).select("component_id").distinct()
+    said = F.coalesce(F.col("component_id.id").cast("string"), F.lit(""))
+    first = first.select(F.struct(F.col("component_id.none").alias("none"), said.alias("said"), F.col("component_id.h").alias("h")).alias("k"))
     rows = df.select(F.struct("*").alias("row"), key.alias("k"))
-    first = found.select(F.col("component_id").alias("k")).filter("k IS NOT NULL").distinct()
-    kept = rows.filter(F.col(id_col).isNotNull()).join(first, "k", "left_semi").dropDuplicates(["k"])
-    return kept.unionByName(rows.filter(F.col(id_col).isNull())).select("row.*")
+    return rows.join(first, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
