@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import decontamination, quality_rules, queries, secret_scan, sentencepiece_codec, simhash
 from loomtext.llm.common import read_table
-from loomtext.session import durable
+from loomtext.session import durable, shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret found is masked in its text; n_chars follows the text."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Every secret found is masked in its text, by a new ledger of what was scanned; n_chars follows the text."""
+    ledger = shared_path(spark, "pipeline-ledger")
+    return secret_scan.redact(docs, ledger_path=ledger).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
