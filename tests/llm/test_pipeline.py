@@ -71,7 +71,8 @@ def test_run(spark, expected):
 def test_stages_take_nulls_repeats_extra_columns_and_empty_tables(spark, tmp_path):
     words = " ".join(f"word{k}" for k in range(80))
     rows = [
-        (1, words + ".", "en", None, 5, "x"), (1, words + ".", "en", None, 5, "x"), (2, words.upper() + ".", None, "s", None, None), (None, words + " token=deadbeef00112233.", "en", "s", 1, "y"),
+        (1, words + ".", "en", None, 5, "x"), (1, words + ".", "en", None, 5, "x"), (2, words.upper() + ".", None, "s", None, None), (None, words + ".", "en", "s", 1, "y"),
+        (None, words.replace("word", "own") + " token=deadbeef00112233.", "en", "s", 1, "y"),
         (3, None, None, None, None, None), (4, "", "en", "s", 0, "z"), (5, " ".join(f"w{k}" for k in range(30000)) + ".", "en", "s", 0, "z"),
     ]
     schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
@@ -85,7 +86,7 @@ def test_stages_take_nulls_repeats_extra_columns_and_empty_tables(spark, tmp_pat
         assert empty.count() == 0, name
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
         if name == "near-duplicates":
-            # one of the repeated rows, its upper-case copy goes; the row without an id differs by more than two bits
+            # one of the repeated rows, its copies in upper case and without an id go; the other row without an id is alone
             assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 5]
         if name == "secrets":
             assert {r.doc_id: "[SECRET]" in r.text for r in docs.collect()} == {None: True, 1: False, 5: False}
