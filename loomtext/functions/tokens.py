@@ -22,16 +22,24 @@ def ngram_range(value: object) -> tuple[int, int]:
     return numbers[0], numbers[1]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it looks at it: through an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def char_ngrams(text: Column, least: int = 2, most: int = 4) -> Column:
     """Every run of ``least`` to ``most`` code points, repeats included."""
-    chars = F.split(present(text), "")
-    longest, out = chars, []
-    for n in range(1, most + 1):
-        if n > 1:  # beyond the end one side is null, and so is the run
-            longest = F.zip_with(longest, F.slice(chars, n, F.size(chars)), lambda a, b: F.concat(a, b))
-        if n >= least:
-            out.append(F.filter(longest, lambda g: g.isNotNull() & (g != "")))
-    return F.concat(*out)
+
+    def longer(chars: Column, runs: Column, n: int, out: list[Column]) -> Column:
+        out = [*out, runs] if n >= least else out
+        if n == most:
+            return F.concat(*out)
+        kept = F.slice(runs, 1, F.greatest(F.size(chars) - n, F.lit(0)))
+        following = F.zip_with(kept, F.slice(chars, n + 1, F.size(chars)), lambda a, b: F.concat(a, b))
+        return once(following, lambda r: longer(chars, r, n + 1, out))
+
+    chars = F.filter(F.split(present(text), ""), lambda c: c != "")
+    return once(chars, lambda c: longer(c, c, 1, []))
 
 
 def tokens(

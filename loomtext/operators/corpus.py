@@ -14,7 +14,8 @@ from loomtext.functions.text import present, strip
 # The columns of a corpus record, and the older names that stand for three of them.
 ID, LABEL, TEXT, DATASET, LANGUAGE = "ID", "Diagnosis", "Text_interviewer_participant", "Dataset", "Languages"
 OLDER = {"id": ID, "label": LABEL, "transcript": TEXT}
-#: Order of a record: its corpus, and its line there. Never left to the order of partitions.
+#: Order of a record: its corpus, and its line there, as a number or as text that sorts like one (``line_ordinal`` of
+#: the readers). Never left to the order of partitions.
 SOURCE_AT, LINE_AT = "_source_at", "_line_at"
 
 
@@ -53,7 +54,11 @@ def normalise_schema(df: DataFrame, dataset: str, language: str = "zh") -> DataF
 
 
 def union_corpora(corpora: Sequence[tuple[str, DataFrame | None]], targets: Sequence[str] | None = None) -> DataFrame:
-    """All named corpora with data that are wanted, in their order; columns are matched by name, missing ones null."""
+    """All named corpora with data that are wanted, in their order; columns are matched by name, missing ones null.
+
+    The order of records is that of LINE_AT. A corpus without it has no order of its own: its records are told apart by
+    what they say.
+    """
     wanted = [(n, df) for n, df in corpora if n and df is not None and (targets is None or n in targets)]
     if not wanted:
         raise ValueError("no corpus is left to be united")
@@ -61,7 +66,9 @@ def union_corpora(corpora: Sequence[tuple[str, DataFrame | None]], targets: Sequ
     for k, (name, df) in enumerate(wanted):
         df = normalise_schema(df, name)
         if LINE_AT not in df.columns:
-            df = df.withColumn(LINE_AT, F.monotonically_increasing_id())
+            df = df.withColumn(LINE_AT, F.to_json(F.struct(TEXT, LABEL, LANGUAGE, *sorted(set(df.columns) - {TEXT, LABEL, LANGUAGE}))))
+        elif dict(df.dtypes)[LINE_AT] != "string":
+            df = df.withColumn(LINE_AT, F.lpad(F.col(LINE_AT).cast("string"), 20, "0"))
         parts.append(df.withColumn(SOURCE_AT, F.lit(k)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -152,5 +159,9 @@ def label_distribution(df: DataFrame, label_col: str = LABEL) -> DataFrame:
 
 def stable_sort(df: DataFrame, *columns: str) -> DataFrame:
     """By the columns (Dataset and ID unless said), ties in the records' own order where they have one."""
-    own = [c for c in (SOURCE_AT, LINE_AT) if c in df.columns]
-    return df.orderBy(*(columns or (DATASET, ID)), *own)
+    return df.orderBy(*sort_keys(df, *columns))
+
+
+def sort_keys(df: DataFrame, *columns: str) -> list[str]:
+    """The columns (Dataset and ID unless said) and the records' own order, as far as there is one."""
+    return [*(columns or (DATASET, ID)), *(c for c in (SOURCE_AT, LINE_AT) if c in df.columns)]

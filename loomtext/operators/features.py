@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDFModel, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDFModel, Normalizer, PCAModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from loomtext.functions.tokens import char_ngrams
 
 
 def gram_counts(df: DataFrame, id_cols: Sequence[str], grams: Column) -> DataFrame:
-    """(ids, gram, tf): how often each gram stands in each text."""
+    """(ids, gram, tf): how often each gram stands in each text. Who reads it more than once makes it durable first."""
     return df.select(*id_cols, F.explode(grams).alias("gram")).groupBy(*id_cols, "gram").agg(F.count("*").alias("tf"))
 
 
@@ -89,11 +91,12 @@ def l2_normalised(vector: Column) -> Column:
 def pooled_vectors(df: DataFrame, vectors: DataFrame, *, id_col: str, words: Column, dim: int) -> DataFrame:
     """(id, vector): sum of the vectors of a text's words, repeats included, with norm 1; without a hit all zero.
 
-    The vectors (word, vec) are joined by word. Spark broadcasts them if they are small and else deals both sides out.
+    The vectors (word, vec) are joined by word: Spark broadcasts them if they are small, else it deals both sides out and
+    splits a frequent word's rows. A text's vectors are added up as they come, partly before the shuffle.
     """
     hits = df.select(F.col(id_col), F.explode(words).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n")).join(vectors, "word")
-    parts = hits.select(id_col, F.posexplode("vec").alias("at", "x"), "n").groupBy(id_col, "at").agg(F.sum(F.col("x").cast("double") * F.col("n")).alias("x"))
-    sums = parts.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("sum"))
+    weighed = array_to_vector(F.transform("vec", lambda x: x.cast("double") * F.col("n")))
+    sums = hits.groupBy(id_col).agg(vector_to_array(Summarizer.sum(weighed)).alias("sum"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return df.select(id_col).join(sums, id_col, "left").select(id_col, l2_normalised(F.coalesce("sum", zero)).alias("vector"))
 
@@ -137,33 +140,36 @@ def truncated_svd(df: DataFrame, id_col: str, features_col: str = "features", k:
 
     A component's sign is arbitrary; here its largest loading is positive.
     """
-    from pyspark.mllib.linalg import Vectors as OldVectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    rows = df.select(features_col).rdd.map(lambda r: OldVectors.fromML(r[0]))
-    found = RowMatrix(rows).computeSVD(k, computeU=False)
+    # a DataFrame of the older vectors is read by the JVM alone
+    found = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features_col), features_col)).computeSVD(k, computeU=False)
     v = np.array(found.V.toArray())
     v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
-    shared = df.sparkSession.sparkContext.broadcast(v)
-
-    from pyspark.ml.functions import vector_to_array
+    scored = projected(df, id_col, features_col, v)
+    row = df.agg(Summarizer.metrics("variance", "count").summary(F.col(features_col)).alias("s")).select("s.*").first()
+    moments = float(np.sum(row["variance"].toArray())) * (row["count"] - 1) / row["count"]
+    own = scored.select(*[F.var_pop(F.element_at("scores", j + 1)).alias(str(j)) for j in range(k)]).first()
+    return scored, [x / moments for x in own]
 
-    kind = dict(df.dtypes)[id_col]
-    dense = df.select(id_col, vector_to_array(features_col).alias("f"))
 
-    def rows_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            scores = [(np.asarray(x) @ shared.value).tolist() for x in part["f"]]
-            yield pd.DataFrame({id_col: part[id_col], "scores": scores})
+def projected(df: DataFrame, id_col: str, features_col: str, v: np.ndarray) -> DataFrame:
+    """(id, scores): each row of features times the columns of ``v``, sparse rows as they are.
 
-    scored = dense.mapInPandas(rows_of, f"`{id_col}` {kind}, scores array<double>")
-    moments = df.select(vector_to_array(features_col).alias("x")).select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.var_pop("v").alias("v")).agg(F.sum("v")).first()[0]
-    own = scored.select(*[F.var_pop(F.element_at("scores", j + 1)).alias(str(j)) for j in range(k)]).first()
-    return scored, [x / moments for x in own]
+    The projection of a PCA model is just that (it doesn't centre), so one is made with ``v`` as its components.
+    """
+    jvm = df.sparkSession.sparkContext._jvm
+    numbers = df.sparkSession.sparkContext._gateway.new_array(jvm.double, v.size)
+    for k, x in enumerate(v.T.ravel().tolist()):
+        numbers[k] = x
+    linalg = jvm.org.apache.spark.ml.linalg
+    shares = df.sparkSession.sparkContext._gateway.new_array(jvm.double, v.shape[1])
+    model = jvm.org.apache.spark.ml.feature.PCAModel("projection", linalg.DenseMatrix(v.shape[0], v.shape[1], numbers), linalg.DenseVector(shares))
+    out = PCAModel(model)._set(k=v.shape[1]).setInputCol(features_col).setOutputCol("_scores").transform(df.select(id_col, features_col))
+    return out.select(id_col, vector_to_array("_scores").alias("scores"))
 
 
 def to_vector(array: Column) -> Column:
-    from pyspark.ml.functions import array_to_vector
-
     return array_to_vector(array.cast("array<double>"))
 

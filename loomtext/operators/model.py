@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.operators.features import fit_tfidf
-from loomtext.operators.sampling import balance_train
+from loomtext.operators.sampling import balance_train, balanced_counts
+from loomtext.session import durable
 
 METRICS = ("accuracy", "precision", "recall", "f1")
 
@@ -43,7 +44,7 @@ def cross_validate(features: DataFrame, folds: int, *, keys: Sequence[str], bala
 
     ``features`` has fold, y and features; each fit is small, the rows stay distributed.
     """
-    features = features.cache()
+    features = durable(features)
     parts = []
     for k in range(folds):
         train = balance_train(features.filter(F.col("fold") != k), balance, seed=seed + k, keys=keys, label_col=label_col, by=()) if balance != "none" else features.filter(F.col("fold") != k)
@@ -55,7 +56,7 @@ def cross_validate(features: DataFrame, folds: int, *, keys: Sequence[str], bala
 
 def cross_validate_tfidf(rows: DataFrame, folds: int, *, text_col: str, keys: Sequence[str], balance: str = "none", seed: int = 42, label_col: str = "y", vectoriser: Mapping | None = None, **logistic) -> DataFrame:
     """The same, with a vectoriser that is fitted on each split's training rows alone, after balancing."""
-    rows = rows.cache()
+    rows = durable(rows)
     parts = []
     for k in range(folds):
         train = rows.filter(F.col("fold") != k)
@@ -122,6 +123,27 @@ def label_counts(rows: DataFrame, by: Sequence[str], label_col: str = "y") -> Da
     return rows.groupBy(*by).agg(F.count_if(F.col(label_col) == 0).alias("HC"), F.count_if(F.col(label_col) == 1).alias("AD"))
 
 
+def fold_records(folded: DataFrame, strategy: str, *, label_col: str = "y") -> DataFrame:
+    """For each fold its rows: n_train, n_train_before_balance, n_test, and rows of each label in train and test.
+
+    ``folded`` has fold and a label of 0 (HC) or 1 (AD); balancing makes every class that occurs as large as the smallest
+    or the largest one. Only rows for fold and label are looked at after one count.
+    """
+    cells = folded.groupBy("fold", F.col(label_col).alias("y")).agg(F.count("*").alias("n"))
+    splits = cells.select(F.col("fold").alias("k")).distinct()
+    pairs = splits.crossJoin(cells)
+    train = pairs.filter("fold <> k").groupBy("k", "y").agg(F.sum("n").alias("n"))
+    test = pairs.filter("fold = k").groupBy("k").agg(F.sum("n").alias("n_test"), *_by_label("test"))
+    before = train.groupBy("k").agg(F.sum("n").alias("n_train_before_balance"))
+    after = balanced_counts(train, strategy).groupBy("k").agg(F.sum("n").alias("n_train"), *_by_label("train"))
+    out = after.join(before, "k").join(test, "k")
+    return out.select(F.col("k").alias("fold"), "n_train", "n_train_before_balance", "n_test", *[f"{part}_{name}" for part in ("train", "test") for name in ("HC", "AD")])
+
+
+def _by_label(part: str) -> list:
+    return [F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"{part}_{name}") for y, name in enumerate(("HC", "AD"))]
+
+
 def summary(fold_metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean and population deviation over folds of each metric."""
     return fold_metrics.groupBy(*by).agg(*[f(m).alias(f"{m}_{name}") for m in METRICS for name, f in (("mean", F.avg), ("std", F.stddev_pop))])

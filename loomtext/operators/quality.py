@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import HAN, UNK, WS, computed_once, present, strip, sub
@@ -89,13 +89,14 @@ def length_stats(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
 def length_filter(df: DataFrame, text_col: str, label_col: str, k: float, least_class: int = 30) -> DataFrame:
     """Rows within ``k`` deviations of their class's mean length; all rows if a class has under ``least_class``.
 
-    The guard is part of the plan: classes are few, so their statistics and the smallest class are broadcast.
+    The guard is part of the plan: classes are few, so their statistics, with the smallest class, are broadcast.
+    ``df`` is read twice, for the statistics and for the rows; what is expensive in it is made durable before.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     stats = length_stats(df, text_col, label_col).select(F.col(label_col).alias("_label"), "n_rows", "mean_len", "std_len")
-    smallest = stats.agg(F.min("n_rows").alias("_smallest"))
-    limits = stats.crossJoin(F.broadcast(smallest))
+    # a row for each class alone passes through the unpartitioned window
+    limits = stats.withColumn("_smallest", F.min("n_rows").over(Window.partitionBy(F.lit(0))))
     size = F.length(present(F.col(text_col)))
     inside = size.between(F.col("mean_len") - k * F.col("std_len"), F.col("mean_len") + k * F.col("std_len"))
     joined = df.join(F.broadcast(limits), F.col(label_col).eqNullSafe(F.col("_label")))

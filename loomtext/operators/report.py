@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 #: The order of the methods in tables; others follow by name.
 METHOD_ORDER = ("tfidf", "bert", "glove", "gemma", "linq")
+#: What methods are called in tables; others keep their key.
+DISPLAY_NAMES = {
+    "bert": "BERT-base (mean pooling)",
+    "tfidf": "TF-IDF (char 2–4gram)",
+    "glove": "fastText/GloVe (300d)",
+    "gemma": "Gemma-2B (mean pooling)",
+    "linq": "Linq-Embed-Mistral (mean pooling)",
+}
 METRIC_TITLES = {"accuracy": "Accuracy (%)", "precision": "Precision (%)", "recall": "Recall (%)", "f1": "F1-Score (%)"}
 
 
@@ -97,6 +105,14 @@ def method_rank(method: Column) -> Column:
     return F.when(at > 0, at).otherwise(len(METHOD_ORDER) + 1)
 
 
+def display_name(method: Column) -> Column:
+    key = F.lower(F.trim(method))
+    out = key
+    for name, said in DISPLAY_NAMES.items():
+        out = F.when(key == name, F.lit(said)).otherwise(out)
+    return out
+
+
 def mean_and_deviation(mean: Column, deviation: Column, *, scale: float = 100.0, digits: int = 2) -> Column:
     """"mm.mm ± ss.ss"; empty if either is missing."""
     text = F.format_string(f"%.{digits}f ± %.{digits}f", mean * scale, deviation * scale)
@@ -106,7 +122,7 @@ def mean_and_deviation(mean: Column, deviation: Column, *, scale: float = 100.0,
 def results_table(summaries: DataFrame) -> DataFrame:
     """Model and a formatted column for each metric, in the methods' order."""
     columns = [mean_and_deviation(F.col(f"{m}_mean"), F.col(f"{m}_std")).alias(title) for m, title in METRIC_TITLES.items()]
-    return summaries.orderBy(method_rank(F.col("method")), "method").select(F.col("method").alias("Model"), *columns)
+    return summaries.orderBy(method_rank(F.col("method")), "method").select(display_name(F.col("method")).alias("Model"), *columns)
 
 
 def to_latex(table: DataFrame) -> str:

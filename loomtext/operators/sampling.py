@@ -1,5 +1,6 @@
 """Reproducible samples, folds and balancing. Order comes from md5(seed|key), never from a random generator,
-so that any engine draws the same rows and the number of partitions doesn't matter."""
+so that any engine draws the same rows and the number of partitions doesn't matter. Classes are few and large, so no
+task ever holds a whole one (see ``ranking``)."""
 
 from __future__ import annotations
 
@@ -9,6 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.operators.ranking import rank_by_hash, rank_in_order
+
+#: Slots of a class that one task makes at a time when it is drawn anew.
+SLOTS = 10_000
+
 
 def label_seed(seed: int, label: str) -> int:
     """Fixed rule: the base seed plus the label's CRC-32 modulo 100,000."""
@@ -31,8 +37,8 @@ def sample_classes(
     if cap is None and not balance:
         return df
     label = F.upper(F.col(label_col).cast("string"))
-    order = Window.partitionBy("_label").orderBy(hash_order(label_seed_column(seed, F.col("_label")), *keys), *keys)
-    ranked = df.withColumn("_label", label).withColumn("_rank", F.row_number().over(order))
+    labelled = df.withColumn("_label", label)
+    ranked = rank_by_hash(labelled, ["_label"], hash_order(label_seed_column(seed, F.col("_label")), *keys), keys)
     if balance:
         counts = df.groupBy(label.alias("_label")).count()
         ranked = ranked.crossJoin(F.broadcast(counts.agg(F.min("count").alias("_most"))))
@@ -47,12 +53,11 @@ def stratified_folds(df: DataFrame, *, n_splits: int, seed: int | None, keys: Se
     before it stopped, so that every fold's classes and size differ by one at most."""
     if n_splits <= 1:
         raise ValueError("two folds at least are needed")
-    order = Window.partitionBy(label_col).orderBy(*([] if seed is None else [hash_order(seed, *keys)]), *keys)
     counts = df.groupBy(label_col).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a row for each class alone passes through the unpartitioned window
     starts = counts.select(F.col(label_col).alias("_label"), before.alias("_before"))
-    ranked = df.withColumn("_rank", F.row_number().over(order))
+    ranked = rank_in_order(df, [label_col], keys) if seed is None else rank_by_hash(df, [label_col], hash_order(seed, *keys), keys)
     joined = ranked.join(F.broadcast(starts), F.col(label_col).eqNullSafe(F.col("_label")))
     fold = F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(n_splits)).cast("int")
     return joined.withColumn("fold", fold).select(*df.columns, "fold")
@@ -66,9 +71,8 @@ def train_test_rows(folded: DataFrame, n_splits: int) -> DataFrame:
 
 def downsample(train: DataFrame, *, seed: int, keys: Sequence[str], label_col: str, by: Sequence[str] = ("k",)) -> DataFrame:
     """In each split every class is cut to its smallest, by hash of seed + split."""
-    order = Window.partitionBy(*by, label_col).orderBy(hash_order(_split_seed(seed, by), *keys), *keys)
     sizes = train.groupBy(*by, label_col).count().groupBy(*by).agg(F.min("count").alias("_most"), F.count("*").alias("_classes"))
-    ranked = train.withColumn("_rank", F.row_number().over(order))
+    ranked = rank_by_hash(train, [*by, label_col], hash_order(_split_seed(seed, by), *keys), keys)
     ranked = ranked.join(F.broadcast(sizes), list(by)) if by else ranked.crossJoin(F.broadcast(sizes))
     return ranked.filter((F.col("_classes") < 2) | (F.col("_rank") <= F.col("_most"))).select(*train.columns)
 
@@ -79,12 +83,15 @@ def upsample(train: DataFrame, *, seed: int, keys: Sequence[str], label_col: str
     sizes = train.groupBy(*group).agg(F.count("*").alias("_n"))
     largest = Window.partitionBy(*by)
     sizes = sizes.withColumn("_most", F.max("_n").over(largest)).withColumn("_classes", F.count("*").over(largest))
-    slots = sizes.select(*group, "_n", "_most", "_classes", F.explode(F.sequence(F.lit(1), F.when(F.col("_classes") < 2, F.col("_n")).otherwise(F.col("_most")).cast("int"))).alias("slot"))
+    # in blocks that are dealt out before their slots are made, as a class is one row here
+    last = F.when(F.col("_classes") < 2, F.col("_n")).otherwise(F.col("_most"))
+    blocks = sizes.withColumn("_last", last).withColumn("_block", F.explode(F.sequence(F.lit(0), ((F.col("_last") - 1) / SLOTS).cast("int"))))
+    made = F.sequence(F.col("_block") * SLOTS + 1, F.least(F.col("_last").cast("int"), (F.col("_block") + 1) * SLOTS))
+    slots = blocks.repartition(*group, "_block").select(*group, "_n", "_most", "_classes", F.explode(made).alias("slot"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", _split_seed(seed, by).cast("string"), F.col(label_col).cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
     whole = (F.col("_n") == F.col("_most")) | (F.col("_classes") < 2)
-    slots = slots.withColumn("_rank", F.when(whole, F.col("slot")).otherwise(F.pmod(drawn, F.col("_n")) + 1).cast("int"))
-    order = Window.partitionBy(*group).orderBy(hash_order(_split_seed(seed, by), *keys), *keys)
-    ranked = train.withColumn("_rank", F.row_number().over(order))
+    slots = slots.withColumn("_rank", F.when(whole, F.col("slot")).otherwise(F.pmod(drawn, F.col("_n")) + 1).cast("long"))
+    ranked = rank_by_hash(train, group, hash_order(_split_seed(seed, by), *keys), keys)
     return slots.select(*group, "slot", "_rank").join(ranked, [*group, "_rank"]).select(*train.columns, "slot")
 
 
@@ -101,12 +108,21 @@ def balance_train(train: DataFrame, strategy: str, **options) -> DataFrame:
     return (downsample if strategy == "downsample" else upsample)(train, **options)
 
 
+def balanced_counts(counts: DataFrame, strategy: str, *, label_col: str = "y", by: Sequence[str] = ("k",)) -> DataFrame:
+    """(by, label, n) of rows (by, label, n) after balancing: every class has the size of the smallest or largest one."""
+    if strategy not in ("none", "downsample", "upsample"):
+        raise ValueError(f"unknown balancing: {strategy}")
+    if strategy == "none":
+        return counts.select(*by, label_col, "n")
+    size = (F.min if strategy == "downsample" else F.max)("n").over(Window.partitionBy(*by))
+    return counts.select(*by, label_col, size.alias("n"))
+
+
 def train_test_split(df: DataFrame, *, share: float, seed: int, keys: Sequence[str], label_col: str, least_class: int = 2) -> DataFrame:
     """``is_test`` for round(share * n) rows of each class, by hash; classes must have ``least_class`` rows."""
     sizes = df.groupBy(F.col(label_col).alias("_label")).agg(F.count("*").alias("_n"))
     few = sizes.agg(F.min("_n").alias("n"), F.count("*").alias("classes")).first()
     if few["classes"] < 2 or few["n"] < least_class:
         raise ValueError("two classes with enough rows are needed")
-    order = Window.partitionBy(label_col).orderBy(hash_order(seed, *keys), *keys)
-    ranked = df.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(sizes), F.col(label_col).eqNullSafe(F.col("_label")))
+    ranked = rank_by_hash(df, [label_col], hash_order(seed, *keys), keys).join(F.broadcast(sizes), F.col(label_col).eqNullSafe(F.col("_label")))
     return ranked.withColumn("is_test", F.col("_rank") <= F.round(F.lit(share) * F.col("_n"))).select(*df.columns, "is_test")

@@ -19,6 +19,7 @@ from loomtext.sources.writers import transcript_rows, write_csv
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomtext")
+    # The flags' names are the public interface.
     p.add_argument("--config", required=True)
     for step in ("asr", "predictive", "text", "cv", "report"):
         p.add_argument(f"--{step}", action="store_true")
@@ -30,7 +31,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--reuse-folds", action="store_true")
     p.add_argument("--outdir", default="report")
     p.add_argument("--draw-boundary", action="store_true")
+    p.add_argument("--boundary-scope", choices=("cleaned", "both"), default="cleaned")
     p.add_argument("--skip-combined", action="store_true")
+    p.add_argument("--skip-missing", action="store_true", default=None)
     return p
 
 
@@ -55,11 +58,11 @@ def main(argv: Sequence[str] | None = None, *, spark: SparkSession | None = None
     if args.predictive:
         run_predictive(spark, config)
     if args.text:
-        run_text(spark, config, force_transcripts=args.force_asr_jsonl, skip_transcripts=args.skip_asr)
+        run_text(spark, config, force_transcripts=args.force_asr_jsonl, skip_transcripts=args.skip_asr, skip_missing=args.skip_missing)
     if args.cv:
         run_crossval(spark, config, methods=names(args.methods), reuse_folds=args.reuse_folds, encoders=encoders)
     if args.report:
-        run_report(spark, config, args.outdir, boundary=args.draw_boundary, skip_combined=args.skip_combined)
+        run_report(spark, config, args.outdir, boundary=args.draw_boundary, boundary_scope=args.boundary_scope, skip_combined=args.skip_combined)
 
 
 if __name__ == "__main__":

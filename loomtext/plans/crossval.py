@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import logging
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,8 @@ from loomtext.operators import model as m
 from loomtext.operators.sampling import stratified_folds
 from loomtext.plans.config import names, require, section, train_balance
 from loomtext.plans.text_corpus import cleaned_view
+from loomtext.session import durable
+from loomtext.sources.files import file_exists
 from loomtext.sources.readers import folds as read_folds
 from loomtext.sources.readers import json_lines, word_vectors
 from loomtext.sources.writers import check_folds, write_document, write_folds
@@ -22,6 +24,7 @@ from loomtext.sources.writers import check_folds, write_document, write_folds
 #: Fixed value: the methods, in their default order. The encoders among them are injected.
 METHODS = ("tfidf", "bert", "glove", "gemma", "linq")
 Encoders = Mapping[str, Callable]
+log = logging.getLogger(__name__)
 
 
 def vectoriser_options(config: Mapping) -> dict:
@@ -73,9 +76,9 @@ def run_crossval(spark: SparkSession, config: Mapping, *, methods: list[str] | N
         raise ValueError(f"unknown methods: {unknown}")
     n_splits, place = int(require(cv, "n_splits", "crossval.")), require(cv, "output_indices", "crossval.")
     source = require(section(config, "text"), "cleaned_jsonl", "text.")
-    rows = cleaned_view(json_lines(spark, source)).cache()
+    rows = durable(cleaned_view(json_lines(spark, source, ordered=True)))
     c.assert_class_sizes(rows, "y", n_splits)
-    if reuse_folds and os.path.exists(place):
+    if reuse_folds and file_exists(place):
         saved = read_folds(spark, place)
         check_folds(saved, rows)
         folded = rows.join(saved.filter("is_test").select("row_id", "fold"), "row_id")
@@ -83,7 +86,7 @@ def run_crossval(spark: SparkSession, config: Mapping, *, methods: list[str] | N
         seed = int(require(cv, "random_state", "crossval.")) if cv.get("shuffle", True) else None
         folded = stratified_folds(rows, n_splits=n_splits, seed=seed, keys=["row_id"], label_col="y")
         write_folds(folded, place, n_splits=n_splits)
-    folded = folded.cache()
+    folded = durable(folded)
     balance = train_balance(cv.get("train_balance"))
     average, zero = cv.get("metrics_average", "macro"), float(cv.get("zero_division", 0))
     document: dict = {
@@ -91,6 +94,7 @@ def run_crossval(spark: SparkSession, config: Mapping, *, methods: list[str] | N
         "crossval": {"n_splits": n_splits, "train_balance": balance, "metrics_average": average},
         "methods": {},
     }
+    records = {r["fold"]: _record(r) for r in m.fold_records(folded, balance["balance"]).collect()}
     for method in chosen:
         own = section(features, method)
         logistic = logistic_options(own.get("logreg"))
@@ -100,20 +104,28 @@ def run_crossval(spark: SparkSession, config: Mapping, *, methods: list[str] | N
         else:
             ready = method_features(spark, folded, method, features, encoders or {})
             found = m.cross_validate(ready, n_splits, keys=["row_id"], **balance, **logistic)
-        table = m.confusion(found).cache()
+        table = durable(m.confusion(found))
         by_fold = m.metrics(table, average=average, zero=zero).orderBy("fold")
         matrices = table.orderBy("fold").collect()
         document["methods"][method] = {
             "method": method,
-            "fold_metrics": [r.asDict() for r in by_fold.collect()],
+            "fold_metrics": [r.asDict() | records[r["fold"]] for r in by_fold.collect()],
             "summary": m.summary(by_fold).first().asDict(),
             "confusion_matrices": [[[r.n00, r.n01], [r.n10, r.n11]] for r in matrices] if cv.get("print_confusion_matrix", True) else [],
             "train_balance": balance,
         } | ({"tfidf_fit_scope": scope} if method == "tfidf" else {})
+        if cv.get("print_report", False):
+            for r in m.classification_report(table).orderBy("fold").collect():
+                log.info("fold %s (%s): %s precision %.4f recall %.4f f1 %.4f support %s", r["fold"], method, r["class"], r["precision"], r["recall"], r["f1"], r["support"])
     target = require(cv, "metrics_output", "crossval.")
     write_document(document, target)
     return target
 
 
+def _record(row) -> dict:
+    counts = {f"{part}_label_counts": {name: row[f"{part}_{name}"] for name in ("HC", "AD")} for part in ("train", "test")}
+    return {name: row[name] for name in ("n_train", "n_train_before_balance", "n_test")} | counts
+
+
 def _named(row) -> dict:
     return {"HC": row["HC"], "AD": row["AD"]}

@@ -20,13 +20,18 @@ EXTRAS = ("sex", "age", "education")
 def subjects(meta: DataFrame) -> DataFrame:
     """One row for each valid uuid, the first in the file, with a canonical label."""
     c.require_columns(meta, ["uuid", "label"], "meta table")
-    rows = c.dedup_subjects(meta.withColumn("_at", F.monotonically_increasing_id()), "uuid", ["_at"])
-    return rows.withColumn(c.LABEL, canonical_strict(F.col("label"))).drop("_at", "label")
+    rows = c.dedup_subjects(meta, "uuid", file_order(meta))
+    return rows.withColumn(c.LABEL, canonical_strict(F.col("label"))).drop(c.LINE_AT, "label")
+
+
+def file_order(df: DataFrame) -> list[str]:
+    """The line's place in its file, where the scan kept it; else the columns' values."""
+    return [c.LINE_AT] if c.LINE_AT in df.columns else sorted(df.columns)
 
 
 def feature_rows(features: DataFrame) -> DataFrame:
     c.require_columns(features, ["uuid"], "feature table")
-    return c.dedup_subjects(features.withColumn("_at", F.monotonically_increasing_id()), "uuid", ["_at"]).drop("_at")
+    return c.dedup_subjects(features, "uuid", file_order(features)).drop(c.LINE_AT)
 
 
 def text_corpus(meta: DataFrame, segments: DataFrame, options: Mapping, dataset: str) -> DataFrame:
@@ -47,8 +52,8 @@ def run_predictive(spark: SparkSession, config: Mapping) -> tuple[str, str]:
         "drop_silence": tsv.get("drop_silence", True),
         "order_by": tsv.get("order_by"),
     }
-    meta = subjects(csv_table(spark, require(own, "meta_csv", "predictive.")))
-    features = feature_rows(csv_table(spark, require(own, "egemaps_csv", "predictive."), infer=True))
+    meta = subjects(csv_table(spark, require(own, "meta_csv", "predictive."), ordered=True))
+    features = feature_rows(csv_table(spark, require(own, "egemaps_csv", "predictive."), infer=True, ordered=True))
     segments = tsv_segments(spark, require(own, "tsv_root", "predictive."))
     texts, table = require(own, "output_text_jsonl", "predictive."), require(own, "output_egemaps_csv", "predictive.")
     dataset = own.get("dataset_name", "Chinese_predictive_challenge")

@@ -12,9 +12,12 @@ from loomtext.functions.prompts import drop_prompts_twice
 from loomtext.functions.text import clean_transcript, computed_once
 from loomtext.operators import corpus as c
 from loomtext.operators.quality import QualityLimits, length_filter, quality_filter
+from loomtext.operators.ranking import numbered
 from loomtext.operators.sampling import sample_classes
 from loomtext.plans.config import names, require, sampling, section
-from loomtext.sources.readers import csv_table, exists, json_lines
+from loomtext.session import durable
+from loomtext.sources.files import file_exists
+from loomtext.sources.readers import csv_table, json_lines
 from loomtext.sources.writers import write_json_lines
 
 KEYS = (c.DATASET, c.ID)
@@ -30,18 +33,22 @@ def transcripts_to_corpus(spark: SparkSession, asr: Mapping, text: Mapping, *, f
         write_json_lines(c.normalise_schema(rows, dataset).select(c.ID, c.LABEL, c.TEXT, c.DATASET, c.LANGUAGE), target, order=KEYS, force=force)
 
 
-def united(spark: SparkSession, text: Mapping, *, skip_missing: bool = False) -> DataFrame:
-    """Steps 1 and 2: the configured corpora that are wanted, in order. A missing file is an error unless skipped."""
+def united(spark: SparkSession, text: Mapping, *, skip_missing: bool | None = None) -> DataFrame:
+    """Steps 1 and 2: the configured corpora that are wanted, in order.
+
+    A missing file is an error unless it is to be skipped: by the argument, or else by ``skip_missing_corpora``.
+    """
+    skip_missing = bool(text.get("skip_missing_corpora", False)) if skip_missing is None else skip_missing
     listed, targets = require(text, "corpora", "text.", list), names(text.get("target_datasets"))
     corpora = []
     for own in listed:
         name, path = own.get("name"), own.get("path")
         if not name or not path or (targets is not None and name not in targets):
             continue
-        if skip_missing and not exists(spark, path):
+        if skip_missing and not file_exists(path):
             log.warning("corpus %s: %s is missing", name, path)
             continue
-        corpora.append((name, json_lines(spark, path)))
+        corpora.append((name, json_lines(spark, path, ordered=True)))
     return c.union_corpora(corpora, targets)
 
 
@@ -76,6 +83,8 @@ def cleaned(records: DataFrame, text: Mapping) -> DataFrame:
     if quality.get("enabled", True):
         limits = QualityLimits(int(quality.get("min_chars", 15)), int(quality.get("min_lex_chars", 8)), int(quality.get("min_han", 6)), float(quality.get("max_unk_ratio", 0.75)))
         df = quality_filter(df, c.TEXT, limits)
+    # what follows reads the rows several times: class sizes, ranks, length statistics
+    df = durable(df)
     draw = sampling(text)
     df = c.assert_known_labels(_drawn(df, draw))
     length = text.get("length_filter") or {}
@@ -92,14 +101,16 @@ def _drawn(df: DataFrame, draw: Mapping) -> DataFrame:
     return sample_classes(df, seed=draw["seed"], keys=KEYS, label_col=c.LABEL, cap=draw["cap"], balance=draw["balance"])
 
 
-def run_text(spark: SparkSession, config: Mapping, *, force_transcripts: bool = False, skip_transcripts: bool = False) -> str:
+def run_text(
+    spark: SparkSession, config: Mapping, *, force_transcripts: bool = False, skip_transcripts: bool = False, skip_missing: bool | None = None
+) -> str:
     """All steps; the cleaned corpus as JSON lines. Returns its path."""
     text = section(config, "text")
     if not skip_transcripts and text.get("ncmmsc_jsonl"):
         transcripts_to_corpus(spark, section(config, "asr"), text, force=force_transcripts)
-    records = united(spark, text)
+    records = united(spark, text, skip_missing=skip_missing)
     combined = f"{require(text, 'output_dir', 'text.')}/{require(text, 'combined_name', 'text.')}"
-    write_json_lines(records.drop(c.SOURCE_AT, c.LINE_AT), combined, order=KEYS)
+    write_json_lines(c.stable_sort(records).drop(c.SOURCE_AT, c.LINE_AT), combined)
     out = cleaned(records, text)
     target = require(text, "cleaned_jsonl", "text.")
     write_json_lines(c.stable_sort(out).drop(c.SOURCE_AT, c.LINE_AT), target)
@@ -112,7 +123,6 @@ def cleaned_view(corpus: DataFrame, order: Sequence[str] = KEYS) -> DataFrame:
     from loomtext.functions.text import present
 
     c.require_columns(corpus, [c.TEXT, c.LABEL], "cleaned corpus")
-    rows = c.binary_only(corpus).orderBy(*[o for o in order if o in corpus.columns])
-    # numbered in sorted partitions, without drawing all rows into one
-    indexed = rows.select(present(F.col(c.TEXT)).alias("text"), binary(F.col(c.LABEL)).alias("y")).rdd.zipWithIndex()
-    return indexed.map(lambda p: (p[1], p[0]["text"], p[0]["y"])).toDF("row_id long, text string, y int")
+    rows = c.binary_only(corpus)
+    keys = [o for o in (*order, c.LINE_AT) if o in corpus.columns] or [c.TEXT, c.LABEL]
+    return numbered(rows, keys).select("row_id", present(F.col(c.TEXT)).alias("text"), binary(F.col(c.LABEL)).alias("y"))

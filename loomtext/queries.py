@@ -24,7 +24,8 @@ from loomtext.operators import quality as q
 from loomtext.operators import report as rp
 from loomtext.operators import sampling as sp
 from loomtext.operators import segments as sg
-from loomtext.session import shared_path, spread
+from loomtext.operators.ranking import numbered
+from loomtext.session import durable, shared_path, spread
 from loomtext.sources import readers as rd
 from loomtext.sources import writers as wr
 from loomtext.streaming.clean import clean_stream
@@ -161,15 +162,13 @@ def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_stable_sort", "SELECT doc_id, source, row_number() OVER (ORDER BY source, CAST(doc_id AS VARCHAR)) AS at FROM documents")
 def stable_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sort's place of each row, by counting in the sorted partitions."""
-    rows = c.stable_sort(table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("k")), "source", "k")
-    return rows.rdd.zipWithIndex().map(lambda p: (p[0].doc_id, p[0].source, p[1] + 1)).toDF("doc_id long, source string, at long")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("k"))
+    return numbered(rows, c.sort_keys(rows, "source", "k"), "at").select("doc_id", "source", (F.col("at") + 1).alias("at"))
 
 
-@query("q_texts_and_labels", f"SELECT doc_id, dense_rank() OVER (ORDER BY lang) - 1 AS y FROM (SELECT doc_id, lang FROM {LABELLED} WHERE trim(coalesce(text, '')) <> '')")
+@query("q_texts_and_labels", f"SELECT doc_id, lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS y FROM (SELECT doc_id, lang FROM {LABELLED} WHERE trim(coalesce(text, '')) <> '')")
 def texts_and_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = c.non_blank(labelled(spark, sf_dir), "text")
-    names = rows.groupBy("lang").count().agg(F.array_sort(F.collect_list("lang")).alias("names"))
-    return rows.crossJoin(F.broadcast(names)).select("doc_id", (F.array_position("names", F.col("lang")) - 1).alias("y"))
+    return rd.texts_and_labels(c.non_blank(labelled(spark, sf_dir), "text"), "lang", keep=["doc_id"]).select("doc_id", "label", "y")
 
 
 # ---------------------------------------------------------------- texts
@@ -521,13 +520,13 @@ def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- features
 
-GRAMS = f"(SELECT doc_id, y, substr(text, i, n) AS gram FROM (SELECT doc_id, y, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM {LABELLED}, (SELECT unnest([2, 3]) AS n)))"
+GRAMS = f"(SELECT doc_id, y, substr(text, i, n) AS gram FROM (SELECT doc_id, y, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM {LABELLED}, (SELECT unnest([2, 3, 4]) AS n)))"
 COUNTS = f"(SELECT doc_id, y, gram, count(*) AS tf FROM {GRAMS} GROUP BY ALL)"
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character bigrams and trigrams of the whole labelled documents."""
-    return ft.gram_counts(labelled(spark, sf_dir), ["doc_id", "y"], char_ngrams(F.col("text"), 2, 3))
+    """Character n-grams, two to four, of the whole labelled documents."""
+    return ft.gram_counts(labelled(spark, sf_dir), ["doc_id", "y"], char_ngrams(F.col("text")))
 
 
 @query("q_char_ngrams", f"SELECT doc_id, count(*) AS n_grams, CAST(sum(tf) AS BIGINT) AS n_all, max(tf) AS most FROM {COUNTS} GROUP BY doc_id")
@@ -557,7 +556,7 @@ def weighed(df: DataFrame, *by: str) -> DataFrame:
 
 @query("q_tfidf", f"SELECT {WEIGHED} FROM {sql_tfidf(COUNTS, '(SELECT count(*) FROM labels)', COUNTS)} GROUP BY doc_id")
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighed(ft.tfidf(counts(spark, sf_dir), table(spark, sf_dir, "labels"), ["doc_id"]))
+    return weighed(ft.tfidf(durable(counts(spark, sf_dir)), table(spark, sf_dir, "labels"), ["doc_id"]))
 
 
 @query(
@@ -567,7 +566,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT k, {WEIGHED} FROM {sql_tfidf("fitted", "s.n", "test", "k")} GROUP BY k, doc_id""",
 )
 def tfidf_trainonly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = counts(spark, sf_dir).drop("y").cache()
+    rows = durable(counts(spark, sf_dir).drop("y"))
     down = sp.downsample(train_rows(spark, sf_dir), seed=SEED, keys=["doc_id"], label_col="y").select("k", "doc_id")
     test = folded_rows(spark, sf_dir).select(F.col("fold").cast("long").alias("k"), "doc_id").join(rows, "doc_id")
     return weighed(ft.tfidf(test, down, ["doc_id"], fitted_on=down.join(rows, "doc_id"), by=["k"]), "k")
@@ -595,21 +594,25 @@ def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(norm, 6).alias("norm"))
 
 
-VECTOR_WORDS = "the of and in to der die und le la de et que el".split()
+#: Every row of embeddings is the vector of a word: the most frequent words of all documents, in that order.
+RANKED_WORDS = """(SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS vec_id FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w))"""
 
 
 @query(
     "q_static_vectors",
-    f"""WITH v AS (SELECT w, embedding FROM (SELECT unnest([{", ".join(f"'{w}'" for w in VECTOR_WORDS)}]) AS w, unnest(range({len(VECTOR_WORDS)})) AS i) JOIN embeddings ON vec_id = i),
+    f"""WITH v AS (SELECT w, embedding FROM {RANKED_WORDS} JOIN embeddings USING (vec_id)),
       t AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) GROUP BY ALL),
       s AS (SELECT doc_id, j, sum(n * CAST(embedding[j] AS DOUBLE)) AS x FROM t JOIN v USING (w), (SELECT unnest(range(1, 65)) AS j) GROUP BY doc_id, j),
       r AS (SELECT doc_id, sqrt(sum(x * x)) AS norm, max(CASE WHEN j = 1 THEN x END) AS a, max(CASE WHEN j = 64 THEN x END) AS b FROM s GROUP BY doc_id)
       SELECT doc_id, round(coalesce(a / norm, 0), 6) AS first, round(coalesce(b / norm, 0), 6) AS last FROM documents LEFT JOIN r USING (doc_id)""",
 )
 def static_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame(list(enumerate(VECTOR_WORDS)), "vec_id long, word string")
-    vectors = table(spark, sf_dir, "embeddings").join(F.broadcast(words), "vec_id").select("word", F.col("embedding").alias("vec"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    embeddings = table(spark, sf_dir, "embeddings")
+    most = embeddings.agg(F.max("vec_id")).first()[0] + 1
+    counted = docs.select(F.explode(tokens(F.col("text"), lowercase=True)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    ranked = numbered(counted.orderBy(F.desc("n"), "word").limit(most), [F.desc("n"), "word"], "vec_id")
+    vectors = embeddings.join(ranked, "vec_id").select("word", F.col("embedding").alias("vec"))
     out = ft.pooled_vectors(docs, vectors, id_col="doc_id", words=tokens(F.col("text"), lowercase=True), dim=64)
     return out.select("doc_id", F.round(F.element_at("vector", 1), 6).alias("first"), F.round(F.element_at("vector", 64), 6).alias("last"))
 
@@ -720,5 +723,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents, sanitised, of good quality and usual length: rows and characters of each class."""
     rows = tx.computed_once(labelled(spark, sf_dir), {"text": tx.sanitise(F.col("text"))})
     good = q.quality_filter(rows, "text", q.QualityLimits(script="[A-Za-z]"))
-    kept = q.length_filter(good, "text", "y", 2.5)
+    # statistics and rows are read from what is written here, so that texts are sanitised once
+    kept = q.length_filter(durable(good), "text", "y", 2.5)
     return kept.groupBy("y").agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).cast("long").alias("n_chars"))

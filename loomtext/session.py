@@ -28,11 +28,14 @@ def build_session(app: str = "loomtext", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) make a folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local session may do without and gets a folder of its own:
+    a driver's folder isn't one that executors elsewhere see."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = context.getConf().get("spark.checkpoint.dir", "")
+    if not configured and not context.isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomtext-checkpoint-"))
 
 

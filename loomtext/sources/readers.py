@@ -12,19 +12,17 @@ from pyspark.sql.types import StructType
 
 from loomtext.functions.labels import sample_id
 from loomtext.functions.text import present, strip
+from loomtext.sources.files import read_text
 
 # Label folders in order, kinds of audio files, text columns in order of preference.
 AUDIO_LABELS = ("AD", "HC", "MCI")
 AUDIO_KINDS = ("wav", "mp3", "flac", "m4a", "ogg")
 TEXT_COLUMNS = ("Text_interviewer_participant", "text", "Text", "utterance", "sentence")
+#: Tasks of a scan up to which what is known of its splits is broadcast.
+FEW_TASKS = 1000
 FOLDS_SCHEMA = "array<struct<train_idx:array<bigint>,test_idx:array<bigint>>>"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def _path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
@@ -78,10 +76,26 @@ def transcribe(files: DataFrame, load: Callable[[], Transcriber]) -> DataFrame:
     return files.mapInPandas(run, "id string, label string, transcript string, audio_path string, duration double")
 
 
-def csv_table(spark: SparkSession, path: str, schema: StructType | str | None = None, *, infer: bool = False, separator: str = ",") -> DataFrame:
-    """A CSV file with a header; quoted fields may hold line breaks and quotes. Without a schema all is text."""
+def line_ordinal() -> Column:
+    """Text that sorts like (file, split of the file, line in the split), of a row as it comes from a scan of files.
+
+    An increasing id grows from line to line within a split, which one task reads; between splits their place in the
+    file decides. So it doesn't matter how splits are put into partitions.
+    """
+    number = lambda c: F.lpad(c.cast("string"), 20, "0")
+    return F.concat_ws("|", F.col("_metadata.file_path"), number(F.col("_metadata.file_block_start")), number(F.monotonically_increasing_id()))
+
+
+def csv_table(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, *, infer: bool = False, separator: str = ",", ordered: bool = False
+) -> DataFrame:
+    """A CSV file with a header; quoted fields may hold line breaks and quotes. Without a schema all is text.
+
+    ``ordered`` adds ``_line_at``, by which rows sort as they stand in the files.
+    """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", separator)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", infer)).csv(path)
+    rows = (reader.schema(schema) if schema else reader.option("inferSchema", infer)).csv(path)
+    return rows.withColumn("_line_at", line_ordinal()) if ordered else rows
 
 
 def tsv_folder(spark: SparkSession, root: str) -> DataFrame:
@@ -105,28 +119,48 @@ def tsv_segments(spark: SparkSession, root: str, columns: Sequence[str] = ("no",
     return rows.select("uid", "seq", *[F.col("fields")[c].alias(c) for c in columns if c in names])
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """A JSON-lines corpus; without a schema, every primitive is text so that an id such as 0001 keeps its zeros."""
-    return spark.read.schema(schema).json(path) if schema else spark.read.option("primitivesAsString", True).json(path)
+def json_lines(spark: SparkSession, path: str, schema: StructType | str | None = None, *, ordered: bool = False) -> DataFrame:
+    """A JSON-lines corpus; without a schema, every primitive is text so that an id such as 0001 keeps its zeros.
+
+    ``ordered`` adds ``_line_at``, by which records sort as they stand in the files.
+    """
+    rows = spark.read.schema(schema).json(path) if schema else spark.read.option("primitivesAsString", True).json(path)
+    return rows.withColumn("_line_at", line_ordinal()) if ordered else rows
+
+
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, number, value) of all lines of text files; ``number`` counts from 1 in each file.
+
+    A first scan counts the lines of each split; a line's number is its place in its split plus the lines before that.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    splits = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("path").alias("p"), F.col("start").alias("s"), "first", before.alias("before"))
+    # so many tasks read some ten thousand splits at most, a few megabytes
+    splits = F.broadcast(splits) if lines.rdd.getNumPartitions() <= FEW_TASKS else splits
+    found = lines.join(splits, (F.col("path") == F.col("p")) & (F.col("start") == F.col("s")))
+    return found.select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("number"), "value")
 
 
 def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The same with ``_line_at``, the line's number in its file, where the order of lines matters; small files."""
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.posexplode(F.split("value", r"\r?\n")).alias("_line_at", "line")).filter(F.trim("line") != "")
-    return lines.select(F.from_json("line", schema).alias("r"), F.col("_line_at").cast("long").alias("_line_at")).select("r.*", "_line_at")
+    """A JSON-lines file with ``_line_at``, the line's number in its file from 0; blank lines are left out."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("r"), (F.col("number") - 1).alias("_line_at")).select("r.*", "_line_at")
 
 
 def checked_json_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, record) of every line that isn't blank, as JSON text; what isn't an object is wrapped as ``_value``.
+    """(path, number, record) of every line that isn't blank, as JSON text; what isn't an object is wrapped as ``_value``.
 
-    A line that isn't JSON fails the job with its file and text.
+    A line that isn't JSON fails the job with its file, number and text.
     """
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).filter("line <> ''")
+    rows = numbered_lines(spark, paths).select("path", "number", F.trim("value").alias("line")).filter("line <> ''")
     valid = F.expr("try_parse_json(line)").isNotNull()
-    failure = F.raise_error(F.concat(F.lit("not JSON in "), F.col("path"), F.lit(": "), F.col("line"))).cast("string")
+    failure = F.raise_error(F.concat(F.lit("not JSON in "), F.col("path"), F.lit(", line "), F.col("number"), F.lit(": "), F.col("line"))).cast("string")
     wrapped = F.concat(F.lit('{"_value": '), F.col("line"), F.lit("}"))
-    return rows.select("path", F.when(~valid, failure).when(F.col("line").startswith("{"), F.col("line")).otherwise(wrapped).alias("record"))
+    return rows.select("path", "number", F.when(~valid, failure).when(F.col("line").startswith("{"), F.col("line")).otherwise(wrapped).alias("record"))
 
 
 def word_vectors(spark: SparkSession, path: str, dim: int, most: int | None = None) -> DataFrame:
@@ -134,7 +168,7 @@ def word_vectors(spark: SparkSession, path: str, dim: int, most: int | None = No
 
     ``most`` counts good lines in the file's order; of a repeated word the last counts.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("at", line_ordinal())
     parts = F.split(F.trim("value"), r"\s+")
     numbers = F.transform(F.slice(parts, 2, dim), lambda x: x.try_cast("float"))
     rows = lines.select("at", F.element_at(parts, 1).alias("word"), numbers.alias("vec"))
@@ -146,8 +180,7 @@ def word_vectors(spark: SparkSession, path: str, dim: int, most: int | None = No
 
 def folds(spark: SparkSession, path: str) -> DataFrame:
     """(fold, row_id, is_test) of a list of index pairs; anything else is an error."""
-    with open(path, encoding="utf-8") as file:
-        found = json.load(file)
+    found = json.loads(read_text(path))
     if not isinstance(found, list) or not all(isinstance(f, dict) and {"train_idx", "test_idx"} <= set(f) for f in found):
         raise ValueError(f"{path}: not a list of train_idx and test_idx")
     rows = [(k, f["train_idx"], f["test_idx"]) for k, f in enumerate(found)]
@@ -157,16 +190,17 @@ def folds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metrics_document(path: str) -> dict:
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)
+    return json.loads(read_text(path))
 
 
-def texts_and_labels(df: DataFrame, label_col: str = "Diagnosis", text_columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
-    """(text, label, y): the first text column there is, blank texts and null labels left out, labels numbered by name."""
+def texts_and_labels(df: DataFrame, label_col: str = "Diagnosis", text_columns: Sequence[str] = TEXT_COLUMNS, keep: Sequence[str] = ()) -> DataFrame:
+    """(text, label, y, and the columns to ``keep``): the first text column there is, blank texts and null labels left out, labels numbered by name."""
     column = next((c for c in text_columns if c in df.columns), None)
     if column is None or label_col not in df.columns:
         raise ValueError(f"needs {label_col} and one of {list(text_columns)}")
-    rows = df.select(present(F.col(column)).alias("text"), F.col(label_col).cast("string").alias("label"))
+    rows = df.select(present(F.col(column)).alias("text"), F.col(label_col).cast("string").alias("label"), *keep)
     rows = rows.filter((strip(F.col("text")) != "") & F.col("label").isNotNull())
-    names = rows.groupBy("label").count().agg(F.array_sort(F.collect_list("label")).alias("_names"))
-    return rows.crossJoin(F.broadcast(names)).select("text", "label", (F.array_position("_names", F.col("label")) - 1).cast("int").alias("y"))
+    # a row for each label alone passes through the unpartitioned window
+    names = rows.select(F.col("label").alias("_label")).distinct()
+    names = names.withColumn("y", (F.row_number().over(Window.orderBy("_label")) - 1).cast("int"))
+    return rows.join(names, F.col("label") == F.col("_label")).select("text", "label", "y", *keep)

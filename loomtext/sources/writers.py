@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import present, strip
+from loomtext.sources.files import file_exists, write_text
 
 # Columns of the transcript table, and of its older form.
 TRANSCRIPT_COLUMNS = ("id", "label", "transcript", "audio_path", "duration")
 OLDER_COLUMNS = ("id", "label", "transcript", "cleaned_transcript", "audio_path", "duration")
+#: Rows of a folds document, at most.
+MOST_FOLD_ROWS = 2_000_000
 
 
 def transcript_rows(df: DataFrame, cleaner: Callable[[Column], Column] | None = None, *, older: bool = False) -> DataFrame:
@@ -44,19 +46,24 @@ def write_json_lines(df: DataFrame, path: str, *, order: Sequence[str] = (), one
 
 
 def combine_json_lines(spark: SparkSession, inputs: Sequence[str], path: str) -> None:
-    """All records of the inputs, by path, as one set of JSON lines; no inputs or a missing one is an error."""
-    from loomtext.sources.readers import checked_json_lines, exists
+    """All records of the inputs, by path and line, as one set of JSON lines; no inputs or a missing one is an error."""
+    from loomtext.sources.readers import checked_json_lines
 
     if not inputs:
         raise ValueError("no inputs")
     for name in inputs:
-        if not exists(spark, name):
+        if not file_exists(name):
             raise FileNotFoundError(name)
-    checked_json_lines(spark, sorted(inputs)).select("record").write.mode("overwrite").text(path)
+    checked_json_lines(spark, sorted(inputs)).orderBy("path", "number").select("record").write.mode("overwrite").text(path)
 
 
-def write_folds(folded: DataFrame, path: str, *, id_col: str = "row_id", n_splits: int) -> None:
-    """Folds as index lists in one JSON file; a row id for each labelled sample, which is small."""
+def write_folds(folded: DataFrame, path: str, *, id_col: str = "row_id", n_splits: int, most: int = MOST_FOLD_ROWS) -> None:
+    """Folds as index lists in one JSON document, which holds every row id; more rows than ``most`` are an error.
+
+    Larger folds stay a table (id, fold), which any sink takes.
+    """
+    if folded.limit(most + 1).count() > most:
+        raise ValueError(f"a folds document holds {most} rows at most; write (row id, fold) as a table")
     rows = [(r[id_col], r["fold"]) for r in folded.select(id_col, "fold").orderBy(id_col).collect()]
     out = [{"train_idx": [i for i, f in rows if f != k], "test_idx": [i for i, f in rows if f == k]} for k in range(n_splits)]
     write_document(out, path)
@@ -71,6 +78,4 @@ def check_folds(folds: DataFrame, rows: DataFrame, *, id_col: str = "row_id") ->
 
 
 def write_document(document: object, path: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(document, file, ensure_ascii=False, indent=2)
+    write_text(path, json.dumps(document, ensure_ascii=False, indent=2))

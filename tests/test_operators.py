@@ -3,12 +3,14 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtext.operators import corpus as c
 from loomtext.operators import features as ft
 from loomtext.operators import model as m
 from loomtext.operators import quality as q
+from loomtext.operators import ranking as rk
 from loomtext.operators import report as rp
 from loomtext.operators import sampling as sp
 from loomtext.operators import segments as sg
@@ -104,6 +106,42 @@ def test_tfidf_model_is_the_relational_form(spark):
         assert abs(r.weight - own[r.id][at[r.gram]]) < 1e-12
 
 
+def test_ranks_are_those_of_a_window_and_no_task_holds_a_class(spark):
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise((F.col("id") % 7 == 0).cast("int")).alias("y"), (F.col("id") % 40).alias("t"))
+    by_hash = rk.rank_by_hash(df, ["y"], F.md5(F.col("id").cast("string")), ["id"])
+    in_order = rk.rank_in_order(df.repartition(9), ["y"], ["t", "id"])
+    for found, order in ((by_hash, [F.md5(F.col("id").cast("string"))]), (in_order, ["t", "id"])):
+        want = df.withColumn("_rank", F.row_number().over(Window.partitionBy("y").orderBy(*order)).cast("long"))
+        assert found.columns == want.columns and sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = by_hash._jdf.queryExecution().executedPlan().toString()
+    assert all("_cell" in line for line in plan.splitlines() if "Window [row_number" in line)
+    numbers = rk.numbered(df.repartition(9), ["t", "id"]).collect()
+    assert [r.id for r in sorted(numbers, key=lambda r: r.row_id)] == [r.id for r in df.orderBy("t", "id").collect()]
+    assert sorted(r.row_id for r in numbers) == list(range(5000)) and rk.numbered(df.limit(0), ["id"]).count() == 0
+
+
+def test_upsampling_makes_its_slots_in_blocks(spark, monkeypatch):
+    df = spark.range(90).select(F.lit(0).alias("k"), F.col("id"), (F.col("id") < 70).cast("int").alias("y"))
+    whole = sorted(map(tuple, sp.upsample(df, seed=3, keys=["id"], label_col="y").collect()))
+    monkeypatch.setattr(sp, "SLOTS", 8)
+    assert sorted(map(tuple, sp.upsample(df, seed=3, keys=["id"], label_col="y").collect())) == whole and len(whole) == 140
+
+
+def test_fold_records(spark):
+    df = spark.createDataFrame([(k, int(k < 8)) for k in range(21)], "row_id long, y int")
+    folded = sp.stratified_folds(df, n_splits=4, seed=1, keys=["row_id"], label_col="y")
+    rows = [(r.row_id, r.y, r.fold) for r in folded.collect()]
+    for strategy in ("none", "downsample", "upsample"):
+        for r in m.fold_records(folded, strategy).collect():
+            train = folded.filter(F.col("fold") != r.fold).select("row_id", "y", F.lit(r.fold).alias("k"))
+            own = sp.balance_train(train, strategy, **({} if strategy == "none" else dict(seed=1, keys=["row_id"], label_col="y"))).collect()
+            test = [y for _, y, f in rows if f == r.fold]
+            assert (r.n_train, r.n_train_before_balance, r.n_test) == (len(own), 21 - len(test), len(test))
+            assert (r.train_HC, r.train_AD, r.test_HC, r.test_AD) == (*[sum(x.y == y for x in own) for y in (0, 1)], *[test.count(y) for y in (0, 1)])
+    with pytest.raises(ValueError):
+        sp.balanced_counts(df, "other")
+
+
 def newton(x, y, w, penalty):
     x1, b = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
     ridge = np.diag([penalty] * x.shape[1] + [0])
@@ -158,7 +196,7 @@ def test_reports(spark):
     assert (box.q1, box.median, box.q3, box.whisker_high, box.n_fliers) == (2, 3, 4, 4, 1)
     summaries = spark.createDataFrame([(n, *[0.5, 0.1] * 4) for n in ("zeta", "glove", "tfidf")], "method string, " + ", ".join(f"{x}_mean double, {x}_std double" for x in m.METRICS))
     table = rp.results_table(summaries)
-    assert [r.Model for r in table.collect()] == ["tfidf", "glove", "zeta"] and table.first()[1] == "50.00 ± 10.00"
+    assert [r.Model for r in table.collect()] == ["TF-IDF (char 2–4gram)", "fastText/GloVe (300d)", "zeta"] and table.first()[1] == "50.00 ± 10.00"
     assert r"\toprule" in rp.to_latex(table)
 
 
@@ -177,7 +215,11 @@ def test_vectors_encoder_and_svd(spark):
     x = np.random.default_rng(3).normal(size=(30, 4)) * [5, 3, 1, 0.5]
     frame = spark.createDataFrame([(k, Vectors.dense(r)) for k, r in enumerate(x)], ["id", "features"])
     scores, shares = ft.truncated_svd(frame, "id")
+    assert "Python" not in scores._jdf.queryExecution().executedPlan().toString()
+    sparse = spark.createDataFrame([(k, Vectors.sparse(4, [(j, float(v)) for j, v in enumerate(r)])) for k, r in enumerate(x)], ["id", "features"])
+    assert np.allclose([r.scores for r in ft.truncated_svd(sparse, "id")[0].orderBy("id").collect()], [r.scores for r in scores.orderBy("id").collect()])
     u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(shares, [np.var(u[:, j] * s[j]) / np.var(x, axis=0).sum() for j in range(2)])
     own = np.array([r.scores for r in scores.orderBy("id").collect()])
     assert np.allclose(np.abs(own), np.abs(u[:, :2] * s[:2]), atol=1e-8) and 0.7 < sum(shares) < 1
     model = m.fit_logistic(frame.withColumn("y", (F.col("id") % 2).cast("int")).join(scores, "id").withColumn("features", ft.to_vector(F.col("scores"))))

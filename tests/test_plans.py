@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import corpus as c
 from loomtext.plans import cli, config
+from loomtext.plans import predictive as pv
+from loomtext.plans.report import run_report
+from loomtext.plans.text_corpus import united
 from loomtext.sources import readers as rd
 from loomtext.sources import writers as wr
 from loomtext.sources.collection import FIELDS, Collection
@@ -94,8 +97,14 @@ def test_steps(spark, setting):
     assert set(metrics["methods"]) == {"tfidf", "glove", "bert"} and metrics["data"]["label_counts"] == {"HC": 20, "AD": 20}
     assert len(metrics["methods"]["tfidf"]["fold_metrics"]) == 3 and metrics["methods"]["tfidf"]["tfidf_fit_scope"] == "train"
     report = rd.csv_table(spark, str(root / "report" / "results_table"))
-    assert [r.Model for r in report.collect()] == ["tfidf", "bert", "glove"]
+    assert [r.Model for r in report.collect()] == ["TF-IDF (char 2–4gram)", "BERT-base (mean pooling)", "fastText/GloVe (300d)"]
+    record = metrics["methods"]["glove"]["fold_metrics"][0]
+    assert record["n_train"] + record["n_test"] == record["n_train_before_balance"] + record["n_test"] == 40 and record["train_label_counts"]["HC"] + record["test_label_counts"]["HC"] == 20
+    assert not (root / "report" / "combined_boundary").exists() and (root / "report" / "combined_2d").exists()
     assert (root / "report" / "results_table.tex").exists() and rd.csv_table(spark, str(root / "report" / "cleaned_boundary")).count() == 280 * 280
+    other = str(root / "other")
+    cli.main(["--config", path, "--report", "--outdir", other, "--draw-boundary", "--boundary-scope", "both"], spark=spark)
+    assert (root / "other" / "combined_boundary").exists()
     cli.main(["--config", path, "--cv", "--reuse-folds", "--methods", "glove"], spark=spark)
     assert json.loads((root / "folds.json").read_text()) == folds
     (root / "folds.json").write_text(json.dumps(folds[:2]))
@@ -118,7 +127,8 @@ def test_readers(spark, setting, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n[2]\n"x"\n')
     assert [r.record for r in rd.checked_json_lines(spark, str(tmp_path / "a.jsonl")).collect()] == ['{"a": 1}', '{"_value": [2]}', '{"_value": "x"}']
     (tmp_path / "bad.jsonl").write_text("{oops\n")
-    with pytest.raises(Exception, match="not JSON in"):
+    (tmp_path / "bad.jsonl").write_text('{"a": 1}\n\n' * 20 + "{oops\n")
+    with pytest.raises(Exception, match="not JSON in .*bad.jsonl, line 41: .oops"):
         rd.checked_json_lines(spark, str(tmp_path / "bad.jsonl")).collect()
     wr.combine_json_lines(spark, [str(tmp_path / "a.jsonl")], str(tmp_path / "all"))
     assert len(lines(tmp_path / "all")) == 3
@@ -138,6 +148,64 @@ def test_readers(spark, setting, tmp_path):
     assert lines(tmp_path / "j") == [{"a": 1, "b": None}]
 
 
+def test_lines_keep_their_order_over_files_and_splits(spark, tmp_path):
+    """Splits of a few lines, dealt into partitions by size: numbers and ordinals are those of the files."""
+    for name, n in (("b", 400), ("a", 37), ("c", 900)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"id": f"{name}{k}", "k": k}) + "\n" for k in range(n)))
+    places = [str(tmp_path / f"{name}.jsonl") for name in "abc"]
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(places).rdd.getNumPartitions() > 5
+        rows = rd.numbered_lines(spark, places).collect()
+        assert sorted((r.path.rpartition("/")[2], r.number, json.loads(r.value)["id"]) for r in rows) == sorted((f"{n}.jsonl", k + 1, f"{n}{k}") for n, of in (("a", 37), ("b", 400), ("c", 900)) for k in range(of))
+        for name, n in (("b", 400), ("c", 900)):
+            own = rd.json_lines(spark, str(tmp_path / f"{name}.jsonl"), ordered=True).repartition(11)
+            assert [r.id for r in sorted(own.collect(), key=lambda r: r._line_at)] == [f"{name}{k}" for k in range(n)]
+        wr.combine_json_lines(spark, places, str(tmp_path / "all"))
+        assert [r["id"] for r in lines(tmp_path / "all")] == [f"{n}{k}" for n, of in (("a", 37), ("b", 400), ("c", 900)) for k in range(of)]
+        # the first of the records with one id stays, in the order of corpora and then of lines
+        rows = [{"ID": str(k % 150), "Diagnosis": "AD", "Text_interviewer_participant": f"t{k}", "Dataset": "d"} for k in range(600)]
+        (tmp_path / "first.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        (tmp_path / "second.jsonl").write_text("".join(json.dumps(r | {"Text_interviewer_participant": "later", "ID": str(int(r["ID"]) + 100)}) + "\n" for r in rows))
+        corpora = [(n, rd.json_lines(spark, str(tmp_path / f"{n}.jsonl"), ordered=True)) for n in ("first", "second")]
+        kept = {r.ID: r[c.TEXT] for r in c.dedup_records(c.union_corpora(corpora)).collect()}
+        assert kept == {str(k): f"t{k}" if k < 150 else "later" for k in range(250)}
+        (tmp_path / "meta.csv").write_text("uuid,label,n\n" + "".join(f"u{k % 90},AD,{k}\n" for k in range(700)))
+        found = pv.subjects(rd.csv_table(spark, str(tmp_path / "meta.csv"), ordered=True)).collect()
+        assert sorted((r.uuid, int(r.n)) for r in found) == sorted((f"u{k}", k) for k in range(90))
+        (tmp_path / "w.vec").write_text("".join(f"w{k % 60} {k}.0 1.0\n" for k in range(500)))
+        assert {r.word: int(r.vec[0]) for r in rd.word_vectors(spark, str(tmp_path / "w.vec"), 2).collect()} == {f"w{k % 60}": k for k in range(440, 500)}
+        assert {int(r.vec[0]) for r in rd.word_vectors(spark, str(tmp_path / "w.vec"), 2, 50).collect()} == set(range(50))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_a_report_without_metrics_or_with_a_bad_combined_corpus(spark, setting, tmp_path):
+    root, path = setting
+    conf = dict(config.load_config(path))
+    conf["features"] = conf["features"] | {"crossval": conf["features"]["crossval"] | {"metrics_output": str(tmp_path / "none.json")}}
+    (tmp_path / "combined.jsonl").write_text('{"other": 1}\n')
+    conf["text"] = conf["text"] | {"output_dir": str(tmp_path)}
+    run_report(spark, conf, str(tmp_path / "report"))
+    assert (tmp_path / "report" / "cleaned_lengths").exists() and not (tmp_path / "report" / "results_table").exists() and not (tmp_path / "report" / "combined_lengths").exists()
+    with pytest.raises(ValueError):
+        run_report(spark, conf, str(tmp_path / "report"), boundary_scope="none")
+
+
+def test_missing_corpora_are_skipped_only_if_told(spark, setting):
+    text = dict(config.load_config(setting[1])["text"])
+    text["corpora"] = [text["corpora"][0], {"name": "two", "path": str(setting[0] / "missing.jsonl")}]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        united(spark, text)
+    for options, told in ((text | {"skip_missing_corpora": True}, None), (text, True)):
+        assert united(spark, options, skip_missing=told).count() == 42
+    with pytest.raises(ValueError, match="rows at most"):
+        wr.write_folds(spark.range(5).select(F.col("id").alias("row_id"), F.lit(0).alias("fold")), str(setting[0] / "f.json"), n_splits=2, most=4)
+
+
 def test_collection(spark):
     class Own(Collection):
         def raw(self, spark):
