@@ -187,24 +187,36 @@ def _by_document(o: np.ndarray, th: np.ndarray, at: np.ndarray) -> Iterator[tupl
 _REPEATS = pa.schema([("o", pa.int64()), ("th", pa.int64()), ("data", pa.binary())])
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, which small numbers leave zero."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str, n: int, start: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, start).reshape(width, n).T).view(kind).ravel()
+
+
 def pack_places(o: np.ndarray, th: np.ndarray, row: np.ndarray, at: np.ndarray) -> bytes:
-    """Places in documents, sorted by row and place: a table of the documents, their counts and the gaps between places."""
+    """Places in documents, sorted by row and place: the documents and their counts, and all numbers as gaps.
+
+    A document is named in every bucket that one of its windows falls in, so its name has to be short.
+    """
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(row))).astype("<u4")
-    light = zlib.compress(counts.tobytes() + np.diff(at, prepend=0).astype("<i4").tobytes(), 1)
-    head = np.array([len(row), len(first), len(light)], "<u4").tobytes()
-    return head + o[first].astype("<i8").tobytes() + th[first].astype("<i8").tobytes() + light
+    names = [np.diff(x[first].astype("<i8"), prepend=np.int64(0)) for x in (o, th)]
+    light = zlib.compress(b"".join(map(_planes, (*names, counts, np.diff(at, prepend=0).astype("<i4")))), 1)
+    return np.array([len(row), len(first), len(light)], "<u4").tobytes() + light
 
 
 def unpack_places(data: bytes, start: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
     """((o, th, at), where it ends) of what ``pack_places`` made."""
     n, docs, light = np.frombuffer(data, "<u4", 3, start).tolist()
     start += 12
-    o, th = np.frombuffer(data, "<i8", docs, start), np.frombuffer(data, "<i8", docs, start + 8 * docs)
-    start += 16 * docs
     plain = zlib.decompress(data[start : start + light])
-    counts = np.frombuffer(plain, "<u4", docs)
-    return (np.repeat(o, counts), np.repeat(th, counts), np.cumsum(np.frombuffer(plain, "<i4", n, 4 * docs))), start + light
+    o, th = (np.cumsum(_from_planes(plain, "<i8", docs, k)) for k in (0, 8 * docs))
+    counts = _from_planes(plain, "<u4", docs, 16 * docs)
+    return (np.repeat(o, counts), np.repeat(th, counts), np.cumsum(_from_planes(plain, "<i4", n, 20 * docs))), start + light
 
 
 def candidate_places(docs: DataFrame, bitmaps, ranges: int, buckets: int, size: int) -> DataFrame:
@@ -349,12 +361,11 @@ def remove_repeats(
     Other columns are not looked at; an empty table gives an empty one; texts are read whole.
     """
     spark = df.sparkSession
-    # Identity of a document: order by id, and its text's hash, so that rows with the same id don't mix.
+    # Identity of a document: order by id, and its text's hash where ids are repeated, so that rows with one id don't mix.
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("o")
+    repeated = not df.select(order).groupBy("o").count().filter("count > 1").isEmpty()
     docs = df.select(
-        F.col(text_col).alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("o"),
-        F.xxhash64(F.col(text_col)).alias("th"),
-        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"), order, (F.xxhash64(F.col(text_col)) if repeated else F.lit(0).cast("long")).alias("th"), F.col(id_col).alias("id")
     )
     expected = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_A_WINDOW)
     ranges = min(most_ranges, max(1, -(-int(CELLS_A_WINDOW * expected) >> RANGE)))
