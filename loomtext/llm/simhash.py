@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import id_type, map_texts
@@ -119,14 +119,15 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     component has no row with one; of several contents with the smallest id, or without any, the one with the smallest
     address stays, of equal ids and contents one row.
     """
+
+    def key(id_: Column, h: Column) -> Column:
+        """One text, which no null and no difference in types keeps from being dealt out once for the join and the drop."""
+        return F.concat_ws("|", h, F.coalesce(id_.cast("string"), F.lit("")))
+
     content = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    # no part of the key is null: rows without an id come after all others
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("said"), content.alias("h"))
-    least = "struct(k.none AS none, v AS id, k.h AS h)"
-    keyed = df.select(key.alias("k"), F.col(id_col).alias("v"), F.col(text_col).alias("t"))
-    docs, named = _components(keyed.select(F.struct("k", "v").alias("kv"), "t"), SHINGLE, CROWDED, "kv", "t", least.replace("k.", "kv.k.").replace(" v ", " kv.v "))
-    first = docs.join(named, F.col("fp") == F.col("own")).select("component_id").distinct()
-    said = F.coalesce(F.col("component_id.id").cast("string"), F.lit(""))
-    first = first.select(F.struct(F.col("component_id.none").alias("none"), said.alias("said"), F.col("component_id.h").alias("h")).alias("k"))
-    rows = df.select(F.struct("*").alias("row"), key.alias("k"))
+    # rows without an id come after all others
+    named_rows = df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), content.alias("h")).alias("k"), F.col(text_col).alias("t"))
+    docs, named = _components(named_rows, SHINGLE, CROWDED, "k", "t", "k")
+    first = docs.join(named, F.col("fp") == F.col("own")).select(key(F.col("component_id.id"), F.col("component_id.h")).alias("k")).distinct()
+    rows = df.select(F.struct("*").alias("row"), key(F.col(id_col), content).alias("k"))
     return rows.join(first, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
