@@ -6,7 +6,7 @@
 2. A second pass looks at the windows whose cells all say "repeated". Those that are repeated within a block of
    documents are settled there; of each window a block sends on only its first place. These are dealt out by the window's hash and
    grouped exactly by 96 bits; every place in a document after the first one is sent back to its document.
-3. The documents meet their repeated windows and lose the covered words.
+3. The documents, their texts packed, meet their repeated windows and lose the covered words.
 
 A sketch has a bounded size. Beyond it more windows are estimated repeated, which costs traffic but loses none.
 """
@@ -21,6 +21,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -343,6 +344,19 @@ class Removal:
         return len(self.words), int(self.removed.sum()), hashlib.sha256(self.kept).hexdigest()
 
 
+def with_packed_texts(docs: DataFrame, id_kind: str) -> DataFrame:
+    """``docs`` (text, o, th, id) with each text packed by itself, which the shuffle of whole texts is spared."""
+    schema = f"packed binary, o long, th long, id {id_kind}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for part in chunks(batches, 0):
+            packed = [None if t is None else pack(t.encode()) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *part.columns[1:]], names=["packed", "o", "th", "id"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def remove_repeats(
     df: DataFrame,
     *,
@@ -372,7 +386,8 @@ def remove_repeats(
     bitmaps = spark.sparkContext.broadcast(merge_sketches(sketch_fragments(docs, ranges, window), ranges))
     buckets = 1 << max(0, (expected // BUCKET).bit_length())
     repeats = exact_repeats(candidate_places(docs, bitmaps, ranges, buckets, window), buckets)
-    met = docs.join(repeats, ["o", "th"], "left").select("id", "text", F.col("data").alias("starts"))
+    carried = with_packed_texts(docs, id_type(df, id_col))
+    met = carried.join(repeats, ["o", "th"], "left").select("id", "packed", F.col("data").alias("starts"))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -381,10 +396,12 @@ def remove_repeats(
     target = to_arrow_schema(_parse_datatype_string(full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for part in chunks(batches, 1):
             rows = []
-            for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for data, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 found = unpacked(starts) if starts else np.zeros(0, np.int64)
+                text = None if data is None else unpack(data).decode()
                 rows.append(project(Removal(text, found, window)))
             columns = [part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(target)[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=target)
