@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.labels import UNKNOWN, mapped, subject_id
@@ -74,9 +74,12 @@ def union_corpora(corpora: Sequence[tuple[str, DataFrame | None]], targets: Sequ
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each key in ``order``; keys may be null."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The first row of each key in ``order``; keys may be null.
+
+    As an aggregate, so that of a frequent key's rows each task sends on one alone.
+    """
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
 
 
 def dedup_records(df: DataFrame) -> DataFrame:

@@ -27,8 +27,11 @@ def top_grams(counts: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     totals = counts.groupBy(*by, "gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if not by:
         return totals.orderBy(F.desc("total"), "gram").limit(k)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), "gram"))
-    return totals.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    # the best of each part of the grams first, so that no task ranks all grams of a split
+    for part in ([F.pmod(F.xxhash64("gram"), F.lit(64))], []):
+        rank = F.row_number().over(Window.partitionBy(*by, *part).orderBy(F.desc("total"), "gram"))
+        totals = totals.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
+    return totals
 
 
 def tfidf(counts: DataFrame, documents: DataFrame, id_cols: Sequence[str], *, fitted_on: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:

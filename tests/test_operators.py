@@ -120,6 +120,17 @@ def test_ranks_are_those_of_a_window_and_no_task_holds_a_class(spark):
     assert sorted(r.row_id for r in numbers) == list(range(5000)) and rk.numbered(df.limit(0), ["id"]).count() == 0
 
 
+def test_first_rows_and_top_grams_are_those_of_a_window(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 11).alias("k"), (F.col("id") * 7919 % 3001).alias("o"), F.array("id").alias("a"), F.col("id").cast("string").alias("o text"))
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("o"))).filter("r = 1").drop("r")
+    got = c.keep_first(df, ["k"], ["o"])
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and len(got.collect()) == 12
+    counts = spark.range(4000).select((F.col("id") % 3).alias("s"), F.concat(F.lit("g"), F.col("id") % 400).alias("gram"), (F.col("id") % 13).alias("tf"))
+    totals = counts.groupBy("s", "gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    best = totals.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("total"), "gram"))).filter("r <= 20").drop("r")
+    assert sorted(map(tuple, ft.top_grams(counts, 20, ["s"]).collect())) == sorted(map(tuple, best.collect()))
+
+
 def test_upsampling_makes_its_slots_in_blocks(spark, monkeypatch):
     df = spark.range(90).select(F.lit(0).alias("k"), F.col("id"), (F.col("id") < 70).cast("int").alias("y"))
     whole = sorted(map(tuple, sp.upsample(df, seed=3, keys=["id"], label_col="y").collect()))
