@@ -34,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = context.getConf().get("spark.checkpoint.dir", "")
-    if not configured and not context.isLocal():
+    if not configured and not context._jsc.sc().isLocal():
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomtext-checkpoint-"))
 
