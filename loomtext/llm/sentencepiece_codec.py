@@ -164,9 +164,8 @@ class PieceCodec:
         self.escape = bool(normalizer.get(5, 1))
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.by_word = not self.squeeze and self.prefix and self.escape and self.fallback and not crosses
-        #: By id: its name, its decoded text, its size in normalised bytes.
+        #: By id: its name, its size in normalised bytes.
         self.names = list(map(str, range(len(self.pieces))))
-        self.surfaces = [p.replace(SPACE, " ") if k == NORMAL else "" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
         self.remembered: dict[str, tuple] = {}
 
@@ -271,17 +270,15 @@ class PieceCodec:
 
     def _word(self, word: str) -> tuple[str, bytes, str | None]:
         """What a new normalised word after a space gives: ids as text, ids, and the decoded text if it isn't the word."""
-        ids = []
-        for piece in self.merge(SPACE + word):
-            number = self.id.get(piece)
-            if number is not None:
-                ids.append(number)
-            else:
-                ids += [self.bytes[b] for b in piece.encode()]
-        surface = "".join(map(self.surfaces.__getitem__, ids))
-        if surface[1:] != word:
-            surface = self._surface(ids)
-        found = ",".join(map(self.names.__getitem__, ids)), array("i", ids).tobytes(), None if surface[1:] == word else surface
+        get, surface = self.id.get, None
+        pieces = self.merge(SPACE + word)
+        ids = [get(p) for p in pieces]
+        if None in ids or SPACE in word:
+            ids = [i for i, p in zip(ids, pieces, strict=True) for i in ([i] if i is not None else [self.bytes[b] for b in p.encode()])]
+            said = self._surface(ids)
+            surface = None if said[1:] == word else said
+        names = self.names
+        found = ",".join([names[i] for i in ids]), array("i", ids).tobytes(), surface
         if len(word) <= LONGEST_REMEMBERED and len(self.remembered) < REMEMBERED:
             self.remembered[word] = found
         return found
