@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from loomtext.llm import (
     decontamination,
     license_scan,
+    neighbours,
     quality_rules,
     secret_scan,
     sentencepiece_codec,
     sharding,
     simhash,
     substring_dedup,
+    token_alignment,
     toxicity,
     unigram_count,
+    whitening,
 )
 from loomtext.llm.common import read_table
 from loomtext.session import shared_path
@@ -91,6 +94,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, chain)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return token_alignment.alignment_report(read_table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -102,6 +118,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 #: Lower-cases A-Z alone, as SQL's lower() would change other letters too.
