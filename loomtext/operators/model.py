@@ -21,7 +21,7 @@ def class_weights(train: DataFrame, label_col: str = "y") -> DataFrame:
     sizes = train.groupBy(F.col(label_col).alias("_y")).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     table = sizes.crossJoin(total).select("_y", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return train.join(F.broadcast(table), F.col(label_col) == F.col("_y")).drop("_y")
+    return train.join(table, F.col(label_col) == F.col("_y")).drop("_y")
 
 
 def fit_logistic(train: DataFrame, *, c: float = 1.0, max_iter: int = 1000, balanced: bool = True, features_col: str = "features", label_col: str = "y", solver: str = "lbfgs") -> LogisticRegressionModel:

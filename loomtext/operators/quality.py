@@ -99,5 +99,5 @@ def length_filter(df: DataFrame, text_col: str, label_col: str, k: float, least_
     limits = stats.withColumn("_smallest", F.min("n_rows").over(Window.partitionBy(F.lit(0))))
     size = F.length(present(F.col(text_col)))
     inside = size.between(F.col("mean_len") - k * F.col("std_len"), F.col("mean_len") + k * F.col("std_len"))
-    joined = df.join(F.broadcast(limits), F.col(label_col).eqNullSafe(F.col("_label")))
+    joined = df.join(limits, F.col(label_col).eqNullSafe(F.col("_label")))
     return joined.filter((F.col("_smallest") < least_class) | inside).select(*df.columns)

@@ -53,3 +53,26 @@ def rank_in_order(df: DataFrame, by: Sequence[str], order: Sequence[str], name:
     same = [F.col(c).eqNullSafe(F.col(f"_of_{k}")) for k, c in enumerate(by)]
     found = rows.join(first, same) if by else rows.crossJoin(first)
     return found.select(*df.columns, (F.col("_number") - F.col("_first") + 1).cast("long").alias(name))
+
+
+def first_by_hash(df: DataFrame, by: Sequence[str], hashed: Column, ties: Sequence[str], most: Column) -> DataFrame:
+    """The rows of each group that ``rank_by_hash`` would place up to ``most``, without ranking the others.
+
+    ``most`` is an expression over a table of cells: the columns ``by``, ``_total`` (rows of the group) and windows over
+    them. A histogram of the hashes' first digits tells in which cell the last wanted row of a group falls. Rows of cells
+    before it stay and those after it go as they are read; only the rows of that one cell are shuffled and ranked. So
+    ``df`` is read three times: who computes it from far makes it durable first.
+    """
+    keyed = df.withColumn("_hash", hashed)
+    cell = F.substring("_hash", 1, CELL_DIGITS)
+    group = Window.partitionBy(*by)
+    cells = keyed.groupBy(*by, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    cells = cells.withColumn("_upto", F.sum("_n").over(group.orderBy("_cell"))).withColumn("_total", F.sum("_n").over(group)).withColumn("_most", most)
+    # hashes are hexadecimal, so a group without a cut has one after all its cells
+    cut = F.when(F.col("_upto") >= F.col("_most"), F.struct(F.col("_cell").alias("at"), (F.col("_most") - F.col("_upto") + F.col("_n")).alias("left")))
+    whole = F.struct(F.lit("g").alias("at"), F.lit(0).cast("long").alias("left"))
+    cuts = cells.groupBy(*[F.col(c).alias(f"_of_{k}") for k, c in enumerate(by)]).agg(F.coalesce(F.min(cut), whole).alias("_cut"))
+    found = keyed.join(cuts, [F.col(c).eqNullSafe(F.col(f"_of_{k}")) for k, c in enumerate(by)])
+    before = found.filter(cell < F.col("_cut.at")).select(*df.columns)
+    inside = found.filter(cell == F.col("_cut.at")).withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", *ties)))
+    return before.unionByName(inside.filter(F.col("_at") <= F.col("_cut.left")).select(*df.columns))

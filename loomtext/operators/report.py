@@ -28,7 +28,7 @@ def box_plot_stats(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame
     q1, q2, q3 = (F.element_at("_q", k) for k in (1, 2, 3))
     quartiles = quartiles.select(*by, "n_rows", "mean", q1.alias("q1"), q2.alias("median"), q3.alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = rows.join(F.broadcast(quartiles), list(by))
+    joined = rows.join(quartiles, list(by))
     inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
     return joined.groupBy(*by, "n_rows", "mean", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"), F.count_if(~inside).alias("n_fliers")
@@ -37,7 +37,7 @@ def box_plot_stats(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame
 
 def fliers(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
     stats = box_plot_stats(df, value, by)
-    joined = df.select(*by, value.cast("double").alias("value")).join(F.broadcast(stats.select(*by, "whisker_low", "whisker_high")), list(by))
+    joined = df.select(*by, value.cast("double").alias("value")).join(stats.select(*by, "whisker_low", "whisker_high"), list(by))
     return joined.filter((F.col("value") < F.col("whisker_low")) | (F.col("value") > F.col("whisker_high"))).select(*by, "value")
 
 
@@ -46,7 +46,7 @@ def shared_folds(series: DataFrame, least: int = 1) -> DataFrame:
     counts = series.groupBy("method").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     ranked = series.withColumn("_at", F.row_number().over(Window.partitionBy("method").orderBy("fold")) - 1)
     shortest = counts.agg(F.min("_n").alias("_least"))
-    rows = ranked.join(F.broadcast(counts.select("method")), "method").crossJoin(F.broadcast(shortest))
+    rows = ranked.join(counts.select("method"), "method").crossJoin(F.broadcast(shortest))
     return rows.filter(F.col("_at") < F.col("_least")).select("method", F.col("_at").alias("fold"), "value")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.operators.ranking import rank_by_hash, rank_in_order
+from loomtext.operators.ranking import first_by_hash, rank_by_hash, rank_in_order
 
 #: Slots of a class that one task makes at a time when it is drawn anew.
 SLOTS = 10_000
@@ -36,16 +36,12 @@ def sample_classes(
     """Of each class the first rows by hash: as many as the smallest class (``balance``) and ``cap`` allow."""
     if cap is None and not balance:
         return df
-    label = F.upper(F.col(label_col).cast("string"))
-    labelled = df.withColumn("_label", label)
-    ranked = rank_by_hash(labelled, ["_label"], hash_order(label_seed_column(seed, F.col("_label")), *keys), keys)
-    if balance:
-        counts = df.groupBy(label.alias("_label")).count()
-        ranked = ranked.crossJoin(F.broadcast(counts.agg(F.min("count").alias("_most"))))
-        ranked = ranked.filter(F.col("_rank") <= F.col("_most")).drop("_most")
-    if cap is not None:
-        ranked = ranked.filter(F.col("_rank") <= cap)
-    return ranked.drop("_label", "_rank")
+    labelled = df.withColumn("_label", F.upper(F.col(label_col).cast("string")))
+    most = F.min("_total").over(Window.partitionBy(F.lit(0))) if balance else F.lit(cap)
+    if balance and cap is not None:
+        most = F.least(most, F.lit(cap))
+    hashed = hash_order(label_seed_column(seed, F.col("_label")), *keys)
+    return first_by_hash(labelled, ["_label"], hashed, keys, most.cast("long")).drop("_label")
 
 
 def stratified_folds(df: DataFrame, *, n_splits: int, seed: int | None, keys: Sequence[str], label_col: str) -> DataFrame:
@@ -58,7 +54,7 @@ def stratified_folds(df: DataFrame, *, n_splits: int, seed: int | None, keys: Se
     # a row for each class alone passes through the unpartitioned window
     starts = counts.select(F.col(label_col).alias("_label"), before.alias("_before"))
     ranked = rank_in_order(df, [label_col], keys) if seed is None else rank_by_hash(df, [label_col], hash_order(seed, *keys), keys)
-    joined = ranked.join(F.broadcast(starts), F.col(label_col).eqNullSafe(F.col("_label")))
+    joined = ranked.join(starts, F.col(label_col).eqNullSafe(F.col("_label")))
     fold = F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(n_splits)).cast("int")
     return joined.withColumn("fold", fold).select(*df.columns, "fold")
 
@@ -71,10 +67,11 @@ def train_test_rows(folded: DataFrame, n_splits: int) -> DataFrame:
 
 def downsample(train: DataFrame, *, seed: int, keys: Sequence[str], label_col: str, by: Sequence[str] = ("k",)) -> DataFrame:
     """In each split every class is cut to its smallest, by hash of seed + split."""
-    sizes = train.groupBy(*by, label_col).count().groupBy(*by).agg(F.min("count").alias("_most"), F.count("*").alias("_classes"))
-    ranked = rank_by_hash(train, [*by, label_col], hash_order(_split_seed(seed, by), *keys), keys)
-    ranked = ranked.join(F.broadcast(sizes), list(by)) if by else ranked.crossJoin(F.broadcast(sizes))
-    return ranked.filter((F.col("_classes") < 2) | (F.col("_rank") <= F.col("_most"))).select(*train.columns)
+    split = Window.partitionBy(*(by or [F.lit(0)]))
+    # each class has one first cell; a split of one class stays whole
+    classes = F.count_if(F.col("_upto") == F.col("_n")).over(split)
+    size = F.when(classes < 2, F.col("_total")).otherwise(F.min("_total").over(split))
+    return first_by_hash(train, [*by, label_col], hash_order(_split_seed(seed, by), *keys), keys, size)
 
 
 def upsample(train: DataFrame, *, seed: int, keys: Sequence[str], label_col: str, by: Sequence[str] = ("k",)) -> DataFrame:
@@ -124,5 +121,5 @@ def train_test_split(df: DataFrame, *, share: float, seed: int, keys: Sequence[s
     few = sizes.agg(F.min("_n").alias("n"), F.count("*").alias("classes")).first()
     if few["classes"] < 2 or few["n"] < least_class:
         raise ValueError("two classes with enough rows are needed")
-    ranked = rank_by_hash(df, [label_col], hash_order(seed, *keys), keys).join(F.broadcast(sizes), F.col(label_col).eqNullSafe(F.col("_label")))
+    ranked = rank_by_hash(df, [label_col], hash_order(seed, *keys), keys).join(sizes, F.col(label_col).eqNullSafe(F.col("_label")))
     return ranked.withColumn("is_test", F.col("_rank") <= F.round(F.lit(share) * F.col("_n"))).select(*df.columns, "is_test")

@@ -78,15 +78,17 @@ def run_crossval(spark: SparkSession, config: Mapping, *, methods: list[str] | N
     source = require(section(config, "text"), "cleaned_jsonl", "text.")
     rows = durable(cleaned_view(json_lines(spark, source, ordered=True)))
     c.assert_class_sizes(rows, "y", n_splits)
-    if reuse_folds and file_exists(place):
+    reused = reuse_folds and file_exists(place)
+    if reused:
         saved = read_folds(spark, place)
         check_folds(saved, rows)
         folded = rows.join(saved.filter("is_test").select("row_id", "fold"), "row_id")
     else:
         seed = int(require(cv, "random_state", "crossval.")) if cv.get("shuffle", True) else None
         folded = stratified_folds(rows, n_splits=n_splits, seed=seed, keys=["row_id"], label_col="y")
-        write_folds(folded, place, n_splits=n_splits)
     folded = durable(folded)
+    if not reused:
+        write_folds(folded, place, n_splits=n_splits)
     balance = train_balance(cv.get("train_balance"))
     average, zero = cv.get("metrics_average", "macro"), float(cv.get("zero_division", 0))
     document: dict = {

@@ -8,7 +8,6 @@ on both sides, by one rule for all rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -490,7 +489,8 @@ DOWN = f"""(SELECT doc_id, y, k FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sp.train_test_rows(folded_rows(spark, sf_dir), FOLDS)
+    """Training rows of every split, over folds that are computed once."""
+    rows = sp.train_test_rows(durable(folded_rows(spark, sf_dir)), FOLDS)
     return rows.filter("not is_test").select("doc_id", "y", F.col("k").cast("long").alias("k"))
 
 
@@ -567,7 +567,7 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tfidf_trainonly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = durable(counts(spark, sf_dir).drop("y"))
-    down = sp.downsample(train_rows(spark, sf_dir), seed=SEED, keys=["doc_id"], label_col="y").select("k", "doc_id")
+    down = durable(sp.downsample(train_rows(spark, sf_dir), seed=SEED, keys=["doc_id"], label_col="y").select("k", "doc_id"))
     test = folded_rows(spark, sf_dir).select(F.col("fold").cast("long").alias("k"), "doc_id").join(rows, "doc_id")
     return weighed(ft.tfidf(test, down, ["doc_id"], fitted_on=down.join(rows, "doc_id"), by=["k"]), "k")
 
@@ -623,8 +623,8 @@ def static_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str, *methods: int) -> DataFrame:
     """Rule-based predictions for every fold: by a document's length, a rule for each ``method``."""
     rows = folded_rows(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    one = lambda k: rows.select("doc_id", "fold", "y", (F.col("n_chars") % (k + 2) != 0).cast("int").alias("yhat"), F.lit(f"m{k}").alias("method"))
-    return reduce(DataFrame.unionByName, [one(k) for k in methods or (1, 2, 3)])
+    each = rows.select("*", F.explode(F.array(*[F.lit(k) for k in methods or (1, 2, 3)])).alias("k"))
+    return each.select("doc_id", "fold", "y", (F.col("n_chars") % (F.col("k") + 2) != 0).cast("int").alias("yhat"), F.concat(F.lit("m"), "k").alias("method"))
 
 
 PREDICTED = f"(SELECT doc_id, fold, y, CAST(n_chars % (k + 2) <> 0 AS INTEGER) AS yhat, concat('m', k) AS method FROM {FOLDED} JOIN documents USING (doc_id), (SELECT unnest([1, 2, 3]) AS k))"

@@ -20,7 +20,6 @@ AUDIO_KINDS = ("wav", "mp3", "flac", "m4a", "ogg")
 TEXT_COLUMNS = ("Text_interviewer_participant", "text", "Text", "utterance", "sentence")
 #: Tasks of a scan up to which what is known of its splits is broadcast.
 FEW_TASKS = 1000
-FOLDS_SCHEMA = "array<struct<train_idx:array<bigint>,test_idx:array<bigint>>>"
 
 
 def _path_part(path: Column, from_end: int) -> Column:
@@ -179,14 +178,22 @@ def word_vectors(spark: SparkSession, path: str, dim: int, most: int | None = No
 
 
 def folds(spark: SparkSession, path: str) -> DataFrame:
-    """(fold, row_id, is_test) of a list of index pairs; anything else is an error."""
-    found = json.loads(read_text(path))
-    if not isinstance(found, list) or not all(isinstance(f, dict) and {"train_idx", "test_idx"} <= set(f) for f in found):
+    """(fold, row_id, is_test) of a list of index pairs, or of the table that the document names; anything else is an error.
+
+    The document is read by an executor, the table by as many as it has parts.
+    """
+    reader = spark.read.option("multiLine", True).schema("train_idx array<bigint>, test_idx array<bigint>, n_splits int, table string, _corrupt_record string")
+    table = reader.json(path).withColumn("fold", F.monotonically_increasing_id().cast("int"))  # one file is read by one task
+    complete = F.col("train_idx").isNotNull() & F.col("test_idx").isNotNull() & F.col("_corrupt_record").isNull()
+    kinds = table.select("fold", complete, "n_splits", "table").collect()
+    if len(kinds) == 1 and kinds[0]["table"] and kinds[0]["n_splits"]:
+        rows = spark.read.parquet(f"{path.rpartition('/')[0] or '.'}/{kinds[0]['table']}")
+        splits = F.explode(F.sequence(F.lit(0), F.lit(kinds[0]["n_splits"] - 1))).alias("k")
+        return rows.select("row_id", F.col("fold").alias("own"), splits).select(F.col("k").alias("fold"), "row_id", (F.col("own") == F.col("k")).alias("is_test"))
+    if not kinds or not all(k[1] for k in kinds):
         raise ValueError(f"{path}: not a list of train_idx and test_idx")
-    rows = [(k, f["train_idx"], f["test_idx"]) for k, f in enumerate(found)]
-    table = spark.createDataFrame(rows, "fold int, train array<bigint>, test array<bigint>")
     one = lambda c, t: table.select("fold", F.explode(c).alias("row_id"), F.lit(t).alias("is_test"))
-    return one("train", False).unionByName(one("test", True))
+    return one("train_idx", False).unionByName(one("test_idx", True))
 
 
 def metrics_document(path: str) -> dict:

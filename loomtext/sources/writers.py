@@ -14,8 +14,8 @@ from loomtext.sources.files import file_exists, write_text
 # Columns of the transcript table, and of its older form.
 TRANSCRIPT_COLUMNS = ("id", "label", "transcript", "audio_path", "duration")
 OLDER_COLUMNS = ("id", "label", "transcript", "cleaned_transcript", "audio_path", "duration")
-#: Rows of a folds document, at most.
-MOST_FOLD_ROWS = 2_000_000
+#: Rows whose indices a folds document lists itself, at most; more are a table whose name ends like this.
+MOST_FOLD_ROWS, FOLDS_TABLE = 2_000_000, ".rows"
 
 
 def transcript_rows(df: DataFrame, cleaner: Callable[[Column], Column] | None = None, *, older: bool = False) -> DataFrame:
@@ -58,15 +58,16 @@ def combine_json_lines(spark: SparkSession, inputs: Sequence[str], path: str) ->
 
 
 def write_folds(folded: DataFrame, path: str, *, id_col: str = "row_id", n_splits: int, most: int = MOST_FOLD_ROWS) -> None:
-    """Folds as index lists in one JSON document, which holds every row id; more rows than ``most`` are an error.
-
-    Larger folds stay a table (id, fold), which any sink takes.
-    """
-    if folded.limit(most + 1).count() > most:
-        raise ValueError(f"a folds document holds {most} rows at most; write (row id, fold) as a table")
-    rows = [(r[id_col], r["fold"]) for r in folded.select(id_col, "fold").orderBy(id_col).collect()]
-    out = [{"train_idx": [i for i, f in rows if f != k], "test_idx": [i for i, f in rows if f == k]} for k in range(n_splits)]
-    write_document(out, path)
+    """Folds as index lists in one JSON document. Beyond ``most`` rows the document names a table of (row_id, fold) beside
+    it instead, which ``readers.folds`` reads like the lists; ``folded`` is read twice."""
+    rows = folded.select(F.col(id_col).alias("row_id"), "fold")
+    if rows.limit(most + 1).count() > most:
+        rows.write.mode("overwrite").parquet(f"{path}{FOLDS_TABLE}")
+        write_document({"n_splits": n_splits, "table": f"{path.rsplit('/', 1)[-1]}{FOLDS_TABLE}"}, path)
+        return
+    table = rows.orderBy("row_id").toArrow()
+    ids, fold = table.column("row_id").to_numpy(), table.column("fold").to_numpy()
+    write_document([{"train_idx": ids[fold != k].tolist(), "test_idx": ids[fold == k].tolist()} for k in range(n_splits)], path)
 
 
 def check_folds(folds: DataFrame, rows: DataFrame, *, id_col: str = "row_id") -> None:

@@ -120,6 +120,18 @@ def test_ranks_are_those_of_a_window_and_no_task_holds_a_class(spark):
     assert sorted(r.row_id for r in numbers) == list(range(5000)) and rk.numbered(df.limit(0), ["id"]).count() == 0
 
 
+def test_first_rows_by_hash_are_those_of_the_ranks(spark):
+    df = spark.range(9000).select("id", F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.pmod(F.xxhash64("id"), F.lit(3))).alias("y"), (F.col("id") % 2).alias("k"))
+    same = F.md5(F.floor(F.col("id") / 40).cast("string"))  # forty rows share a hash, so ties decide
+    ranked = rk.rank_by_hash(df, ["k", "y"], same, ["id"])
+    for most, want in ((F.lit(700), "_rank <= 700"), (F.lit(0), "false"), (F.lit(10**6), "true")):
+        got = rk.first_by_hash(df, ["k", "y"], same, ["id"], most.cast("long"))
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, ranked.filter(want).drop("_rank").collect()), key=str)
+    assert rk.first_by_hash(df.limit(0), ["k"], same, ["id"], F.lit(5).cast("long")).count() == 0
+    one = df.filter("y = 1")
+    assert sp.downsample(one, seed=1, keys=["id"], label_col="y").count() == one.count()
+
+
 def test_first_rows_and_top_grams_are_those_of_a_window(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 11).alias("k"), (F.col("id") * 7919 % 3001).alias("o"), F.array("id").alias("a"), F.col("id").cast("string").alias("o text"))
     want = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("o"))).filter("r = 1").drop("r")

@@ -8,6 +8,7 @@ from loomtext.operators import corpus as c
 from loomtext.plans import cli, config
 from loomtext.plans import predictive as pv
 from loomtext.plans.report import run_report
+from loomtext.plans.crossval import run_crossval
 from loomtext.plans.text_corpus import united
 from loomtext.sources import readers as rd
 from loomtext.sources import writers as wr
@@ -202,8 +203,40 @@ def test_missing_corpora_are_skipped_only_if_told(spark, setting):
         united(spark, text)
     for options, told in ((text | {"skip_missing_corpora": True}, None), (text, True)):
         assert united(spark, options, skip_missing=told).count() == 42
-    with pytest.raises(ValueError, match="rows at most"):
-        wr.write_folds(spark.range(5).select(F.col("id").alias("row_id"), F.lit(0).alias("fold")), str(setting[0] / "f.json"), n_splits=2, most=4)
+
+
+def test_large_folds_are_a_table_that_reads_like_the_document(spark, tmp_path):
+    folded = spark.range(10).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("fold"))
+    found = {}
+    for most in (20, 4):
+        path = str(tmp_path / f"{most}.json")
+        wr.write_folds(folded, path, n_splits=3, most=most)
+        back = rd.folds(spark, path)
+        wr.check_folds(back, folded.select("row_id"))
+        found[most] = sorted(map(tuple, back.collect()))
+        with pytest.raises(ValueError):
+            wr.check_folds(back, spark.range(9).select(F.col("id").alias("row_id")))
+    assert found[20] == found[4] and len(found[4]) == 30
+    assert "table" in json.loads((tmp_path / "4.json").read_text()) and isinstance(json.loads((tmp_path / "20.json").read_text()), list)
+    for bad in ("{}", "[]", "no", '[{"train_idx": "x", "test_idx": []}]'):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(ValueError):
+            rd.folds(spark, str(tmp_path / "bad.json"))
+
+
+def test_crossval_over_a_folds_table(spark, setting, tmp_path, monkeypatch):
+    """More rows than the document lists: the folds are written, read back and used again."""
+    monkeypatch.setattr(wr.write_folds, "__kwdefaults__", wr.write_folds.__kwdefaults__ | {"most": 5})
+    words = [("wo shi hao ma", "HC"), ("ni bu shi ta de", "AD")]
+    rows = [json.dumps({"ID": str(k), "Dataset": "d", "Text_interviewer_participant": f"{words[k % 2][0]} {k}", "Diagnosis": words[k % 2][1]}) for k in range(24)]
+    (tmp_path / "cleaned.jsonl").write_text("\n".join(rows))
+    vectorizer = {"ngram_range": [2, 2], "max_features": 50}
+    cv = {"methods": ["tfidf"], "n_splits": 3, "random_state": 1, "output_indices": str(tmp_path / "folds.json"), "metrics_output": str(tmp_path / "metrics.json")}
+    conf = {"text": {"cleaned_jsonl": str(tmp_path / "cleaned.jsonl")}, "features": {"crossval": cv, "tfidf": {"vectorizer": vectorizer}}}
+    first = json.loads(open(run_crossval(spark, conf)).read())
+    assert json.loads((tmp_path / "folds.json").read_text()) == {"n_splits": 3, "table": "folds.json.rows"}
+    again = json.loads(open(run_crossval(spark, conf, reuse_folds=True)).read())
+    assert first == again and first["data"]["n_samples"] == 24
 
 
 def test_collection(spark):
