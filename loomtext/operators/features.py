@@ -7,14 +7,18 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, IDFModel, Normalizer, PCAModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.tokens import char_ngrams
+from loomtext.functions.tokens import analysed, char_ngrams, once  # noqa: F401  (char_ngrams is part of this module's interface)
+from loomtext.operators.linear import feature_struct, leading_directions, tree_sum
+
+#: Grams that sketches name and items that they keep, at most; hashed cells for each named gram.
+MOST_NAMED, MOST_TRACKED, CELLS_A_GRAM = 100_000, 1_000_000, 64
 
 
 def gram_counts(df: DataFrame, id_cols: Sequence[str], grams: Column) -> DataFrame:
@@ -24,6 +28,8 @@ def gram_counts(df: DataFrame, id_cols: Sequence[str], grams: Column) -> DataFra
 
 def top_grams(counts: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """The k grams with the highest total; among equals the smaller gram."""
+    if not by:
+        counts = heavy_grams(counts, k)
     totals = counts.groupBy(*by, "gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if not by:
         return totals.orderBy(F.desc("total"), "gram").limit(k)
@@ -34,6 +40,25 @@ def top_grams(counts: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return totals
 
 
+def heavy_grams(counts: DataFrame, k: int) -> DataFrame:
+    """The rows of ``counts`` without grams that can't be among the k with the highest total; never one of these is left out.
+
+    Sketches of frequent items, one a task and merged, name k grams. The least of their exact totals is a bound that the
+    k-th total can't be under. Sums over hashed cells are at least a gram's total, so grams of cells below the bound go
+    before anything is shuffled by gram. What is shuffled are sketches, k totals and the cells. ``counts`` is read
+    four times: who computes it from far makes it durable first.
+    """
+    if not 0 < k <= MOST_NAMED:
+        return counts
+    named = counts.agg(F.expr(f"approx_top_k(gram, {k}, {min(MOST_TRACKED, max(1024, 4 * k))})").alias("t")).select(F.explode("t.item").alias("gram"))
+    least = counts.join(named, "gram").groupBy("gram").agg(F.sum("tf").alias("total")).agg(F.when(F.count("*") >= k, F.min("total")).alias("least")).first()["least"]
+    if least is None:
+        return counts
+    cell = F.pmod(F.xxhash64("gram"), F.lit(CELLS_A_GRAM * k))
+    cells = counts.groupBy(cell.alias("_cell")).agg(F.sum("tf").alias("_most")).filter(F.col("_most") >= least).select("_cell")
+    return counts.withColumn("_cell", cell).join(cells, "_cell", "left_semi").drop("_cell")
+
+
 def tfidf(counts: DataFrame, documents: DataFrame, id_cols: Sequence[str], *, fitted_on: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(ids, gram, weight): tf * (ln((1 + n) / (1 + df)) + 1), each text's weights with Euclidean norm 1.
 
@@ -52,27 +77,75 @@ def tfidf(counts: DataFrame, documents: DataFrame, id_cols: Sequence[str], *, fi
 
 
 class TfidfModel:
-    """Fitted vectoriser: sparse vectors, ln((1 + n) / (1 + df)) + 1, norm 1."""
+    """A fitted vectoriser: counts of a vocabulary's grams, weighted and normalised; ``features`` are sparse vectors, or
+    structs like them (size, indices, values) with ``sublinear_tf``."""
 
-    def __init__(self, counts: CountVectorizerModel, idf: IDFModel, least: int, most: int):
-        self.least, self.most = least, most
-        self.vocabulary = counts.vocabulary
-        scale = DenseVector(np.asarray(idf.idf.toArray()) + 1.0)
-        self.stages = PipelineModel(
-            [counts, ElementwiseProduct(scalingVec=scale, inputCol="_counts", outputCol="_scaled"), Normalizer(p=2.0, inputCol="_scaled", outputCol="features")]
-        )
+    def __init__(self, vocabulary: Sequence[str], idf: np.ndarray | None, norm: str | None, sublinear: bool, analyse: Callable[[Column], Column]):
+        self.vocabulary, self.idf, self.norm, self.sublinear, self.analyse = list(vocabulary), idf, norm, sublinear, analyse
 
     def transform(self, df: DataFrame, text_col: str) -> DataFrame:
-        grams = df.withColumn("_grams", char_ngrams(F.col(text_col), self.least, self.most))
-        return self.stages.transform(grams).drop("_grams", "_counts", "_scaled")
-
-
-def fit_tfidf(df: DataFrame, text_col: str, *, least: int = 2, most: int = 4, max_features: int = 50_000, min_df: float = 1.0, max_df: float = 1.0) -> TfidfModel:
-    """Fit on the rows given: all of them, or a split's training rows after balancing."""
-    grams = df.select(char_ngrams(F.col(text_col), least, most).alias("_grams"))
-    top = 2.0**62 if max_df == 1.0 else max_df
-    counts = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=max_features, minDF=min_df, maxDF=top).fit(grams)
-    return TfidfModel(counts, IDF(inputCol="_counts", outputCol="_idf").fit(counts.transform(grams)), least, most)
+        grams = df.withColumn("_grams", self.analyse(F.col(text_col)))
+        stages: list = [CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_grams", outputCol="_counts")]
+        if self.sublinear:
+            return self._sublinear(stages[0].transform(grams)).drop("_grams", "_counts", "_idf")
+        at = "_counts"
+        if self.idf is not None:
+            stages.append(ElementwiseProduct(scalingVec=DenseVector(self.idf), inputCol=at, outputCol="_scaled"))
+            at = "_scaled"
+        if self.norm:
+            stages.append(Normalizer(p=float(self.norm[1:]), inputCol=at, outputCol="features"))
+        out = PipelineModel(stages).transform(grams)
+        return (out if self.norm else out.withColumn("features", F.col(at))).drop("_grams", "_counts", "_scaled")
+
+    def _sublinear(self, counted: DataFrame) -> DataFrame:
+        """1 + ln(tf) in place of tf; the weights of the vocabulary are one row that is sent along."""
+        idf = np.ones(len(self.vocabulary)) if self.idf is None else self.idf
+        sent = counted.sparkSession.createDataFrame([(idf.tolist(),)], "_idf array<double>")
+        own = F.unwrap_udt("_counts")
+        raw = F.zip_with(own["values"], own["indices"], lambda v, i: (1 + F.log(v)) * F.get(F.col("_idf"), i))
+        power = {"l1": lambda x: F.abs(x), "l2": lambda x: x * x}.get(self.norm or "")
+
+        def normalised(values: Column) -> Column:
+            total = F.aggregate(values, F.lit(0.0), lambda a, x: a + power(x))
+            size = F.sqrt(total) if self.norm == "l2" else total
+            return F.transform(values, lambda x: x / size)
+
+        values = once(raw, normalised) if power else raw
+        struct = F.struct(F.lit(len(self.vocabulary)).alias("size"), own["indices"].alias("indices"), values.alias("values"))
+        return counted.crossJoin(F.broadcast(sent)).withColumn("features", struct)
+
+
+def fit_tfidf(
+    df: DataFrame, text_col: str, *, least: int = 2, most: int = 4, max_features: int | None = 50_000, min_df: float = 1, max_df: float = 1.0,
+    analyzer: str = "char", lowercase: bool = False, stop_words: Sequence[str] | None = None,
+    use_idf: bool = True, smooth_idf: bool = True, norm: str | None = "l2", sublinear_tf: bool = False,
+) -> TfidfModel:
+    """Fit on the rows given: all of them, or a split's training rows after balancing.
+
+    The vocabulary has the ``max_features`` grams with the highest total among those within ``min_df`` and ``max_df``
+    (numbers of rows, or shares of them where they are not whole numbers; 1.0 as the upper one is a share), among equals the
+    smaller gram. An empty vocabulary is an error. idf is ln((1 + n) / (1 + df)) + 1, or ln(n / df) + 1 unsmoothed.
+    """
+    if norm not in ("l1", "l2", None):
+        raise ValueError(f"unknown norm: {norm}")
+
+    def analyse(text: Column) -> Column:
+        return analysed(text, analyzer, least, most, lowercase=lowercase, stop_words=stop_words)
+
+    # a row's equal grams stand together, so the first of each tells in how many rows a gram is without a count by row
+    ordered = df.select(F.array_sort(analyse(F.col(text_col))).alias("g"))
+    each = ordered.select(F.explode(F.zip_with("g", F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0)))), lambda x, before: F.struct(x.alias("gram"), (~x.eqNullSafe(before)).cast("int").alias("first")))).alias("x"))
+    totals = each.select("x.*").filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.count("*").alias("total"), F.sum("first").alias("df"))
+    n = df.count()
+    low = min_df * n if isinstance(min_df, float) and min_df < 1 else min_df
+    high = max_df * n if isinstance(max_df, float) and max_df <= 1 else max_df
+    kept = totals.filter((F.col("df") >= low) & (F.col("df") <= high)).orderBy(F.desc("total"), "gram")
+    table = (kept.limit(max_features) if max_features else kept).toArrow()
+    if not table.num_rows:
+        raise ValueError("empty vocabulary")
+    dfs = table.column("df").to_numpy().astype(float)
+    idf = (np.log((n + 1.0) / (dfs + 1.0)) if smooth_idf else np.log(n / dfs)) + 1.0 if use_idf else None
+    return TfidfModel(table.column("gram").to_pylist(), idf, norm, sublinear_tf, analyse)
 
 
 def masked_mean(states: Column, mask: Column) -> Column:
@@ -141,27 +214,41 @@ def encode_texts(df: DataFrame, text_col: str, load: Callable[[], Encoder], *, p
 def truncated_svd(df: DataFrame, id_col: str, features_col: str = "features", k: int = 2) -> tuple[DataFrame, list[float]]:
     """(id, scores) of the k largest singular values of the uncentred rows, and each one's share of the variance.
 
-    A component's sign is arbitrary; here its largest loading is positive.
+    Directions come from ``linear.leading_directions``: exact in few dimensions, a seeded range finder in many.
     """
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    # a DataFrame of the older vectors is read by the JVM alone
-    found = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features_col), features_col)).computeSVD(k, computeU=False)
-    v = np.array(found.V.toArray())
-    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
+    v, _ = leading_directions(df, features_col, k)
     scored = projected(df, id_col, features_col, v)
-    row = df.agg(Summarizer.metrics("variance", "count").summary(F.col(features_col)).alias("s")).select("s.*").first()
-    moments = float(np.sum(row["variance"].toArray())) * (row["count"] - 1) / row["count"]
-    own = scored.select(*[F.var_pop(F.element_at("scores", j + 1)).alias(str(j)) for j in range(k)]).first()
-    return scored, [x / moments for x in own]
+    slim = df.select(feature_struct(df, features_col).alias("x"))
+    dim = v.shape[0]
+
+    def moments(batch) -> np.ndarray:
+        values, indices = batch.column(0).field("values"), batch.column(0).field("indices")
+        flat = values.flatten().to_numpy(zero_copy_only=False)
+        at = np.tile(np.arange(dim), len(flat) // max(dim, 1)) if indices.null_count == len(indices) else None
+        if at is None:
+            lists = zip(indices.to_pylist(), values.value_lengths().to_pylist(), strict=True)
+            at = np.concatenate([np.arange(size) if own is None else np.array(own, dtype=np.int64) for own, size in lists])
+        return np.concatenate([[len(values)], np.bincount(at, flat, dim), np.bincount(at, flat * flat, dim)])
+
+    sums = tree_sum(slim, moments, 1 + 2 * dim)
+    n, mean = sums[0], sums[1 : 1 + dim] / max(sums[0], 1)
+    variance = float((sums[1 + dim :] / max(n, 1) - mean * mean).sum())
+    own = scored.select(*[F.var_pop(F.element_at("scores", j + 1)).alias(str(j)) for j in range(v.shape[1])]).first()
+    return scored, [x / variance for x in own]
 
 
 def projected(df: DataFrame, id_col: str, features_col: str, v: np.ndarray) -> DataFrame:
     """(id, scores): each row of features times the columns of ``v``, sparse rows as they are.
 
-    The projection of a PCA model is just that (it doesn't centre), so one is made with ``v`` as its components.
+    The projection of a PCA model is just that (it doesn't centre), so one is made with ``v`` as its components. Features
+    that are structs or arrays meet the columns as one row that is sent along.
     """
+    if not isinstance(df.schema[features_col].dataType, VectorUDT):
+        own = feature_struct(df, features_col)
+        sent = df.sparkSession.createDataFrame([(v.T.tolist(),)], "_v array<array<double>>")
+        at = F.coalesce(own["indices"], F.transform(own["values"], lambda x, i: i))
+        score = F.transform("_v", lambda c: F.aggregate(F.zip_with(own["values"], at, lambda x, i: x * F.get(c, i)), F.lit(0.0), lambda a, x: a + x))
+        return df.crossJoin(F.broadcast(sent)).select(id_col, score.alias("scores"))
     jvm = df.sparkSession.sparkContext._jvm
     numbers = df.sparkSession.sparkContext._gateway.new_array(jvm.double, v.size)
     for k, x in enumerate(v.T.ravel().tolist()):

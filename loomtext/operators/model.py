@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.operators.features import fit_tfidf
-from loomtext.operators.sampling import balance_train, balanced_counts
+from loomtext.operators.linear import fit_splits, predict_splits
+from loomtext.operators.sampling import balance_train, balanced_counts, train_test_rows
 from loomtext.session import durable
 
 METRICS = ("accuracy", "precision", "recall", "f1")
@@ -39,19 +40,44 @@ def fit_logistic(train: DataFrame, *, c: float = 1.0, max_iter: int = 1000, bala
         rows.unpersist()
 
 
-def cross_validate(features: DataFrame, folds: int, *, keys: Sequence[str], balance: str = "none", seed: int = 42, label_col: str = "y", **logistic) -> DataFrame:
+def split_weights(folded: DataFrame, folds: int, *, keys: Sequence[str], balance: str = "none", seed: int = 42, balanced: bool = True, label_col: str = "y") -> DataFrame:
+    """(keys, weights): how much each row counts in the training of each split, 0 where it is tested or wasn't drawn.
+
+    Rows drawn more than once count as often; class weights are those of ``class_weights``. Only keys, folds and labels are
+    moved, and features are never ranked.
+    """
+    slim = folded.select(*keys, "fold", F.col(label_col).alias("y"))
+    slim = durable(slim) if balance != "none" else slim
+    train = train_test_rows(slim, folds).filter("not is_test").select(*keys, "y", "k")
+    train = balance_train(train, balance, seed=seed, keys=keys, label_col="y").select(*keys, "y", "k")
+    train = durable(train) if balance != "none" else train
+    weight = F.lit(1.0)
+    if balanced:
+        sizes = train.groupBy("k", "y").agg(F.count("*").alias("n")).collect()  # a row for each split and class
+        totals = {k: (sum(r["n"] for r in sizes if r["k"] == k), sum(r["k"] == k for r in sizes)) for k in range(folds)}
+        weight = F.lit(0.0)
+        for r in sizes:
+            weight = F.when((F.col("k") == r["k"]) & F.col("y").eqNullSafe(F.lit(r["y"])), totals[r["k"]][0] / (totals[r["k"]][1] * r["n"])).otherwise(weight)
+    each = train.withColumn("w", weight)
+    return each.groupBy(*keys).agg(F.array(*[F.sum(F.when(F.col("k") == k, F.col("w")).otherwise(0.0)) for k in range(folds)]).alias("weights"))
+
+
+def cross_validate(
+    features: DataFrame, folds: int, *, keys: Sequence[str], balance: str = "none", seed: int = 42, label_col: str = "y", c: float = 1.0, max_iter: int = 1000, balanced: bool = True, solver: str = "lbfgs"
+) -> DataFrame:
     """(keys, fold, y, yhat) of every row, predicted by the model that never saw its fold.
 
-    ``features`` has fold, y and features; each fit is small, the rows stay distributed.
+    ``features`` has fold, y and features, and ``keys`` that are unique. The models of all folds are fitted together
+    (``linear.fit_splits``): one pass over the rows a step, whatever the number of folds.
     """
-    features = durable(features)
-    parts = []
-    for k in range(folds):
-        train = balance_train(features.filter(F.col("fold") != k), balance, seed=seed + k, keys=keys, label_col=label_col, by=()) if balance != "none" else features.filter(F.col("fold") != k)
-        model = fit_logistic(train, label_col=label_col, **logistic)
-        scored = model.transform(features.filter(F.col("fold") == k))
-        parts.append(scored.select(*keys, "fold", F.col(label_col).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat")))
-    return reduce(DataFrame.unionByName, parts)
+    if solver != "lbfgs":
+        raise ValueError("only lbfgs is supported")
+    weights = split_weights(features, folds, keys=keys, balance=balance, seed=seed, balanced=balanced, label_col=label_col)
+    rows = features.select(*keys, "fold", F.col(label_col).alias("y"), "features").join(weights, list(keys), "left")
+    none = F.array(*[F.lit(0.0)] * folds)
+    rows = durable(rows.withColumn("weights", F.coalesce("weights", none)))
+    fitted = fit_splits(rows, folds, c=c, max_iter=max_iter)
+    return predict_splits(rows, fitted, keys=keys)
 
 
 def cross_validate_tfidf(rows: DataFrame, folds: int, *, text_col: str, keys: Sequence[str], balance: str = "none", seed: int = 42, label_col: str = "y", vectoriser: Mapping | None = None, **logistic) -> DataFrame:
@@ -62,10 +88,14 @@ def cross_validate_tfidf(rows: DataFrame, folds: int, *, text_col: str, keys: Se
         train = rows.filter(F.col("fold") != k)
         if balance != "none":
             train = balance_train(train, balance, seed=seed + k, keys=keys, label_col=label_col, by=())
+        train = durable(train)
         vectors = fit_tfidf(train, text_col, **(vectoriser or {}))
-        model = fit_logistic(vectors.transform(train, text_col), label_col=label_col, **logistic)
-        scored = model.transform(vectors.transform(rows.filter(F.col("fold") == k), text_col))
-        parts.append(scored.select(*keys, "fold", F.col(label_col).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat")))
+        weighted = class_weights(train, label_col) if logistic.get("balanced", True) else train.withColumn("weight", F.lit(1.0))
+        weighted = durable(vectors.transform(weighted.withColumn("weights", F.array("weight")), text_col).select("features", F.col(label_col).alias("y"), "weights"))
+        fitted = fit_splits(weighted, 1, c=logistic.get("c", 1.0), max_iter=logistic.get("max_iter", 1000))
+        test = vectors.transform(rows.filter(F.col("fold") == k), text_col).withColumn("y", F.col(label_col)).withColumn("_first", F.lit(0))
+        found = predict_splits(test, fitted, keys=keys, fold_col="_first")
+        parts.append(found.withColumn("fold", F.lit(k)))
     return reduce(DataFrame.unionByName, parts)
 
 

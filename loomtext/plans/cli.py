@@ -13,8 +13,7 @@ from loomtext.plans.predictive import run_predictive
 from loomtext.plans.report import run_report
 from loomtext.plans.text_corpus import run_text
 from loomtext.session import build_session
-from loomtext.sources.readers import audio_tree, transcribe
-from loomtext.sources.writers import transcript_rows, write_csv
+from loomtext.streaming.transcribe import transcribe_new
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,12 +37,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run_asr(spark: SparkSession, config: dict, load: Callable | None, labels: Sequence[str] | None, cap: int | None) -> None:
-    """Transcribes the audio tree; the recogniser is the caller's."""
+    """Transcribes what is new in the audio tree, batch by batch; the recogniser is the caller's."""
     if load is None:
         raise ValueError("the asr step needs a recogniser")
     own = section(config, "asr")
-    files = audio_tree(spark, require(own, "data_root", "asr."), labels, cap)
-    write_csv(transcript_rows(transcribe(files, load)), require(own, "output_csv", "asr."))
+    transcribe_new(spark, require(own, "data_root", "asr."), require(own, "output_csv", "asr."), load, labels=labels, cap=cap, batch=own.get("files_per_batch"))
 
 
 def main(argv: Sequence[str] | None = None, *, spark: SparkSession | None = None, recogniser: Callable | None = None, encoders: dict | None = None) -> None:

@@ -28,9 +28,22 @@ log = logging.getLogger(__name__)
 
 
 def vectoriser_options(config: Mapping) -> dict:
-    own = section(config, "vectorizer")
-    least, most = ngram_range(own.get("ngram_range", (2, 4)))
-    return {"least": least, "most": most, "max_features": int(own.get("max_features") or 1 << 30), "min_df": float(own.get("min_df", 1)), "max_df": float(own.get("max_df", 1.0))}
+    """Of the sections vectorizer and transformer; what isn't known or can't be done is an error, never passed over."""
+    count, weigh = section(config, "vectorizer"), config.get("transformer") or {}
+    known = {"analyzer", "ngram_range", "lowercase", "max_features", "stop_words", "min_df", "max_df"}
+    if unknown := sorted({*count} - known | {*weigh} - {"use_idf", "smooth_idf", "norm", "sublinear_tf"}):
+        raise ValueError(f"unknown options of the vectoriser: {unknown}")
+    least, most = ngram_range(count.get("ngram_range", (2, 4)))
+    stop = count.get("stop_words")
+    if isinstance(stop, str):
+        raise ValueError("stop_words must be a list of words or null")
+    flags = {"lowercase": (count, False), "use_idf": (weigh, True), "smooth_idf": (weigh, True), "sublinear_tf": (weigh, False)}
+    options = {name: own.get(name, usual) for name, (own, usual) in flags.items()}
+    if bad := [name for name, value in options.items() if not isinstance(value, bool)]:
+        raise ValueError(f"must be true or false: {bad}")
+    numbers = {name: count.get(name, usual) for name, usual in (("min_df", 1), ("max_df", 1.0))}
+    top = count.get("max_features")
+    return options | numbers | {"least": least, "most": most, "max_features": int(top) if top else None, "analyzer": count.get("analyzer", "char"), "stop_words": stop, "norm": weigh.get("norm", "l2")}
 
 
 def logistic_options(config: Mapping | None) -> dict:

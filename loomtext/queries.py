@@ -705,6 +705,42 @@ def logreg_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.cross_validate(folded_vectors, FOLDS, keys=["vec_id"], balance="downsample", seed=SEED, max_iter=100)
 
 
+SPLIT_ROWS = f"""(SELECT k, fold, doc_id, y, x, CASE WHEN fold = k THEN 0.0 ELSE sum(CASE WHEN fold <> k THEN 1 ELSE 0 END) OVER (PARTITION BY k) / (2.0 * sum(CASE WHEN fold <> k THEN 1 ELSE 0 END) OVER (PARTITION BY k, y)) END AS w
+  FROM (SELECT f.doc_id, f.y, f.fold, n_chars / 1000.0 AS x, k FROM {FOLDED} f JOIN documents USING (doc_id), (SELECT unnest(range({FOLDS})) AS k)))"""
+
+
+@query(
+    "q_logreg_cv_line",
+    f"""WITH RECURSIVE d AS MATERIALIZED {SPLIT_ROWS},
+      it(i, k, b0, b1) AS (SELECT 0, k, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM (SELECT DISTINCT k FROM d) UNION ALL
+        SELECT i + 1, k, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+          SELECT i, k, b0, b1, sum(w * (p - y)) AS g0, sum(w * (p - y) * x) + b1 AS g1, sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * x) AS h01, sum(w * p * (1 - p) * x * x) + 1 AS h11
+          FROM (SELECT i, b0, b1, d.*, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM it JOIN d USING (k) WHERE i < 20) GROUP BY i, k, b0, b1))
+      SELECT doc_id, CAST(fold AS INTEGER) AS fold, y, CAST(b0 + b1 * x > 0 AS INTEGER) AS yhat FROM d JOIN it USING (k) WHERE i = 20 AND fold = k""",
+)
+def logreg_cv_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated predictions by a document's length; the other side is Newton's method for each fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array(F.col("n_chars") / 1000.0).alias("features"))
+    return m.cross_validate(folded_rows(spark, sf_dir).join(docs, "doc_id"), FOLDS, keys=["doc_id"])
+
+
+@query(
+    "q_tfidf_sublinear",
+    f"""WITH c AS MATERIALIZED (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, substr(t, i, n) AS gram FROM (SELECT doc_id, lower(text) AS t, n, unnest(range(1, length(lower(text)) - n + 2)) AS i FROM {LABELLED}, (SELECT unnest([2, 3]) AS n))) GROUP BY ALL),
+      v AS (SELECT gram, ln(((SELECT count(*) FROM labels) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM c GROUP BY gram HAVING count(*) >= 3 ORDER BY sum(tf) DESC, gram LIMIT 2000),
+      r AS (SELECT doc_id, gram, (1 + ln(tf)) * idf AS raw FROM c JOIN v USING (gram)), z AS (SELECT doc_id, count(*) AS n, sum(raw) AS s, max(raw) AS m FROM r GROUP BY doc_id)
+      SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_grams, round(s, 6) AS norm, round(m / s, 9) AS most FROM labels LEFT JOIN z USING (doc_id)""",
+)
+def tfidf_sublinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted vectoriser with lower case, at least three documents a gram, 1 + ln(tf), and weights that add up to one."""
+    rows = durable(labelled(spark, sf_dir).select("doc_id", "text"))
+    fitted = ft.fit_tfidf(rows, "text", least=2, most=3, max_features=2000, min_df=3, lowercase=True, norm="l1", sublinear_tf=True).transform(rows, "text")
+    raw = ft.fit_tfidf(rows, "text", least=2, most=3, max_features=2000, min_df=3, lowercase=True, norm=None, sublinear_tf=True).transform(rows, "text")
+    most = fitted.select("doc_id", F.size("features.values").alias("n_grams"), F.round(F.array_max("features.values"), 9).alias("most"))
+    size = raw.select("doc_id", F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    return most.join(size, "doc_id").select("doc_id", "n_grams", F.round(F.when(F.col("n_grams") > 0, F.col("s")), 6).alias("norm"), "most")
+
+
 @query("q_svd2")
 def svd2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", ft.to_vector(F.col("embedding")).alias("features"))

@@ -18,6 +18,8 @@ from loomtext.sources.files import read_text
 AUDIO_LABELS = ("AD", "HC", "MCI")
 AUDIO_KINDS = ("wav", "mp3", "flac", "m4a", "ogg")
 TEXT_COLUMNS = ("Text_interviewer_participant", "text", "Text", "utterance", "sentence")
+#: Fixed value: columns of Spark's scan of whole files.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 #: Tasks of a scan up to which what is known of its splits is broadcast.
 FEW_TASKS = 1000
 
@@ -26,25 +28,29 @@ def _path_part(path: Column, from_end: int) -> Column:
     return F.element_at(F.split(path, "/"), -from_end)
 
 
+def audio_files(files: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """(label, id, audio_path) of those of a scan of files (a stream or not) that are audio in a label's folder."""
+    wanted = [x.strip().upper() for x in labels or AUDIO_LABELS]
+    name = F.url_decode(_path_part(F.col("path"), 1))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    kind = F.lower(F.element_at(F.split(name, r"\."), -1))
+    rows = files.select(_path_part(F.col("path"), 2).alias("label"), stem.alias("stem"), kind.alias("kind"), F.col("path").alias("audio_path"))
+    rows = rows.filter(F.col("label").isin(*wanted) & F.col("kind").isin(*AUDIO_KINDS))
+    return rows.select("label", sample_id(F.col("label"), F.col("stem")).alias("id"), "audio_path")
+
+
 def audio_tree(spark: SparkSession, root: str, labels: Sequence[str] | None = None, cap: int | None = None) -> DataFrame:
     """(label, id, audio_path) of the audio files in the label folders, by name; contents aren't read.
 
     Folders that aren't there are left out; ``cap`` keeps the first files of each label. Spark's listing skips names
     that begin with a dot or an underscore.
     """
-    wanted = [x.strip().upper() for x in labels or AUDIO_LABELS]
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root).select("path")
-    )
-    name = F.url_decode(_path_part(F.col("path"), 1))
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    kind = F.lower(F.element_at(F.split(name, r"\."), -1))
-    rows = files.select(_path_part(F.col("path"), 2).alias("label"), name.alias("name"), stem.alias("stem"), kind.alias("kind"), F.col("path").alias("audio_path"))
-    rows = rows.filter(F.col("label").isin(*wanted) & F.col("kind").isin(*AUDIO_KINDS))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root).select("path")
+    rows = audio_files(files, labels)
     if cap is not None:
-        order = Window.partitionBy("label").orderBy("name")
-        rows = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap)
-    return rows.select("label", sample_id(F.col("label"), F.col("stem")).alias("id"), "audio_path")
+        order = Window.partitionBy("label").orderBy(F.url_decode(_path_part(F.col("audio_path"), 1)))
+        rows = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap).drop("_r")
+    return rows
 
 
 Transcriber = Callable[[str], tuple[Sequence[str], float]]
@@ -58,6 +64,11 @@ def transcribe(files: DataFrame, load: Callable[[], Transcriber]) -> DataFrame:
     """
     if files.isEmpty():
         raise ValueError("no audio files")
+    return transcribe_files(files, load)
+
+
+def transcribe_files(files: DataFrame, load: Callable[[], Transcriber]) -> DataFrame:
+    """``transcribe`` without the look at whether there are files: also of a stream."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recogniser = load()
