@@ -32,6 +32,8 @@ BITS, SAMPLE = 256, 8192
 WITHIN = 1500
 #: Entries of a block at most on average, and bytes of its vectors.
 BLOCK_ROWS, BLOCK_BYTES = 16_384, 32 << 20
+#: What looking up a value costs, in entries whose value is looked at one after another.
+LOOKUP = 16
 #: Stands for an id that is null: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -41,10 +43,10 @@ _MOVED = "block int, kind int, id long, mark long, times long, radius int, code
 
 
 @lru_cache(maxsize=1)
-def _masks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bits set in each value of 16 bits, all values by that, how many have at most 0, 1, ... bits)."""
+def _masks() -> tuple[np.ndarray, np.ndarray]:
+    """(all values of 16 bits by the number of bits that are set, how many have at most 0, 1, ... of them)."""
     ones = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
-    return ones, np.argsort(ones, kind="stable").astype(np.uint16), np.cumsum(np.bincount(ones, minlength=17))
+    return np.argsort(ones, kind="stable").astype(np.uint16), np.cumsum(np.bincount(ones, minlength=17))
 
 
 def _rotation(sample: np.ndarray, seed: int, turns: int = 40) -> np.ndarray:
@@ -114,33 +116,41 @@ class Block:
         self.codes, self.vectors = codes, vectors
         self.ids = np.array([i for own in ids for i in own], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum([len(own) for own in ids])]).astype(np.int64)
+        self.words = np.ascontiguousarray(codes.T)
         self.tables = []
-        for column in codes.view(np.uint16).reshape(len(codes), -1).T:
-            values, place, counts = np.unique(column, return_inverse=True, return_counts=True)
-            order = np.argsort(place, kind="stable")
-            first = np.zeros((1 << 16) + 1, dtype=np.int32)
-            first[values.astype(np.int64) + 1] = counts
-            self.tables.append((values, place, order, np.cumsum(first, dtype=np.int32)))
+        for column in np.ascontiguousarray(codes.view(np.uint16).reshape(len(codes), -1).T):
+            order = np.argsort(column, kind="stable")
+            first = np.searchsorted(column[order], np.arange((1 << 16) + 1))
+            self.tables.append((column, order, first))
 
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Entries whose code is within ``radius``: all of them, found through the tables and checked by the whole code."""
-        ones, masks, upto = _masks()
+        masks, upto = _masks()
         near, rest = divmod(radius, len(self.tables))
         hit = np.zeros(len(self.codes), dtype=bool)
-        for k, (own, (values, place, order, first)) in enumerate(zip(code.view(np.uint16), self.tables, strict=True)):
+        for k, (own, (column, order, first)) in enumerate(zip(code.view(np.uint16), self.tables, strict=True)):
             bits = min(near if k <= rest else near - 1, 16)
             if bits < 0:
                 continue
-            if upto[bits] < len(values):
+            if LOOKUP * upto[bits] < len(column):
                 looked = (masks[: upto[bits]] ^ own).astype(np.int64)
                 begins, ends = first[looked], first[looked + 1]
                 full = ends > begins
                 for begin, end in zip(begins[full].tolist(), ends[full].tolist(), strict=True):
                     hit[order[begin:end]] = True
-            else:  # fewer values are in the table than would be looked up
-                hit |= (ones[values ^ own] <= bits)[place]
+            else:  # so many values are near that looking at each entry's own costs less than looking them up
+                hit |= np.bitwise_count(column ^ own) <= bits
         found = np.flatnonzero(hit)
-        return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= radius]
+        words = self.words if 4 * len(found) > len(hit) else self.words[:, found]
+        apart = self._apart(words, code)
+        return np.flatnonzero(hit & (apart <= radius)) if words is self.words else found[apart <= radius]
+
+    @staticmethod
+    def _apart(words: np.ndarray, code: np.ndarray) -> np.ndarray:
+        total = np.zeros(words.shape[1], dtype=np.uint16)
+        for word, own in zip(words, code, strict=True):
+            total += np.bitwise_count(word ^ own)
+        return total
 
     def nearest(self, code: np.ndarray, radius: int, vector: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best entries within the radius, without the query's own row.
@@ -150,7 +160,7 @@ class Block:
         found = self.probe(code, radius)
         sizes = np.diff(self.starts)
         if sizes[found].sum() <= k and len(found) < len(sizes):
-            apart = np.bitwise_count(self.codes ^ code).sum(axis=1, dtype=np.int64)
+            apart = self._apart(self.words, code)
             order = np.argsort(apart, kind="stable")
             enough = min(int(np.searchsorted(np.cumsum(sizes[order]), k + 1)), len(order) - 1)
             found = self.probe(code, int(apart[order[enough]]))
