@@ -214,7 +214,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DO
     order = F.xxhash64("doc_id")
     chosen = [rows.filter(F.col("y") == y).orderBy(order, "doc_id").limit(limit // 2) for y in (0, 1)]
     ids = {r.doc_id: r.y for part in chosen for r in part.collect()}
-    found = docs.filter(F.col("doc_id").isin(list(ids))).select("doc_id", "text").collect() if ids else []
+    # of rows that share an id one stands for all, so that what is collected keeps its bound
+    found = docs.filter(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if ids else []
     return [(r.text, ids[r.doc_id]) for r in sorted(found, key=lambda r: (r.doc_id, r.text or ""))]
 
 

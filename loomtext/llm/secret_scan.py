@@ -167,11 +167,12 @@ def findings_by_blob(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger_p
 
 
 def join_back(df: DataFrame, findings: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` of every row of ``df`` with what the findings have for its content (null: nothing found)."""
-    rows = df.select(*[F.col(c) for c in columns], blob_of(text_col).alias("__blob"))
+    """``row`` (a struct of ``columns``, so that no name can clash) of every row of ``df`` with what the findings have for
+    its content (null: nothing found)."""
+    rows = df.select(F.struct(*[F.col(c) for c in columns]).alias("row"), blob_of(text_col).alias("own"))
     # The key is taken anew so that both sides are dealt out by it, and many copies of one content can be split.
-    other = findings.withColumn("__key", F.lower("blob")).drop("blob")
-    return rows.join(other, F.col("__blob") == F.col("__key"), "left").drop("__key")
+    other = findings.withColumn("key", F.lower("blob")).drop("blob")
+    return rows.join(other, F.col("own") == F.col("key"), "left").drop("own", "key")
 
 
 def _of(kinds: list[str]) -> Column:
@@ -205,7 +206,7 @@ def scan_documents(
     )
     rows = join_back(df.select(id_col, text_col), digest, [id_col], text_col)
     return rows.select(
-        id_col,
+        F.col("row")[id_col].alias(id_col),
         *[F.coalesce(f"n_{kind}", F.lit(0)).alias(f"n_{kind}") for kind in base],
         F.coalesce("base_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
@@ -217,9 +218,9 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = MASK_RULES, *, mask: str = "
 
     Private keys are masked with their bodies (MASK_RULES), though scans report their headers alone. Rows without findings, null texts and repeated rows pass as they are.
     """
-    spans = findings_by_blob(df, rules, ledger_path=ledger_path, text_col=text_col).select("blob", F.col("spans").alias("__spans"))
+    spans = findings_by_blob(df, rules, ledger_path=ledger_path, text_col=text_col)
     rows = join_back(df, spans, df.columns, text_col)
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(a: Column, s: Column) -> Column:
@@ -227,5 +228,5 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = MASK_RULES, *, mask: str = "
         out = F.when(s["begin"] >= a["at"], F.concat(a["out"], before, F.lit(mask))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    masked = F.aggregate("__spans", start, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(masked)).select(*df.columns)
+    masked = F.aggregate("spans", start, add, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return rows.select(F.col("row").withField(text_col, F.when(F.col("spans").isNull(), text).otherwise(masked)).alias("row")).select("row.*")

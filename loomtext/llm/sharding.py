@@ -60,7 +60,8 @@ def assign_shards(
     """One row for each row of ``df``: id, size, text_crc32, shard and slot (gapless from 0 in each shard).
 
     Size is the text's UTF-8 bytes plus ``ROW_BYTES``; a null text counts as an empty one. Rows with equal texts stay
-    together unless they are more than a shard's equal part. Slots of a shard follow its bundles and then the ids
+    together unless they are more than a shard's equal part; then they are cut by the number that each row gets when it is
+    read, so it doesn't matter whether their ids are null or repeated, and another partitioning of ``df`` cuts elsewhere. Slots of a shard follow its bundles and then the ids
     (nulls first, repeated rows in any order). Other columns are not looked at; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -71,6 +72,7 @@ def assign_shards(
             F.crc32(text.cast("binary")).alias("crc"),
             F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("long").alias("tokens"),
             F.xxhash64(text).alias("g"),
+            F.monotonically_increasing_id().alias("at"),
         )
     )
     sums = [F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")]
@@ -93,7 +95,7 @@ def assign_shards(
         following += cells
     spark = df.sparkSession
     large_groups = spark.createDataFrame(table, "g long, first long, cells long")
-    own_cell = F.col("first") + F.pmod(F.xxhash64("id"), F.col("cells"))
+    own_cell = F.col("first") + F.pmod(F.xxhash64("at"), F.col("cells"))
     dealt = slim.join(F.broadcast(large_groups), "g", "left").select(
         "id", "size", "crc", "tokens", F.coalesce(own_cell, F.pmod(F.col("g"), F.lit(small))).alias("cell")
     )

@@ -145,3 +145,12 @@ def test_private_keys_are_masked_with_their_bodies(spark):
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert [r.text for r in redact(df).sort("doc_id").collect()] == list(cases.values())
+
+
+def test_columns_with_the_names_of_what_is_joined(spark):
+    names = ["doc_id", "text", "spans", "__spans", "__blob", "blob", "own", "key", "row"]
+    rows = [(1, "token=abcdefghijklmnop1 end", *"abcdefg"), (2, None, *"hijklmn"), (3, "clean", *"opqrstu")]
+    df = spark.createDataFrame(rows, names)
+    got = redact(df)
+    assert got.columns == names and sorted(tuple(r) for r in got.collect()) == [(1, "[SECRET] end", *"abcdefg"), *rows[1:]]
+    assert {r.doc_id: r.n_assign for r in scan_documents(df).collect()} == {1: 1, 2: 0, 3: 0}

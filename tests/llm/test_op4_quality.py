@@ -152,3 +152,14 @@ def test_gradient_is_that_of_the_exact_likelihood(monkeypatch):
             down[name][k] -= 1e-5
             slope = (likelihood(**up) - likelihood(**down)) / 2e-5
             assert abs((getattr(after, name)[k] - getattr(start, name)[k]) / scale - slope) < 1e-6
+
+
+def test_of_an_id_that_is_there_a_thousand_times_one_row_is_taken(spark):
+    from pyspark.sql import functions as F
+
+    from loomtext.llm import toxicity
+
+    docs = spark.range(1200).select(F.when(F.col("id") < 1000, 5).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(5, 1, 0), (1100, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert q.training_sample(docs, labels) == [("text 0", 1), ("text 1100", 0)]
+    assert toxicity.training_sample(docs, labels) == [("text 0", 0), ("text 1100", 1)]

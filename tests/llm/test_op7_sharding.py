@@ -47,6 +47,17 @@ def test_hot_group_is_split_and_sizes_stay_equal(spark):
     assert len(rows) == 6000 and max(sizes) < 1.02 * np.mean(sizes) and min(sizes) > 0.98 * np.mean(sizes)
 
 
+@pytest.mark.parametrize("ids", ["7L", "CAST(NULL AS LONG)", "IF(id % 2 = 0, id, NULL)"])
+def test_a_hot_group_is_cut_whatever_its_ids(spark, ids):
+    texts = {"all": F.lit("same text"), "half": F.when(F.col("id") % 2 == 0, F.concat(F.lit("text "), F.col("id")))}
+    for text in texts.values():
+        rows = assign_shards(spark.range(4800).select(F.expr(ids).alias("doc_id"), text.alias("text"))).collect()
+        sizes = [sum(r["size"] for r in own) for own in by_shard(rows).values()]
+        assert len(rows) == 4800 and len(sizes) == 24 and max(sizes) < 1.02 * np.mean(sizes) and min(sizes) > 0.98 * np.mean(sizes)
+        for own in by_shard(rows).values():
+            assert sorted(r.slot for r in own) == list(range(len(own)))
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(1, "a", 1)] * 3 + [(None, None, 2), (2, "", 3), (3, "b" * 100000, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
