@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -180,12 +181,15 @@ def pooled_vectors(df: DataFrame, vectors: DataFrame, *, id_col: str, words: Col
 Encoder = Callable[[list[str]], Iterable[Sequence[Sequence[Sequence[float]]]]]
 
 
-def encode_texts(df: DataFrame, text_col: str, load: Callable[[], Encoder], *, pooling: str = "mean", batch: int = 8, last: int = 4) -> DataFrame:
+def encode_texts(df: DataFrame, text_col: str, load: Callable[[], Encoder], *, pooling: str = "mean", batch: int = 8, last: int = 4, max_length: int | None = None) -> DataFrame:
     """``embedding`` by an injected encoder that ``load`` makes once in a worker.
 
     For each text it gives (layers, mask): layers as [layer][token][value], the last one last; mask by token. Pooling
     is ``mean`` (masked, last layer), ``cls`` (first token) or ``last4_concat_mean`` (the last layers side by side).
+    It gets up to ``batch`` texts at once, and ``max_length`` by that name if it takes it; tokens after that many are cut.
     """
+    if batch < 1 or (max_length is not None and max_length < 1):
+        raise ValueError("batches and texts need a length of one at least")
     if pooling not in ("mean", "cls", "last4_concat_mean"):
         raise ValueError(f"unknown pooling: {pooling}")
 
@@ -200,11 +204,12 @@ def encode_texts(df: DataFrame, text_col: str, load: Callable[[], Encoder], *, p
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load()
+        own = {"max_length": max_length} if max_length and "max_length" in inspect.signature(encoder).parameters else {}
         for texts in parts:
             out = []
             for k in range(0, len(texts), batch):
-                found = encoder([t or "" for t in texts.iloc[k : k + batch]])
-                out += [pool(np.asarray(layers, float), np.asarray(mask, float)) for layers, mask in found]
+                found = encoder([t or "" for t in texts.iloc[k : k + batch]], **own)
+                out += [pool(np.asarray(layers, float)[:, :max_length], np.asarray(mask, float)[:max_length]) for layers, mask in found]
             yield pd.Series(out)
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -46,6 +46,14 @@ def vectoriser_options(config: Mapping) -> dict:
     return options | numbers | {"least": least, "most": most, "max_features": int(top) if top else None, "analyzer": count.get("analyzer", "char"), "stop_words": stop, "norm": weigh.get("norm", "l2")}
 
 
+def encoder_options(config: Mapping, method: str) -> dict:
+    """Pooling, batch size (the method's own, then the plan's for it, then the plan's) and sequence length."""
+    own, cv = section(config, method), config.get("crossval") or {}
+    batch = own.get("batch_size") or cv.get(f"{method}_batch_size") or cv.get("batch_size") or 8
+    length = own.get("max_seq_length")
+    return {"pooling": own.get("embedding_strategy") or own.get("pooling", "mean"), "last": int(own.get("last_n_layers", 4)), "batch": int(batch), "max_length": int(length) if length else None}
+
+
 def logistic_options(config: Mapping | None) -> dict:
     own = config or {}
     weight = own.get("class_weight", "balanced")
@@ -74,7 +82,7 @@ def method_features(spark: SparkSession, rows: DataFrame, method: str, config: M
         return rows.join(pooled, "row_id").withColumn("features", f.to_vector(F.col("vector"))).drop("vector")
     if method not in encoders:
         raise ValueError(f"no encoder was given for {method}")
-    encoded = f.encode_texts(rows, "text", encoders[method], pooling=own.get("embedding_strategy") or own.get("pooling", "mean"))
+    encoded = f.encode_texts(rows, "text", encoders[method], **encoder_options(config, method))
     return encoded.withColumn("features", f.to_vector(F.col("embedding"))).drop("embedding")
 
 

@@ -13,7 +13,7 @@ from loomtext.operators import features as ft
 from loomtext.operators import linear
 from loomtext.operators import model as m
 from loomtext.operators import sampling as sp
-from loomtext.plans.crossval import vectoriser_options
+from loomtext.plans.crossval import encoder_options, vectoriser_options
 
 
 def newton(x, y, w, c):
@@ -166,3 +166,26 @@ def test_heavy_grams_lose_none_and_ties_at_the_cut_are_settled_alike(spark):
     texts = spark.createDataFrame([(0, "ab cd ab"), (1, "ef cd gh")], "id long, text string")
     by_counts = [r.gram for r in ft.top_grams(ft.gram_counts(texts, ["id"], ft.analysed(F.col("text"), "word", 1, 1)), 3).orderBy(F.desc("total"), "gram").collect()]
     assert ft.fit_tfidf(texts, "text", analyzer="word", least=1, most=1, max_features=3).vocabulary == by_counts == ["ab", "cd", "ef"]
+
+
+def test_encoders_get_batches_and_lengths(spark, tmp_path):
+    config = {"crossval": {"batch_size": 7, "gemma_batch_size": 2}, "bert": {"max_seq_length": 3, "batch_size": 4}, "gemma": {"pooling": "cls"}, "linq": {}}
+    found = {name: encoder_options(config, name) for name in ("bert", "gemma", "linq")}
+    assert [(o["batch"], o["max_length"], o["pooling"]) for o in found.values()] == [(4, 3, "mean"), (2, None, "cls"), (7, None, "mean")]
+    log = str(tmp_path / "log")
+
+    def load():
+        def encode(texts, max_length=None):
+            with open(log, "a") as out:
+                out.write(f"{len(texts)} {max_length}\n")
+            return [([[[float(k), 1.0] for k in range(5)]] * 5, [1, 1, 1, 1, 0]) for _ in texts]
+
+        return encode
+
+    df = spark.range(10).select("id", F.lit("x").alias("text")).coalesce(1)
+    rows = ft.encode_texts(df, "text", load, **found["bert"]).collect()
+    assert {tuple(r.embedding) for r in rows} == {(1.0, 1.0)}
+    assert open(log).read().split("\n")[:-1] == ["4 3", "4 3", "2 3"]
+    assert ft.encode_texts(df, "text", lambda: lambda texts: load()(texts), **found["gemma"]).first().embedding == [0.0, 1.0]
+    with pytest.raises(ValueError):
+        ft.encode_texts(df, "text", load, batch=0)
