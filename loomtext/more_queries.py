@@ -235,25 +235,19 @@ features: {crossval: {train_balance: {enabled: true, strategy: " Downsample ", r
 """
 
 
-@query("q_config", "SELECT 'src0,src3' AS datasets, CAST(NULL AS VARCHAR) AS labels, true AS balance, 300 AS cap, 42 AS seed, 'downsample' AS strategy, 'none' AS disabled, 'cuda,cpu,cuda:1,cpu' AS devices, 6 AS n_errors")
+DRAWN_BY_CONFIG = f"""(SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(concat_ws('|', {base.seeded('CAST(y AS VARCHAR)')}, doc_id)), doc_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM {LABELLED} WHERE source IN ('src0', 'src3'))"""
+
+
+@query("q_config", f"SELECT doc_id, y FROM {DRAWN_BY_CONFIG} WHERE r <= least(300, (SELECT min(n) FROM {DRAWN_BY_CONFIG}))")
 def config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A YAML configuration with anchors and what its checks make of it; one row."""
-    found = yaml.safe_load(CONFIG)
-    text, cv = cf.section(found, "text"), cf.require(found, "features")["crossval"]
-    draw, errors = cf.sampling(text), 0
-    bad = (
-        lambda: cf.sampling({"cap_per_class": 3}), lambda: cf.sampling({"balance": 1}), lambda: cf.sampling({"cap_per_class": True, "subset_seed": 1}),
-        lambda: cf.train_balance({"enabled": True, "strategy": "other"}), lambda: cf.section(found, "asr"), lambda: cf.require(text, "missing"),
-    )
-    for check in bad:
-        try:
-            check()
-        except (ValueError, KeyError):
-            errors += 1
-    devices = ",".join(cf.device(d, a) for d, a in (("auto", True), ("cuda", False), ("cuda:1", True), (" CPU ", True)))
-    labels = cf.names(text["target_labels"])
-    row = (",".join(cf.names(text["target_datasets"]) or []), labels and ",".join(labels), draw["balance"], draw["cap"], draw["seed"], cf.train_balance(cv["train_balance"])["balance"], cf.train_balance(cv["other"])["balance"], devices, errors)
-    return spark.createDataFrame([row], "datasets string, labels string, balance boolean, cap int, seed int, strategy string, disabled string, devices string, n_errors int")
+    """Labelled documents restricted and drawn as a YAML configuration with anchors says."""
+    text = cf.section(yaml.safe_load(CONFIG), "text")
+    draw, sources = cf.sampling(text), cf.names(text["target_datasets"])
+    if cf.names(text["target_labels"]) is not None:
+        raise ValueError("a blank list of labels restricts nothing")
+    rows = base.labelled(spark, sf_dir, text=False)
+    kept = rows.filter(F.col("source").isin(sources)).select("doc_id", "y")
+    return sp.sample_classes(kept, seed=draw["seed"], keys=["doc_id"], label_col="y", cap=draw["cap"], balance=draw["balance"])
 
 
 # ---------------------------------------------------------------- whole plans
@@ -382,16 +376,20 @@ record_query("q_fold_records_up", "upsample", "max(n) OVER (PARTITION BY k)")
 NAMES = (" TFIDF ", "linq", "bert", "glove", "gemma", "other", "Word2Vec")
 
 
+METHOD_OF = f"[{', '.join(f"'{n}'" for n in NAMES)}][doc_id % {len(NAMES)} + 1]"
+
+
 @query(
     "q_method_names",
-    f"""SELECT row_number() OVER (ORDER BY r, k) AS at, said FROM (SELECT k, CASE WHEN list_position(['tfidf', 'bert', 'glove', 'gemma', 'linq'], k) > 0 THEN list_position(['tfidf', 'bert', 'glove', 'gemma', 'linq'], k) ELSE 6 END AS r,
-      CASE k {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rp.DISPLAY_NAMES.items())} ELSE k END AS said FROM (SELECT lower(trim(unnest([{', '.join(f"'{n}'" for n in NAMES)}]))) AS k))""",
+    f"""SELECT row_number() OVER (ORDER BY r, k) AS at, n, said FROM (SELECT k, n, CASE WHEN list_position(['tfidf', 'bert', 'glove', 'gemma', 'linq'], k) > 0 THEN list_position(['tfidf', 'bert', 'glove', 'gemma', 'linq'], k) ELSE 6 END AS r,
+      CASE k {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rp.DISPLAY_NAMES.items())} ELSE k END AS said FROM (SELECT lower(trim({METHOD_OF})) AS k, count(*) AS n FROM documents GROUP BY ALL))""",
 )
 def method_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Methods in their fixed order, others by name after them, with the names that tables show."""
-    rows = spark.createDataFrame([(n,) for n in NAMES], "method string").withColumn("key", F.lower(F.trim("method")))
+    """Documents dealt to methods: the methods in their fixed order, others by name after them, with the names that tables show."""
+    named = table(spark, sf_dir, "documents").select(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES) + 1).cast("int")).alias("method"))
+    rows = named.groupBy("method").agg(F.count("*").alias("n")).withColumn("key", F.lower(F.trim("method")))
     out = numbered(rows.withColumn("r", rp.method_rank(F.col("method"))), ["r", "key"], "at")
-    return out.select((F.col("at") + 1).alias("at"), rp.display_name(F.col("method")).alias("said"))
+    return out.select((F.col("at") + 1).alias("at"), "n", rp.display_name(F.col("method")).alias("said"))
 
 
 @query("q_fold_series", f"SELECT method, fold, round(accuracy * 100, 9) AS value FROM {base.METRIC_ROWS}")
