@@ -1,8 +1,9 @@
 """License scans: marked-up templates become token automata that accept texts with their mandatory wording.
 
 Markup: ``<<beginOptional>> ... <<endOptional>>`` may be missing, ``<<var;name=N;max=K>>`` stands for up to K
-words of any kind; everything else is mandatory, word by word. A template is tried wherever its first
-mandatory words stand; optional regions before those are matched backwards from there, as far as they reach.
+words of any kind; everything else is mandatory, word by word. A template is tried wherever its anchor stands: a run of
+mandatory words, anywhere in it. What follows is matched forwards from there and what comes before backwards, both as
+far as they reach.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomtext.llm.common import alnum_words, id_type, map_texts
 
@@ -61,6 +64,56 @@ TEMPLATES = {
         LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
         IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
         THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "boost-text": """<<beginOptional>>Boost Software License <<beginOptional>>Version 1.0<<endOptional>>
+        <<beginOptional>>August 17th, 2003<<endOptional>><<endOptional>>
+        Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties
+        to whom the Software is furnished to do so, all subject to the following:
+        The copyright notices in the Software and this entire statement, including the above license grant, this
+        restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part,
+        and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+        machine-executable object code generated by a source language processor.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+        SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY,
+        WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE.""",
+    "zlib-text": """<<beginOptional>>zlib License<<endOptional>> <<beginOptional>>Copyright <<var;name=holder;max=40>><<endOptional>>
+        This software is provided 'as-is', without any express or implied warranty. In no event will
+        <<var;name=authors;max=20>> be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+        alter it and redistribute it freely, subject to the following restrictions:
+        <<var;name=bullet;max=1>> The origin of this software must not be misrepresented; you must not claim that you
+        wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required.
+        <<var;name=bullet;max=1>> Altered source versions must be plainly marked as such, and must not be misrepresented
+        as being the original software.
+        <<var;name=bullet;max=1>> This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+        form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+        In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+        copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+        THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+        <<beginOptional>>For more information, please refer to <<var;name=url;max=4>><<endOptional>>""",
+    "apache-2.0-header": """<<beginOptional>>Copyright <<var;name=holder;max=40>><<endOptional>>
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at <<var;name=url;max=8>>
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
+        on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+        the specific language governing permissions and limitations under the License.""",
+    "gpl-header": """is free software: you can redistribute it
+        and/or modify it under the terms of the GNU <<beginOptional>>Lesser<<endOptional>>
+        <<beginOptional>>Affero<<endOptional>> General Public License as published by the Free Software Foundation,
+        either version <<var;name=version;max=2>> of the License, or (at your option) any later version.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+        MPL was not distributed with this file, You can obtain one at <<var;name=url;max=6>>""",
     "mit-notice": """under the <<beginOptional>>terms of the<<endOptional>> MIT License""",
     "apache-2.0-notice": """Licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0
         <<beginOptional>>(the "License"); you may not use this <<var;name=work;max=4>> except in compliance with the
@@ -72,8 +125,10 @@ TEMPLATES = {
         CC BY-NC <<beginOptional>><<var;name=version;max=2>> International<<endOptional>>""",
 }
 
-#: Mandatory words that a template's place must start with, at most.
-ANCHOR = 4
+#: Mandatory words of an anchor, at most, and of a template, at least.
+ANCHOR, LEAST_WORDS = 4, 2
+#: Bytes of templates that a table may hold: every worker compiles them all.
+TEMPLATE_BYTES = 16 << 20
 _MARK = re.compile(r"<<(.*?)>>", re.S)
 
 
@@ -81,8 +136,7 @@ _MARK = re.compile(r"<<(.*?)>>", re.S)
 class TokenAutomaton:
     """States are numbered; a word leads on, ``any`` with every word, ``free`` without one.
 
-    ``anchor`` are the mandatory words that a match begins with, ``before`` the automaton, read backwards, of the
-    optional regions that stand before them.
+    Of a template it reads what begins with ``anchor``; ``before`` is the automaton, read backwards, of all that stands before.
     """
 
     anchor: list[bytes] = field(default_factory=list)
@@ -107,12 +161,12 @@ class TokenAutomaton:
         return states
 
     def match(self, words: list[bytes], start: int) -> tuple[int, int] | None:
-        """The longest accepted stretch whose mandatory words begin at ``start``, with what is optional before them."""
+        """The longest accepted stretch whose anchor stands at ``start``."""
         end = self.longest(words, start)
         if end is None or self.before is None:
             return None if end is None else (start, end)
         back = self.before.longest(words[max(0, start - len(self.before.free)) : start][::-1], 0)
-        return start - (back or 0), end
+        return None if back is None else (start - back, end)
 
     def longest(self, words: list[bytes], start: int) -> int | None:
         """Where the longest accepted text that begins at ``start`` ends."""
@@ -129,7 +183,8 @@ class TokenAutomaton:
 
 
 def compile_template(text: str) -> TokenAutomaton:
-    """The automaton of a template; it must begin, after optional regions, with two mandatory words."""
+    """The automaton of a template with two mandatory words at least, wherever they are. One that opens with a replaceable
+    region, so with any words, needs three in a row: two common words would be found in every other text."""
     parts = _MARK.split(text)
     tree: list = []
     stack = [tree]
@@ -150,19 +205,33 @@ def compile_template(text: str) -> TokenAutomaton:
             raise ValueError(f"unknown markup: {part}")
     if len(stack) > 1:
         raise ValueError("an optional region never ends")
-    leading = next((k for k, node in enumerate(tree) if not isinstance(node, list)), len(tree))
-    out = _automaton(tree[leading:])
-    for node in tree[leading : leading + ANCHOR]:
-        if not isinstance(node, bytes):
-            break
-        out.anchor.append(node)
-    if len(out.anchor) < 2:
-        raise ValueError("a template begins with two mandatory words at least")
-    if leading:
-        out.before = _automaton(_backwards(tree[:leading]))
+    if _least_words(tree) < LEAST_WORDS:
+        raise ValueError(f"a template has {LEAST_WORDS} mandatory words at least")
+    begin, anchor = _anchor_of(tree)
+    if isinstance(next(node for node in tree if not isinstance(node, list)), int) and len(anchor) <= LEAST_WORDS:
+        raise ValueError(f"after a replaceable opening a template has more than {LEAST_WORDS} mandatory words in a row")
+    out = _automaton(tree[begin:])
+    out.anchor = anchor
+    if begin:
+        out.before = _automaton(_backwards(tree[:begin]))
     return out
 
 
+def _least_words(tree: list) -> int:
+    return sum(isinstance(node, bytes) for node in tree)
+
+
+def _anchor_of(tree: list) -> tuple[int, list[bytes]]:
+    """Where in the template its anchor is, and its words: of all runs of mandatory words the one with most words (ANCHOR
+    at most), then most bytes, as long words are rare; the first of equals."""
+    runs = []
+    for k in range(len(tree)):
+        run = list(takewhile(lambda node: isinstance(node, bytes), tree[k : k + ANCHOR]))
+        runs.append((-len(run), -sum(map(len, run)), k, run))
+    _, _, begin, run = min(runs, key=lambda r: r[:3])
+    return begin, run
+
+
 def _backwards(nodes: list) -> list:
     return [_backwards(node) if isinstance(node, list) else node for node in reversed(nodes)]
 
@@ -204,6 +273,20 @@ def _automaton(tree: list) -> TokenAutomaton:
     return out
 
 
+def templates_of(table: DataFrame, label_col: str = "label", template_col: str = "template") -> dict[str, str]:
+    """Templates of a table by label; a missing or repeated label or more than TEMPLATE_BYTES of text is an error.
+
+    Templates without a text are left out. The size is asked for before any of them is fetched.
+    """
+    rows = table.select(F.col(label_col).alias("label"), F.col(template_col).alias("template")).filter("template is not null")
+    size, n, labels = rows.agg(F.sum(F.octet_length("template")), F.count("*"), F.count_distinct("label")).first()
+    if n != labels:
+        raise ValueError("every template needs a label of its own")
+    if (size or 0) > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates, more than {TEMPLATE_BYTES}")
+    return {r.label: r.template for r in rows.orderBy("label").collect()}
+
+
 @dataclass
 class Scan:
     """What a text shows: number of words, places of phrases, stretches of templates by label."""

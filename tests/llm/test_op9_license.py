@@ -2,8 +2,9 @@ import re
 
 import pytest
 
+from loomtext.llm import license_scan
 from loomtext.llm.common import alnum_words
-from loomtext.llm.license_scan import BASE_PHRASES, TEMPLATES, LicenseScanner, compile_template, scan_licenses
+from loomtext.llm.license_scan import BASE_PHRASES, TEMPLATES, LicenseScanner, compile_template, scan_licenses, templates_of
 from loomtext.llm.queries import op9_license_scan
 
 SCANNER = LicenseScanner(TEMPLATES, BASE_PHRASES)
@@ -102,6 +103,47 @@ def test_optional_regions_before_the_mandatory_words_belong_to_the_match():
         assert automaton.match(words, len(words) - 2) == (begin, len(words))
 
 
+def test_anchors_stand_anywhere():
+    """Openings that are replaceable or short, against everything that plain loops can find."""
+    templates = {
+        "a": "<<var;max=3>> may be used freely by anyone",
+        "b": "Copyright <<var;max=4>> all rights reserved by the holder",
+        "c": "<<beginOptional>>The<<endOptional>> License <<beginOptional>>version<<endOptional>> two applies",
+        "d": "one <<var;max=2>> two",
+    }
+    texts = [
+        "The code may be used freely by anyone", "may be used freely by anyone", "one two three four may be used freely by anyone else",
+        "Copyright 2020 Some Body all rights reserved by the holder", "Copyright a b c d e all rights reserved by the holder",
+        "all rights reserved by the holder", "Copyright all rights reserved by the holder Copyright all rights reserved by the holder",
+        "the license version two applies", "License two applies here", "license version applies", "two applies",
+        "one two", "one 1 2 two two", "one one 2 3 two", "two one", "",
+    ]
+    scanner, hits = LicenseScanner(templates, {}), 0
+    for text in texts:
+        words = alnum_words(text)
+        found = scanner.scan(text).stretches
+        for label, template in templates.items():
+            tree = nodes_of(template)
+            spans = {(b, e) for b in range(len(words) + 1) for e in ends(tree, words, b)}
+            own = {(b, e) for b, e, x in found if x == label}
+            assert own <= spans and bool(own) == bool(spans)
+            for b, e in spans:
+                assert any(x <= b and e <= y for x, y in own)
+            hits += len(own)
+    assert hits == 12
+
+
+def test_templates_of_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("x", "a b c"), ("y", None), ("z", "c <<var;max=2>> d")], "label string, template string")
+    assert templates_of(table) == {"x": "a b c", "z": "c <<var;max=2>> d"} and templates_of(table.limit(0)) == {}
+    for rows in ([("x", "a b"), ("x", "c d")], [(None, "a b")]):
+        with pytest.raises(ValueError):
+            templates_of(spark.createDataFrame(rows, "label string, template string"))
+    monkeypatch.setattr(license_scan, "TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        templates_of(table)
+
+
 def test_mandatory_wording_must_match():
     text = fill(TEMPLATES["mit-text"], False, "X")
     assert "mit-text" in SCANNER.digest(text)[5]
