@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.operators.quantiles import exact_quantiles, sent
+from loomtext.session import durable
+
 #: The order of the methods in tables; others follow by name.
 METHOD_ORDER = ("tfidf", "bert", "glove", "gemma", "linq")
 #: What methods are called in tables; others keep their key.
@@ -22,23 +25,30 @@ METRIC_TITLES = {"accuracy": "Accuracy (%)", "precision": "Precision (%)", "reca
 
 
 def box_plot_stats(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
-    """Quartiles (linear), whiskers at the last values within 1.5 interquartile ranges, fliers beyond, mean."""
-    rows = df.select(*by, value.cast("double").alias("_v")).filter("_v is not null")
-    quartiles = rows.groupBy(*by).agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.avg("_v").alias("mean"), F.count("*").alias("n_rows"))
-    q1, q2, q3 = (F.element_at("_q", k) for k in (1, 2, 3))
-    quartiles = quartiles.select(*by, "n_rows", "mean", q1.alias("q1"), q2.alias("median"), q3.alias("q3"))
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = rows.join(quartiles, list(by))
-    inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
+    """Quartiles (linear), whiskers at the last values within 1.5 interquartile ranges, fliers beyond, mean; of finite values."""
+    joined = _beside_quartiles(df, value, by)
+    inside = (F.col("_v") >= F.col("q1") - _reach()) & (F.col("_v") <= F.col("q3") + _reach())
     return joined.groupBy(*by, "n_rows", "mean", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"), F.count_if(~inside).alias("n_fliers")
     )
 
 
 def fliers(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
-    stats = box_plot_stats(df, value, by)
-    joined = df.select(*by, value.cast("double").alias("value")).join(stats.select(*by, "whisker_low", "whisker_high"), list(by))
-    return joined.filter((F.col("value") < F.col("whisker_low")) | (F.col("value") > F.col("whisker_high"))).select(*by, "value")
+    """The values beyond the whiskers: those that are no further than 1.5 interquartile ranges are within."""
+    joined = _beside_quartiles(df, value, by)
+    return joined.filter((F.col("_v") < F.col("q1") - _reach()) | (F.col("_v") > F.col("q3") + _reach())).select(*by, F.col("_v").alias("value"))
+
+
+def _reach() -> Column:
+    return 1.5 * (F.col("q3") - F.col("q1"))
+
+
+def _beside_quartiles(df: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
+    """(by, _v and its class's n_rows, mean, q1, median, q3) of the finite values."""
+    values = durable(df.select(*by, value.cast("double").alias("_v")).filter(F.abs("_v") < F.lit(float("inf"))))
+    q1, q2, q3 = (F.element_at("quantiles", k) for k in (1, 2, 3))
+    quartiles = exact_quantiles(values, by, (0.25, 0.5, 0.75)).select(*by, "n_rows", "mean", q1.alias("q1"), q2.alias("median"), q3.alias("q3"))
+    return values.join(sent(durable(quartiles)), list(by))
 
 
 def shared_folds(series: DataFrame, least: int = 1) -> DataFrame:
