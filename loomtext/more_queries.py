@@ -145,6 +145,19 @@ def metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("method", "fold", *[F.round(x, 9).alias(x) for x in m.METRICS])
 
 
+@query("q_metrics_runs", f"SELECT fold AS run, method, fold, metric, round(value, 9) AS value FROM (UNPIVOT {base.METRIC_ROWS} ON {', '.join(m.METRICS)} INTO NAME metric VALUE value)")
+def metrics_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each fold's run, with all methods, read as one table; the run's name is its fold, as it has no other."""
+    one = F.struct("fold", *m.METRICS)
+    methods = F.map_from_entries(F.collect_list(F.struct("method", F.struct(F.array(one).alias("fold_metrics")))))
+    documents = base.fold_metric_rows(spark, sf_dir).groupBy(F.col("fold").alias("run")).agg(methods.alias("methods"))
+    path = shared_path(spark, "runs")
+    documents.select(F.to_json(F.struct("methods")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = rd.metrics_runs(spark, path)
+    names = found.groupBy("run").agg(F.min("fold").alias("own"))
+    return found.join(names, "run").select(F.col("own").alias("run"), "method", "fold", "metric", F.round("value", 9).alias("value"))
+
+
 @query("q_older_transcripts", f"SELECT CAST(doc_id AS VARCHAR) AS id, 'NC' AS label, md5(text) AS digest, md5({base.sql_sanitise('text')}) AS cleaned, CAST(n_chars AS DOUBLE) AS duration FROM documents")
 def older_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older form, with a cleaned text and a byte order mark before the first name."""
@@ -285,6 +298,17 @@ def text_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rd.json_lines(spark, tc.run_text(spark, {"text": text})).select(c.ID, c.DATASET, c.LABEL, F.md5(c.TEXT).alias("digest"))
 
 
+@query("q_transcripts_plan", """SELECT CAST(doc_id AS VARCHAR) AS "ID", 'NC' AS "Diagnosis", 'D' AS "Dataset", 'zh' AS "Languages", md5(text) AS digest FROM documents""")
+def transcripts_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recogniser's table to a corpus of JSON lines; a second run of fewer rows finds it there and leaves it alone."""
+    root = shared_path(spark, "transcripts")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(" NC ").alias("label"), F.col("text").alias("transcript"), F.lit("p").alias("audio_path"), F.col("n_chars").alias("duration"))
+    for name, own in (("all", rows), ("none", rows.filter("false"))):
+        wr.write_csv(wr.transcript_rows(own), f"{root}/{name}.csv")
+        tc.transcripts_to_corpus(spark, {"output_csv": f"{root}/{name}.csv"}, {"ncmmsc_jsonl": f"{root}/corpus"}, dataset="D")
+    return rd.json_lines(spark, f"{root}/corpus").select(c.ID, c.LABEL, c.DATASET, c.LANGUAGE, F.md5(c.TEXT).alias("digest"))
+
+
 @query(
     "q_predictive_plan",
     f"""WITH p AS (SELECT trim(u) AS uid, min(doc_id) AS doc_id FROM (SELECT doc_id, concat(' ', doc_id // 2, ' ') AS u FROM labels) GROUP BY trim(u)),
@@ -445,3 +469,32 @@ def drawn_after_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variant of the plan that draws classes once more after the length filter."""
     kept = base.QUERIES["q_length_filter"](spark, sf_dir)
     return sp.sample_classes(kept, seed=base.SEED, keys=["doc_id"], label_col="y", cap=40).select("doc_id", "y")
+
+
+LENGTHS = f"(SELECT CAST(y AS VARCHAR) AS name, CAST(length(text) AS DOUBLE) AS v FROM {LABELLED})"
+
+
+def sql_boxes(what: str, rows: str) -> str:
+    stats = f"SELECT name, count(*) AS n_rows, avg(v) AS mean, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM {rows} GROUP BY name"
+    return f"""SELECT '{what}' AS what, name, n_rows, round(mean, 6) AS mean, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+      round(min(v) FILTER (inside), 6) AS whisker_low, round(max(v) FILTER (inside), 6) AS whisker_high, count(*) FILTER (NOT inside) AS n_fliers
+      FROM (SELECT s.*, v, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM {rows} JOIN ({stats}) s USING (name)) GROUP BY ALL"""
+
+
+@query("q_report_plan", f"{sql_boxes('lengths', LENGTHS)} UNION ALL {sql_boxes('recall', f'(SELECT method AS name, round(recall * 100, 9) AS v FROM {base.METRIC_ROWS})')}")
+def report_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a cleaned corpus and a metrics document, without a combined corpus; its box plots are read back."""
+    root, methods = shared_path(spark, "report"), {}
+    rows = base.labelled(spark, sf_dir).select(F.col("doc_id").cast("string").alias(c.ID), F.col("y").cast("string").alias(c.LABEL), F.col("text").alias(c.TEXT))
+    wr.write_json_lines(rows, f"{root}/cleaned")
+    for r in base.fold_metric_rows(spark, sf_dir).collect():
+        methods.setdefault(r.method, {"fold_metrics": []})["fold_metrics"].append({k: round(v, 11) if isinstance(v, float) else v for k, v in r.asDict().items()})
+    wr.write_document({"methods": methods}, f"{root}/metrics.json")
+    features = {"crossval": {"metrics_output": f"{root}/metrics.json"}, "tfidf": {"vectorizer": {"ngram_range": [1, 2], "max_features": 500}}}
+    reports.run_report(spark, {"text": {"cleaned_jsonl": f"{root}/cleaned", "output_dir": root, "combined_name": "none"}, "features": features}, f"{root}/out")
+    boxes = []
+    for what, name, key in (("lengths", "cleaned_lengths", "label"), ("recall", "recall_boxplot", "method")):
+        own = rd.csv_table(spark, f"{root}/out/{name}")
+        numbers = [F.round(F.col(k).cast("double"), 6).alias(k) for k in ("mean", "q1", "median", "q3", "whisker_low", "whisker_high")]
+        boxes.append(own.select(F.lit(what).alias("what"), F.col(key).alias("name"), F.col("n_rows").cast("long").alias("n_rows"), *numbers, F.col("n_fliers").cast("long").alias("n_fliers")))
+    return boxes[0].unionByName(boxes[1])

@@ -17,7 +17,7 @@ from loomtext.plans.config import require, section
 from loomtext.plans.crossval import vectoriser_options
 from loomtext.session import durable
 from loomtext.sources.files import file_exists, write_text
-from loomtext.sources.readers import json_lines, metrics_document, texts_and_labels
+from loomtext.sources.readers import json_lines, metrics_runs, texts_and_labels
 from loomtext.sources.writers import write_csv, write_document
 
 log = logging.getLogger(__name__)
@@ -29,6 +29,12 @@ def fold_metrics(spark: SparkSession, document: Mapping) -> DataFrame:
     return spark.createDataFrame(rows, "method string, fold int, accuracy double, precision double, recall double, f1 double")
 
 
+def fold_metrics_of(runs: DataFrame) -> DataFrame:
+    """(run, method, fold and metrics) of ``readers.metrics_runs``, a column for each metric of the tables."""
+    columns = [F.max(F.when(F.col("metric") == x, F.col("value"))).alias(x) for x in m.METRICS]
+    return runs.groupBy("run", "method", "fold").agg(*columns)
+
+
 def run_report(
     spark: SparkSession, config: Mapping, outdir: str, *, boundary: bool = False, boundary_scope: str = "cleaned", skip_combined: bool = False
 ) -> None:
@@ -51,7 +57,7 @@ def run_report(
     if not file_exists(metrics):
         log.warning("no metrics yet: %s", metrics)
         return
-    metrics_report(fold_metrics(spark, metrics_document(metrics)), outdir)
+    metrics_report(durable(fold_metrics_of(metrics_runs(spark, metrics)).drop("run")), outdir)
 
 
 def metrics_report(by_fold: DataFrame, outdir: str) -> None:
@@ -60,9 +66,13 @@ def metrics_report(by_fold: DataFrame, outdir: str) -> None:
     write_csv(table, f"{outdir}/results_table", one_file=True)
     write_text(f"{outdir}/results_table.tex", r.to_latex(table))
     texts = {}
+    every = r.fold_series(by_fold, m.METRICS[0]).withColumn("metric", F.lit(m.METRICS[0]))
+    for metric in m.METRICS[1:]:
+        every = every.unionByName(r.fold_series(by_fold, metric).withColumn("metric", F.lit(metric)))
+    boxes = durable(r.box_plot_stats(every, F.col("value"), ["metric", "method"]))
     for metric in m.METRICS:
         series = r.fold_series(by_fold, metric)
-        write_csv(r.box_plot_stats(series, F.col("value"), ["method"]), f"{outdir}/{metric}_boxplot", one_file=True)
+        write_csv(boxes.filter(F.col("metric") == metric).drop("metric"), f"{outdir}/{metric}_boxplot", one_file=True)
         write_csv(r.shared_folds(series, 2).orderBy("method", "fold"), f"{outdir}/{metric}_folds", one_file=True)
         texts[metric] = r.friedman_text(series)
     write_document(texts, f"{outdir}/friedman.json")

@@ -211,6 +211,20 @@ def metrics_document(path: str) -> dict:
     return json.loads(read_text(path))
 
 
+def metrics_runs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(run, method, fold, metric, value) of all numbers in the fold metrics of many documents; ``run`` is a document's path.
+
+    Documents may say more or less: methods without folds and what isn't a number are left out, and a metric needs no
+    place in a schema. A document that isn't JSON is an error. Each is read as a whole by one task.
+    """
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("run"), F.parse_json("value").alias("document"))
+    inside = lambda c, path: spark.tvf.variant_explode(F.try_variant_get(F.col(c).outer(), path, "variant"))
+    methods = rows.lateralJoin(inside("document", "$.methods")).select("run", F.col("key").alias("method"), F.col("value").alias("own"))
+    folds = methods.lateralJoin(inside("own", "$.fold_metrics")).select("run", "method", F.try_variant_get("value", "$.fold", "int").alias("fold"), F.col("value").alias("own"))
+    found = folds.lateralJoin(inside("own", "$")).select("run", "method", "fold", F.col("key").alias("metric"), F.try_variant_get("value", "$", "double").alias("value"))
+    return found.filter((F.col("metric") != "fold") & F.col("value").isNotNull())
+
+
 def texts_and_labels(df: DataFrame, label_col: str = "Diagnosis", text_columns: Sequence[str] = TEXT_COLUMNS, keep: Sequence[str] = ()) -> DataFrame:
     """(text, label, y, and the columns to ``keep``): the first text column there is, blank texts and null labels left out, labels numbered by name."""
     column = next((c for c in text_columns if c in df.columns), None)

@@ -273,3 +273,23 @@ def test_stream_is_the_batch(spark, tmp_path):
     rows.write.json(str(tmp_path / "in"))
     clean_stream(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("cleaned").collect() == clean_stream(rows).collect() and spark.table("cleaned").first().Diagnosis == "HC"
+
+
+def test_metrics_of_many_documents(spark, tmp_path):
+    """Documents need not be alike; what isn't a number of a fold is left out, and what isn't JSON fails."""
+    from loomtext.plans.report import fold_metrics_of
+    from loomtext.sources.readers import metrics_runs
+
+    one = {"methods": {"tfidf": {"fold_metrics": [{"fold": 1, "accuracy": 0.5, "f1": 1, "note": "x"}, {"fold": 2, "accuracy": 0.25, "own": 7.5}]}, "bert": {"error": "no model"}}}
+    two = {"methods": {"glove": {"fold_metrics": [{"fold": 1, "accuracy": None, "recall": 0.125}]}, "linq": {"fold_metrics": []}}, "made": "later"}
+    for name, document in (("one", one), ("two", two), ("three", {"other": 1})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(document, indent=2))
+    rows = metrics_runs(spark, str(tmp_path))
+    got = {(r.run.rsplit("/", 1)[1], r.method, r.fold, r.metric): r.value for r in rows.collect()}
+    own = [("accuracy", 1, 0.5), ("f1", 1, 1.0), ("accuracy", 2, 0.25), ("own", 2, 7.5)]
+    assert got == {("one.json", "tfidf", fold, metric): value for metric, fold, value in own} | {("two.json", "glove", 1, "recall"): 0.125}
+    wide = {(r.method, r.fold): (r.accuracy, r.precision, r.recall, r.f1) for r in fold_metrics_of(rows).collect()}
+    assert wide == {("tfidf", 1): (0.5, None, None, 1.0), ("tfidf", 2): (0.25, None, None, None), ("glove", 1): (None, None, 0.125, None)}
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(Exception, match="MALFORMED"):
+        metrics_runs(spark, str(tmp_path)).count()
