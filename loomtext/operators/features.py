@@ -15,7 +15,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import present
 from loomtext.functions.tokens import analysed, char_ngrams, once  # noqa: F401  (char_ngrams is part of this module's interface)
+from loomtext.operators.grams import char_totals, char_weigher
 from loomtext.operators.linear import feature_struct, leading_directions, tree_sum
 
 #: Grams that sketches name and items that they keep, at most; hashed cells for each named gram.
@@ -81,10 +83,21 @@ class TfidfModel:
     """A fitted vectoriser: counts of a vocabulary's grams, weighted and normalised; ``features`` are sparse vectors, or
     structs like them (size, indices, values) with ``sublinear_tf``."""
 
-    def __init__(self, vocabulary: Sequence[str], idf: np.ndarray | None, norm: str | None, sublinear: bool, analyse: Callable[[Column], Column]):
+    def __init__(self, vocabulary: Sequence[str], idf: np.ndarray | None, norm: str | None, sublinear: bool, analyse: Callable[[Column], Column], chars: tuple[int, int, bool] | None = None):
+        """``chars``: grams are runs of so many characters, at least and at most, in lower case or not."""
+        self.chars = chars
         self.vocabulary, self.idf, self.norm, self.sublinear, self.analyse = list(vocabulary), idf, norm, sublinear, analyse
 
+    def with_norm(self, norm: str | None) -> TfidfModel:
+        """The same fit with weights of another norm."""
+        return TfidfModel(self.vocabulary, self.idf, norm, self.sublinear, self.analyse, self.chars)
+
     def transform(self, df: DataFrame, text_col: str) -> DataFrame:
+        if self.chars:
+            weigh = char_weigher(self.vocabulary, *self.chars[:2], self.idf, self.norm, self.sublinear)
+            text = F.lower(present(F.col(text_col))) if self.chars[2] else present(F.col(text_col))
+            kind = "struct<size int, indices array<int>, values array<double>>" if self.sublinear else VectorUDT()
+            return df.withColumn("features", F.arrow_udf(weigh, kind)(text))
         grams = df.withColumn("_grams", self.analyse(F.col(text_col)))
         stages: list = [CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_grams", outputCol="_counts")]
         if self.sublinear:
@@ -133,10 +146,12 @@ def fit_tfidf(
     def analyse(text: Column) -> Column:
         return analysed(text, analyzer, least, most, lowercase=lowercase, stop_words=stop_words)
 
-    # a row's equal grams stand together, so the first of each tells in how many rows a gram is without a count by row
-    ordered = df.select(F.array_sort(analyse(F.col(text_col))).alias("g"))
-    each = ordered.select(F.explode(F.zip_with("g", F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0)))), lambda x, before: F.struct(x.alias("gram"), (~x.eqNullSafe(before)).cast("int").alias("first")))).alias("x"))
-    totals = each.select("x.*").filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.count("*").alias("total"), F.sum("first").alias("df"))
+    chars = (least, most, lowercase) if analyzer == "char" else None
+    if chars:
+        text = present(F.col(text_col))
+        totals = char_totals(df.select(F.array(F.lower(text) if lowercase else text).alias("texts")), least, most)
+    else:
+        totals = _gram_totals(df.select(analyse(F.col(text_col)).alias("g")))
     n = df.count()
     low = min_df * n if isinstance(min_df, float) and min_df < 1 else min_df
     high = max_df * n if isinstance(max_df, float) and max_df <= 1 else max_df
@@ -146,7 +161,15 @@ def fit_tfidf(
         raise ValueError("empty vocabulary")
     dfs = table.column("df").to_numpy().astype(float)
     idf = (np.log((n + 1.0) / (dfs + 1.0)) if smooth_idf else np.log(n / dfs)) + 1.0 if use_idf else None
-    return TfidfModel(table.column("gram").to_pylist(), idf, norm, sublinear_tf, analyse)
+    return TfidfModel(table.column("gram").to_pylist(), idf, norm, sublinear_tf, analyse, chars)
+
+
+def _gram_totals(df: DataFrame) -> DataFrame:
+    """(gram, total, df) of rows (g: grams); null ones don't count."""
+    # a row's equal grams stand together, so the first of each tells in how many rows a gram is without a count by row
+    ordered = df.select(F.array_sort("g").alias("g"))
+    each = ordered.select(F.explode(F.zip_with("g", F.concat(F.array(F.lit(None).cast("string")), F.slice("g", 1, F.greatest(F.size("g") - 1, F.lit(0)))), lambda x, before: F.struct(x.alias("gram"), (~x.eqNullSafe(before)).cast("int").alias("first")))).alias("x"))
+    return each.select("x.*").filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.count("*").alias("total"), F.sum("first").alias("df"))
 
 
 def masked_mean(states: Column, mask: Column) -> Column:
