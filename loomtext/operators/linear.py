@@ -20,6 +20,8 @@ from pyspark.sql.types import ArrayType
 NEWTON_DIM, PAIRS = 300, 10
 #: Up to this dimension a truncated SVD takes the whole space at once.
 WHOLE_DIM = 512
+#: Numbers of sparse rows that are made dense at once.
+DENSE_CELLS = 2_000_000
 
 
 def feature_struct(df: DataFrame, features_col: str) -> Column:
@@ -58,6 +60,18 @@ class Rows:
             return self.dense.T @ matrix
         return np.stack([np.bincount(self.at, self.values * c[self.row], self.dim) for c in matrix.T], axis=1)
 
+    def squared(self) -> np.ndarray:
+        """dim x dim: the transposed rows times the rows, of which a few at a time are made dense."""
+        if self.dense is not None:
+            return self.dense.T @ self.dense
+        out, step = np.zeros((self.dim, self.dim)), max(1, DENSE_CELLS // max(self.dim, 1))
+        for first in range(0, self.n, step):
+            part = slice(*np.searchsorted(self.row, (first, first + step)))
+            rows = np.zeros((min(step, self.n - first), self.dim))
+            rows[self.row[part] - first, self.at[part]] = self.values[part]
+            out += rows.T @ rows
+        return out
+
 
 def tree_sum(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
     """The sum of ``partial`` (flat, of ``size`` numbers) over all batches of ``df``."""
@@ -234,14 +248,18 @@ def leading_directions(rows: DataFrame, features_col: str = "features", k: int =
     """
     dim = dimension(rows, features_col)
     slim = rows.select(feature_struct(rows, features_col).alias("x"))
-    width = dim if dim <= max(whole, k + oversampling) else k + oversampling
-    basis = np.eye(dim) if width == dim else np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, width)))[0]
-    for _ in range(1 if width == dim else passes):
+    if dim <= max(whole, k + oversampling):
+        product = tree_sum(slim, lambda b: Rows(b.column(0), dim).squared().reshape(-1), dim * dim).reshape(dim, dim)
+        values, turns = np.linalg.eigh(product)
+        found, passes = turns[:, ::-1][:, :k], 0
+    else:
+        basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, k + oversampling)))[0]
+    for _ in range(passes):
         sent = slim.sparkSession.sparkContext.broadcast(basis)
-        product = tree_sum(slim, lambda b, sent=sent: (lambda r: r.back(r.times(sent.value)))(Rows(b.column(0), dim)).reshape(-1), dim * width).reshape(dim, width)
+        product = tree_sum(slim, lambda b, sent=sent: (lambda r: r.back(r.times(sent.value)))(Rows(b.column(0), dim)).reshape(-1), basis.size).reshape(basis.shape)
         sent.unpersist()
         values, turns = np.linalg.eigh((basis.T @ product + product.T @ basis) / 2)
         found = basis @ turns[:, ::-1][:, :k]
-        basis = np.linalg.qr(product)[0] if width < dim else basis
+        basis = np.linalg.qr(product)[0]
     found = found * np.where(found[np.abs(found).argmax(0), np.arange(found.shape[1])] < 0, -1.0, 1.0) if dim else found
     return found, np.sqrt(np.maximum(values[::-1][:k], 0))

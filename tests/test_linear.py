@@ -93,6 +93,18 @@ def test_range_finder_on_many_sparse_columns(spark):
     assert exact.shape == (3, 2)
 
 
+def test_few_sparse_columns_are_squared_by_dense_parts(spark, monkeypatch):
+    """The rows' own product in place of one pass over the sparse rows for each column; a row without a value counts too."""
+    monkeypatch.setattr(linear, "DENSE_CELLS", 30)
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(50, 12)) * (draw.random((50, 12)) < 0.4)
+    x[7] = 0
+    df = spark.createDataFrame([(k, Vectors.sparse(12, [(j, float(v)) for j, v in enumerate(r) if v])) for k, r in enumerate(x)], ["id", "features"])
+    rows = df.select(linear.feature_struct(df, "features").alias("x")).toArrow().to_batches()
+    assert np.allclose(sum(linear.Rows(b.column(0), 12).squared() for b in rows), x.T @ x)
+    assert np.allclose(linear.leading_directions(df, k=3)[1], np.linalg.svd(x, compute_uv=False)[:3])
+
+
 TEXTS = ["Der Hund, der Hund", "a b cc the cc", "", "Ünï cödé  x1 y2\tx1", "cc dd Hund", "hund"]
 
 
