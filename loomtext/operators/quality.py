@@ -74,9 +74,16 @@ def drop_counters(df: DataFrame, text_col: str, limits: QualityLimits = QualityL
     )
 
 
-def length_stats(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Per class: rows, least, most and mean length, and the sample deviation (0 for a single row)."""
-    size = F.length(present(F.col(text_col)))
+def _size(text: str | Column) -> Column:
+    return text if isinstance(text, Column) else F.length(present(F.col(text)))
+
+
+def length_stats(df: DataFrame, text_col: str | Column, label_col: str) -> DataFrame:
+    """Per class: rows, least, most and mean length, and the sample deviation (0 for a single row).
+
+    A Column in place of the text's name is its length, for rows that left their text where it was read.
+    """
+    size = _size(text_col)
     return df.groupBy(label_col).agg(
         F.count("*").alias("n_rows"),
         F.min(size).alias("min_len"),
@@ -86,7 +93,7 @@ def length_stats(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
     )
 
 
-def length_filter(df: DataFrame, text_col: str, label_col: str, k: float, least_class: int = 30) -> DataFrame:
+def length_filter(df: DataFrame, text_col: str | Column, label_col: str, k: float, least_class: int = 30) -> DataFrame:
     """Rows within ``k`` deviations of their class's mean length; all rows if a class has under ``least_class``.
 
     The guard is part of the plan: classes are few, so their statistics, with the smallest class, are broadcast.
@@ -97,7 +104,7 @@ def length_filter(df: DataFrame, text_col: str, label_col: str, k: float, least_
     stats = length_stats(df, text_col, label_col).select(F.col(label_col).alias("_label"), "n_rows", "mean_len", "std_len")
     # a row for each class alone passes through the unpartitioned window
     limits = stats.withColumn("_smallest", F.min("n_rows").over(Window.partitionBy(F.lit(0))))
-    size = F.length(present(F.col(text_col)))
+    size = _size(text_col)
     inside = size.between(F.col("mean_len") - k * F.col("std_len"), F.col("mean_len") + k * F.col("std_len"))
-    joined = df.join(limits, F.col(label_col).eqNullSafe(F.col("_label")))
+    joined = df.join(F.broadcast(limits), F.col(label_col).eqNullSafe(F.col("_label")))
     return joined.filter((F.col("_smallest") < least_class) | inside).select(*df.columns)
