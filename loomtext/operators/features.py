@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,10 @@ from loomtext.operators.linear import feature_struct, leading_directions, tree_s
 MOST_NAMED, MOST_TRACKED, CELLS_A_GRAM = 100_000, 1_000_000, 64
 
 
+#: Words of a block of texts, about.
+WORDS_A_BLOCK = 4_000_000
+
+
 def gram_counts(df: DataFrame, id_cols: Sequence[str], grams: Column) -> DataFrame:
     """(ids, gram, tf): how often each gram stands in each text. Who reads it more than once makes it durable first."""
     return df.select(*id_cols, F.explode(grams).alias("gram")).groupBy(*id_cols, "gram").agg(F.count("*").alias("tf"))
@@ -191,14 +196,44 @@ def l2_normalised(vector: Column) -> Column:
 def pooled_vectors(df: DataFrame, vectors: DataFrame, *, id_col: str, words: Column, dim: int) -> DataFrame:
     """(id, vector): sum of the vectors of a text's words, repeats included, with norm 1; without a hit all zero.
 
-    The vectors (word, vec) are joined by word: Spark broadcasts them if they are small, else it deals both sides out and
-    splits a frequent word's rows. A text's vectors are added up as they come, partly before the shuffle.
+    Texts are dealt out into blocks by id. A block's different words alone meet the vectors (word, vec) and come back to it
+    with them, so that a frequent word's vector is sent once to each block and not to each text.
     """
-    hits = df.select(F.col(id_col), F.explode(words).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n")).join(vectors, "word")
-    weighed = array_to_vector(F.transform("vec", lambda x: x.cast("double") * F.col("n")))
-    sums = hits.groupBy(id_col).agg(vector_to_array(Summarizer.sum(weighed)).alias("sum"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return df.select(id_col).join(sums, id_col, "left").select(id_col, l2_normalised(F.coalesce("sum", zero)).alias("vector"))
+    rows = df.select(id_col, words.alias("_words"))
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    n = max((rows.agg(F.sum(F.greatest(F.size("_words"), F.lit(0)))).first()[0] or 0) // WORDS_A_BLOCK + 1, parallel)
+    blocks = rows.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(n))).repartition(n, "_block")
+
+    def different(texts: pa.Table) -> tuple[pa.Array, pa.Array]:
+        """All words of the texts, and the different ones in order."""
+        said = texts.column("_words").combine_chunks().flatten()
+        own = pc.unique(said.drop_null())
+        return said, own.take(pc.array_sort_indices(own))
+
+    def words_of(texts: pa.Table) -> pa.Table:
+        _, own = different(texts)
+        block = np.full(len(own), texts.column("_block")[0].as_py(), np.int64)
+        return pa.table([block, np.arange(len(own), dtype=np.int32), own], names=["_block", "_at", "word"])
+
+    def pooled(texts: pa.Table, found: pa.Table) -> pa.Table:
+        said, own = different(texts)
+        # one row more, of zeros, stands for words that are null
+        known = np.zeros((len(own) + 1, dim))
+        np.add.at(known, found.column("_at").to_numpy(), found.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        at = pc.index_in(said, value_set=own).fill_null(len(own)).to_numpy()
+        ends = np.cumsum([0, *(x or 0 for x in pc.list_value_length(texts.column("_words")).to_pylist())])
+        ids, sums = texts.column(id_col).to_pylist(), {}
+        for k, own_id in enumerate(ids):
+            if own_id is not None:
+                sums[own_id] = sums.get(own_id, 0.0) + known[at[ends[k] : ends[k + 1]]].sum(axis=0)
+        out = np.array([sums.get(x, np.zeros(dim)) for x in ids]).reshape(len(ids), dim)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        flat = pa.array((out / np.where(norm == 0, 1.0, norm)).ravel())
+        return pa.table([texts.column(id_col), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * dim, pa.int32()), flat)], names=[id_col, "vector"])
+
+    each = blocks.groupBy("_block").applyInArrow(words_of, "_block bigint, _at int, word string")
+    met = each.join(vectors.filter(F.col("vec").isNotNull()), "word").select("_block", "_at", "vec").repartition(n, "_block")
+    return blocks.groupBy("_block").cogroup(met.groupBy("_block")).applyInArrow(pooled, f"`{id_col}` {dict(df.dtypes)[id_col]}, vector array<double>")
 
 
 Encoder = Callable[[list[str]], Iterable[Sequence[Sequence[Sequence[float]]]]]
