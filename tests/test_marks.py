@@ -37,3 +37,21 @@ def test_texts_without_marks_pass_few_patterns(spark):
     df = spark.range(1).select(F.col("id").cast("string").alias("t"))
     plan = df.select(tx.clean_transcript(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("contains(") >= 15
+
+
+def test_one_pass_blanks_what_three_steps_blanked(spark):
+    draw = random.Random(6)
+    odd = [*PIECES, "\x85", "\xa0", "\u1680", "\u2009", "\u2028", "\u202f", "\u3000", "\ufeff", "\u200b", "ñ", "_", "\u9fff", "\ua000", "\x1f", "\r\n", "𠀀"]
+    texts = ["".join(draw.choice(odd) for _ in range(draw.randint(0, 12))) for _ in range(4000)]
+    t, squeezed = F.col("t"), lambda x: tx.strip(tx.sub(x, f"{tx.WS}+", " "))
+    steps = {
+        "allowed": (tx.sanitise(t), squeezed(tx.sub(F.replace(t, F.lit("\xa0"), F.lit(" ")), OLD["NOT_ALLOWED"] + "+", " "))),
+        "basic": (tx.blanked(t, tx.PUNCTUATION + tx.NOT_BASIC), squeezed(tx.chain(t, (OLD["PUNCTUATION"], " "), (OLD["NOT_BASIC"], " ")))),
+    }
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for got, want in steps.values():
+        assert [tuple(r) for r in df.select("t", got.alias("got"), want.alias("want")).filter("got <> want").collect()] == []
+
+
+def test_plain_characters_are_looked_up_and_no_range_is_asked():
+    assert "-" not in tx.PLAIN and set(tx.PLAIN) == {chr(c) for c in range(128) if chr(c).isalnum()} | {" "}
