@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext import queries
 from loomtext.sources import readers as rd
 from loomtext.streaming.transcribe import transcribe_new
 
@@ -60,3 +61,9 @@ def test_caps_labels_and_trees_without_audio(spark, tree):
     assert [r.id for r in transcribe_new(spark, root, str(tree / "one"), recogniser(log), labels=["hc"]).collect()] == ["HC_c"]
     with pytest.raises(ValueError, match="no audio"):
         transcribe_new(spark, root, str(tree / "none"), recogniser(log), labels=["MCI"])
+
+
+def test_a_stream_of_one_row_group_is_cleaned_by_many_tasks(spark):
+    found = queries.stream_clean(spark, "/root/testdata/sf0.001")
+    sizes = [r["n"] for r in found.groupBy(F.col("_metadata.file_path").alias("part")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 2 * spark.sparkContext.defaultParallelism and max(sizes) <= 2 * min(sizes)
