@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import HAN, UNK, WS, computed_once, present, strip, sub
+from loomtext.functions.text import HAN, SOLID, UNK, WS, computed_once, marked, present, strip
 
-#: Markers that aren't words.
+#: Markers that aren't words, and what each of them begins with.
 MARKERS = rf"{UNK}|\[//\]|\[/\]|\[\+{WS}*gram\]|<\.\.\.>|&-(?:uh|um)"
+MARKS = (UNK, "[/", "[+", "<...>", "&-u")
 
 
 @dataclass(frozen=True)
@@ -24,22 +25,22 @@ class QualityLimits:
     script: str = HAN
 
 
-def quality_metrics(text: Column, limits: QualityLimits = QualityLimits()) -> dict[str, Column]:
-    """total_len, lex_len, script_len and unk_ratio of a stripped text."""
-    text = strip(present(text))
-    lexical = sub(text, MARKERS, "")
-    unknown = F.regexp_count(text, F.lit(UNK))
+def quality_metrics(text: Column, lexical: Column, limits: QualityLimits = QualityLimits()) -> dict[str, Column]:
+    """total_len, lex_len, script_len and unk_ratio of a stripped text and of the same without markers."""
+    unknown = F.when(F.contains(text, F.lit(UNK)), F.regexp_count(text, F.lit(UNK))).otherwise(0)
     return {
         "total_len": F.length(text),
-        "lex_len": F.length(F.regexp_replace(lexical, f"(?U){WS}+", "")),
+        "lex_len": F.length(F.regexp_replace(lexical, rf"(?U)[[^{SOLID}]&&{WS}]+", "")),
         "script_len": F.regexp_count(lexical, F.lit(limits.script)),
         "unk_ratio": unknown * F.lit(float(len(UNK))) / F.greatest(F.length(text), F.lit(1)),
     }
 
 
 def with_quality(df: DataFrame, text_col: str, limits: QualityLimits = QualityLimits()) -> DataFrame:
-    """The metrics as columns; what they stand on is computed once."""
-    return computed_once(df, quality_metrics(F.col(text_col), limits))
+    """The metrics as columns; what several of them stand on, the stripped text and the one without markers, is computed once."""
+    whole = computed_once(df, {"_whole": strip(present(F.col(text_col)))})
+    whole = computed_once(whole, {"_lexical": marked(F.col("_whole"), MARKS, (MARKERS, ""))})
+    return computed_once(whole, quality_metrics(F.col("_whole"), F.col("_lexical"), limits)).drop("_whole", "_lexical")
 
 
 def drop_reasons(limits: QualityLimits) -> dict[str, Column]:

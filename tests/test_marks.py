@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
+from loomtext.operators import quality as q
 
 PIECES = [
     "a", "B", "uh", "-uh", "&", "&-", "&-UH", "&-um", "&-ah", " ", "  ", "\t", "\x1c", " ", " ", "\n", "<", ">", "...", "<...>", "< . . . >", "[", "]", "//", "/", "[/]", "[//]", "[+ gram]", "[+ GRAM]", "(", ")", "+", "+foo", "+<",
@@ -55,3 +56,27 @@ def test_one_pass_blanks_what_three_steps_blanked(spark):
 
 def test_plain_characters_are_looked_up_and_no_range_is_asked():
     assert "-" not in tx.PLAIN and set(tx.PLAIN) == {chr(c) for c in range(128) if chr(c).isalnum()} | {" "}
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    every = spark.range(1, 0x3100).filter("id < 55296").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    texts = every.select(F.concat("c", F.lit(" \t"), "c", F.lit("a b"), "c", "c").alias("t"), "c")
+    old = tx.sub(F.col("t"), rf"^{tx.WS}+|{tx.WS}+$", "")
+    assert texts.filter(tx.strip(F.col("t")) != old).count() == 0
+    assert texts.select(F.sum(F.length(tx.strip(F.col("c"))))).first()[0] == 0x3100 - 1 - len(tx.SPACES)
+
+
+def test_metrics_strip_and_remove_markers_once(spark):
+    draw = random.Random(7)
+    texts = ["".join(draw.choice([*PIECES, tx.UNK, "&-um", "[+  gram]"]) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    measured = q.with_quality(df, "t")
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(coalesce(t") == 1 and plan.count(", (?U)" + q.MARKERS) == 1
+    stripped = tx.strip(tx.sub(F.col("t"), rf"^{tx.WS}+|{tx.WS}+$", ""))
+    lexical = tx.sub(stripped, q.MARKERS, "")
+    want = {
+        "total_len": F.length(stripped), "lex_len": F.length(tx.sub(lexical, f"{tx.WS}+", "")), "script_len": F.regexp_count(lexical, F.lit(tx.HAN)),
+        "unk_ratio": F.regexp_count(stripped, F.lit(tx.UNK)) * 6.0 / F.greatest(F.length(stripped), F.lit(1)),
+    }
+    assert sorted(measured.collect()) == sorted(df.select("id", "t", *[e.alias(n) for n, e in want.items()]).collect())
