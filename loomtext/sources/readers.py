@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -97,13 +98,18 @@ def line_ordinal() -> Column:
 
 
 def csv_table(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, *, infer: bool = False, separator: str = ",", ordered: bool = False
+    spark: SparkSession, path: str, schema: StructType | str | None = None, *, infer: bool = False, separator: str = ",", ordered: bool = False, blanks: bool = False
 ) -> DataFrame:
     """A CSV file with a header; quoted fields may hold line breaks and quotes. Without a schema all is text.
 
-    ``ordered`` adds ``_line_at``, by which rows sort as they stand in the files.
+    ``ordered`` adds ``_line_at``, by which rows sort as they stand in the files. An empty field is null; with ``blanks``
+    only one without quotes is, and a quoted one is an empty text.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", separator)
+    # by default a NUL before a quote would be taken for an escape of it
+    reader = reader.option("charToEscapeQuoteEscaping", '"')
+    # Spark compares every field with what stands for null, which else is the empty text: a word that no file holds
+    reader = reader.option("nullValue", f"null-{uuid.uuid4().hex}") if blanks else reader
     rows = (reader.schema(schema) if schema else reader.option("inferSchema", infer)).csv(path)
     return rows.withColumn("_line_at", line_ordinal()) if ordered else rows
 

@@ -18,15 +18,22 @@ OLDER_COLUMNS = ("id", "label", "transcript", "cleaned_transcript", "audio_path"
 MOST_FOLD_ROWS, FOLDS_TABLE = 2_000_000, ".rows"
 
 
-def transcript_rows(df: DataFrame, cleaner: Callable[[Column], Column] | None = None, *, older: bool = False) -> DataFrame:
-    """Null texts empty, id and label stripped, unreadable durations 0; the older form has a cleaned text too."""
+def transcript_rows(df: DataFrame, cleaner: Callable[[Column], Column] | None = None, *, older: bool = False, nulls: bool = False) -> DataFrame:
+    """Null texts empty, id and label stripped, unreadable durations 0; the older form has a cleaned text too.
+
+    With ``nulls`` what is null stays null, also the cleaned text of a null one; CSV says it without quotes.
+    """
+
+    def own(name: str, value: Column) -> Column:
+        return F.when(F.col(name).isNotNull(), value) if nulls else value
+
     out = df.select(
-        strip(present(F.col("id"))).alias("id"),
-        strip(present(F.col("label"))).alias("label"),
-        present(F.col("transcript")).alias("transcript"),
-        (cleaner(present(F.col("transcript"))) if cleaner else F.lit("")).alias("cleaned_transcript"),
-        present(F.col("audio_path")).alias("audio_path"),
-        F.coalesce(F.col("duration").cast("string").try_cast("double"), F.lit(0.0)).alias("duration"),
+        own("id", strip(present(F.col("id")))).alias("id"),
+        own("label", strip(present(F.col("label")))).alias("label"),
+        own("transcript", present(F.col("transcript"))).alias("transcript"),
+        own("transcript", cleaner(present(F.col("transcript"))) if cleaner else F.lit("")).alias("cleaned_transcript"),
+        own("audio_path", present(F.col("audio_path"))).alias("audio_path"),
+        own("duration", F.coalesce(F.col("duration").cast("string").try_cast("double"), F.lit(0.0))).alias("duration"),
     )
     return out.select(*(OLDER_COLUMNS if older else TRANSCRIPT_COLUMNS))
 
